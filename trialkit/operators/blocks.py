@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialkit.functions.columns import named
 from trialkit.sources.checkpoints import materialise
@@ -40,15 +41,56 @@ def is_large(rows: DataFrame, keys: Sequence[str], block_rows: int | None = None
     return largest_group(rows, keys) > (BLOCK_ROWS if block_rows is None else block_rows)
 
 
+def _plain_default(dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.NumericType):
+        return F.lit(0).cast(dtype)
+    if isinstance(dtype, T.StringType):
+        return F.lit("")
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, T.DateType):
+        return F.date_from_unix_date(F.lit(0))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.timestamp_seconds(F.lit(0)).cast(dtype)
+    raise TypeError(f"cannot group in order by a column of type {dtype.simpleString()}")
+
+
+def solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """Replace nullable keys by a value that is never NULL and a flag.
+
+    NULL keys form a group of their own here. A NULL-safe join on the keys would do, but its hash
+    differs from that of a window on the same keys and costs another shuffle; plain equality on these
+    columns does not. Returns rows, key columns, and the columns that give back the originals.
+    """
+    columns: dict[str, Column] = {}
+    back: list[Column] = []
+    for i, k in enumerate(keys):
+        field = df.schema[k]
+        value, flag = f"__g{i}", f"__g{i}_null"
+        if field.nullable:
+            columns[value] = F.coalesce(named(k), _plain_default(field.dataType))
+            columns[flag] = named(k).isNull()
+            back.append(F.when(~named(flag), named(value)).alias(k))
+        else:
+            columns[value] = named(k)
+            back.append(named(value).alias(k))
+    return df.withColumns(columns).drop(*keys), list(columns), back
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; keys appear once, on the left.
 
     No broadcast hint: the size of ``right`` is measured at run time and Spark picks the strategy.
+    Without keys ``right`` is the one row of a global aggregate.
     """
     if not keys:
-        return left.join(right, how="cross" if how == "inner" else how)
+        return left.crossJoin(right)
     renamed = right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)})
-    on = [named(k).eqNullSafe(named(f"__r_{i}")) for i, k in enumerate(keys)]
+    on = []
+    for i, k in enumerate(keys):
+        nullable = left.schema[k].nullable or right.schema[k].nullable
+        mine, other = named(k), named(f"__r_{i}")
+        on.append(mine.eqNullSafe(other) if nullable else mine == other)
     joined = left.join(renamed, reduce(lambda a, b: a & b, on), how)
     return joined.drop(*[f"__r_{i}" for i in range(len(keys))])
 
@@ -139,9 +181,22 @@ def row_numbers(
     large: bool | None = None,
 ) -> DataFrame:
     """Number the rows of each group 1, 2, … by ``order``, which must be free of ties."""
-    blocks = Blocks.of(rows, keys, order, block_rows, large)
-    numbered = blocks.running({out: F.lit(1).cast("bigint")})
-    return numbered.drop(BLOCK)
+    return running_sums(rows, keys, order, {out: F.lit(1).cast("bigint")}, block_rows, large)
+
+
+def running_sums(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    sums: Mapping[str, Column],
+    block_rows: int | None = None,
+    large: bool | None = None,
+) -> DataFrame:
+    """Add sums over the rows of the group up to and including this one, by a tie-free ``order``."""
+    solid, inner, back = solid_keys(rows, keys)
+    done = Blocks.of(solid, inner, order, block_rows, large).running(sums)
+    rest = [named(c) for c in rows.columns if c not in keys]
+    return done.select(*back, *rest, *[named(n) for n in sums])
 
 
 def average_ranks(
@@ -150,7 +205,7 @@ def average_ranks(
     """Rank of each value in its group, ties sharing their mean rank."""
     # equal values meet as one counted row, so a value that fills a group is still one row
     counted = rows.groupBy(*[named(k) for k in [*keys, value]]).agg(F.count(F.lit(1)).alias("__w"))
-    ranked = Blocks.of(counted, keys, [value], block_rows).running({"__le": F.col("__w")})
+    ranked = running_sums(counted, keys, [value], {"__le": F.col("__w")}, block_rows)
     ranks = ranked.select(
         *[named(k) for k in [*keys, value]],
         (F.col("__le") - F.col("__w") + (F.col("__w") + 1) / 2.0).alias(out),
@@ -180,7 +235,9 @@ def quantile_picks(ranked: DataFrame, keys: Sequence[str], value: str, probs: Se
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        parts.append(lo + (hi - lo) * (h - F.floor(h)))
+        # the same weights as the built-in percentile, so both agree to the last bit
+        between = (F.floor(h) + 1 - h) * lo + (h - F.floor(h)) * hi
+        parts.append(F.when((lo == hi) | (h == F.floor(h)), lo).otherwise(between))
     return best.select(*[named(k) for k in keys], F.col("n"), F.array(*parts).alias("q"))
 
 
@@ -202,8 +259,9 @@ def group_quantiles(
             F.count(F.lit(1)).alias("n"),
             F.percentile(named(value), F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
         )
-    counted = present.groupBy(*[named(k) for k in [*keys, value]]).agg(F.count(F.lit(1)).alias("__w"))
-    ranked = Blocks.of(counted, keys, [value], block_rows, large=True).running(
+    solid, inner, back = solid_keys(present, keys)
+    counted = solid.groupBy(*[named(k) for k in [*inner, value]]).agg(F.count(F.lit(1)).alias("__w"))
+    ranked = Blocks.of(counted, inner, [value], block_rows, large=True).running(
         {"__le": F.col("__w")}, totals={"__n": "__le"}
     )
-    return quantile_picks(ranked, keys, value, probs)
+    return quantile_picks(ranked, inner, value, probs).select(*back, "n", "q")

@@ -265,3 +265,19 @@ def group_quantiles(
         {"__le": F.col("__w")}, totals={"__n": "__le"}
     )
     return quantile_picks(ranked, inner, value, probs).select(*back, "n", "q")
+
+
+def order_statistics(
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ranks: Sequence[int],
+    block_rows: int | None = None,
+    large: bool | None = None,
+) -> DataFrame:
+    """The ``ranks``-th smallest values (1-based) of each group: keys and ``x``, one element per rank."""
+    solid, inner, back = solid_keys(rows.select(*[named(k) for k in keys], named(value)), keys)
+    counted = solid.groupBy(*[named(k) for k in [*inner, value]]).agg(F.count(F.lit(1)).alias("__w"))
+    ranked = Blocks.of(counted, inner, [value], block_rows, large).running({"__le": F.col("__w")})
+    picks = F.array(*[_pick(named(value), F.lit(r - 1)) for r in ranks]).alias("x")
+    return ranked.groupBy(*[named(k) for k in inner]).agg(picks).select(*back, "x")

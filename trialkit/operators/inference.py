@@ -127,7 +127,9 @@ def build_abc_input(
 
     chosen = table.select(named(condition), *[named(s).cast("double").alias(s) for s in stats])
     aligned = join_on_keys(condition_params(rows, params, condition), chosen, [condition])
-    return AbcInput(aligned, dict(zip(stats, values[0], strict=True)), params, stats, condition)
+    # One row per condition from here on. Every fit reads it several times, so it is written once rather
+    # than summarised from the responses again by each job.
+    return AbcInput(materialise(aligned), dict(zip(stats, values[0], strict=True)), params, stats, condition)
 
 
 # --- rejection -------------------------------------------------------------------------------

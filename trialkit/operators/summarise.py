@@ -257,27 +257,24 @@ def _aggregate(
     aggregates: list[Column] = []
     outputs: list[Column] = []
     values: dict[int, list[tuple[str, str]]] = {}
-    apart: list[tuple[str, Quantiles]] = []
+    asked: dict[str, tuple[Column, list[float]]] = {}
     for i, op in members:
         for name, expr in op.expressions:
             inner = f"__{i}_{name}"
             suffixes = [None] if isinstance(expr, Column) else expr.suffixes()
             values.setdefault(i, []).extend((_suffixed(inner, x), _suffixed(name, x)) for x in suffixes)
             if isinstance(expr, Quantiles):
+                # all quantiles of one value come out of one buffer
+                value, probs = asked.setdefault(str(expr.value), (expr.value, []))
+                slot = list(asked).index(str(expr.value))
+                probs += [p for p in expr.probs if p not in probs]
                 if expr.strict:
-                    aggregates.append(
-                        (F.count(F.lit(1)) == F.count(present(expr.value))).alias(f"{inner}__ok")
-                    )
-                if large:
-                    apart.append((inner, expr))
-                else:
-                    probs = F.array(*[F.lit(p) for p in expr.probs])
-                    aggregates.append(F.percentile(present(expr.value), probs).alias(f"{inner}__all"))
-                for j, suffix in enumerate(suffixes):
-                    value = F.get(named(f"{inner}__all"), F.lit(j))
-                    if expr.strict:
-                        value = F.when(named(f"{inner}__ok"), value)
-                    outputs.append(value.alias(_suffixed(inner, suffix)))
+                    whole = F.count(F.lit(1)) == F.count(present(expr.value))
+                    aggregates.append(whole.alias(f"{inner}__ok"))
+                for p, suffix in zip(expr.probs, suffixes, strict=True):
+                    out = F.get(F.col(f"__quantiles{slot}"), F.lit(probs.index(p)))
+                    out = F.when(named(f"{inner}__ok"), out) if expr.strict else out
+                    outputs.append(out.alias(_suffixed(inner, suffix)))
             elif isinstance(expr, Vector):
                 for item, suffix in zip(expr.items, suffixes, strict=True):
                     aggregates.append(item.alias(_suffixed(inner, suffix)))
@@ -285,13 +282,18 @@ def _aggregate(
             else:
                 aggregates.append(expr.alias(inner))
                 outputs.append(named(inner))
-    grouped = df.groupBy(*[named(k) for k in keys])
-    table = grouped.agg(*aggregates, F.count(F.lit(1)).alias("__rows"))
-    for inner, expr in apart:
-        source = df.select(*[named(k) for k in keys], expr.value.alias("__v"))
-        parts = group_quantiles(source, keys, "__v", expr.probs, block_rows, large=True)
-        parts = parts.select(*[named(k) for k in keys], F.col("q").alias(f"{inner}__all"))
-        table = join_on_keys(table, parts, keys, "left")
+    if not large:
+        for slot, (value, probs) in enumerate(asked.values()):
+            wanted = F.array(*[F.lit(p) for p in probs])
+            aggregates.append(F.percentile(present(value), wanted).alias(f"__quantiles{slot}"))
+    # a row count keeps the groups of an operation that has only separately computed quantiles
+    table = df.groupBy(*[named(k) for k in keys]).agg(*aggregates, F.count(F.lit(1)).alias("__rows"))
+    if large:
+        for slot, (value, probs) in enumerate(asked.values()):
+            source = df.select(*[named(k) for k in keys], value.alias("__v"))
+            parts = group_quantiles(source, keys, "__v", probs, block_rows, large=True)
+            parts = parts.select(*[named(k) for k in keys], F.col("q").alias(f"__quantiles{slot}"))
+            table = join_on_keys(table, parts, keys, "left") if keys else table.crossJoin(parts)
     return table.select(*[named(k) for k in keys], *outputs), values
 
 

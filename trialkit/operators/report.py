@@ -138,7 +138,7 @@ def pair_correlation(cv: DataFrame, params: Sequence[str], block_rows: int | Non
 
 # --- histograms ------------------------------------------------------------------------------
 
-# Fixed values of the rule for round breaks: bias towards larger units, the same for steps of five,
+# Fixed values of the rule for round breaks: bias towards larger units, the same for the step to five,
 # shrinkage for a range without width, and the slack for values that lie on a break.
 UNIT_BIAS = 1.5
 UNIT_BIAS_FIVE = 2.75
@@ -155,10 +155,8 @@ def round_breaks(groups: DataFrame, low: str, high: str, bins: str) -> DataFrame
     lo, hi, n = named(low), named(high), named(bins)
     size = F.greatest(F.abs(lo), F.abs(hi))
     flat = (hi - lo) <= size * (1.0 + 1.0 / (1.0 + UNIT_BIAS)) * n * (3 * 2.0**-52)
-    fewest = F.floor(n / 3)
-    point = F.when(size == 0, F.lit(1.0)).otherwise(size)
-    point = F.when(point > 10, 9.0 + point / 10.0).otherwise(point) * SHRINK / F.greatest(fewest, F.lit(1))
-    groups = groups.withColumn("__cell", F.when(flat, point).otherwise((hi - lo) / n)).withColumn("__fewest", fewest)
+    point = F.when(size == 0, F.lit(1.0)).when(size > 10, 9.0 + size / 10.0).otherwise(size) * SHRINK
+    groups = groups.withColumn("__cell", F.when(flat, point).otherwise((hi - lo) / n))
     groups = groups.withColumn("__base", F.pow(F.lit(10.0), F.floor(F.log10("__cell"))))
     cell, base = F.col("__cell"), F.col("__base")
     # each step up is tried only if the one before it was taken
@@ -167,22 +165,16 @@ def round_breaks(groups: DataFrame, low: str, high: str, bins: str) -> DataFrame
     ten = five & (10 * base - cell < UNIT_BIAS * (cell - 5 * base))
     unit = F.when(ten, 10 * base).when(five, 5 * base).when(two, 2 * base).otherwise(base)
     groups = groups.withColumn("unit", unit)
-    groups = groups.withColumns(
-        {
-            "first": F.floor(lo / F.col("unit") + BREAK_SLACK),
-            "last": F.ceil(hi / F.col("unit") - BREAK_SLACK),
-        }
+    first = F.floor(lo / F.col("unit") + BREAK_SLACK)
+    last = F.ceil(hi / F.col("unit") - BREAK_SLACK)
+    groups = groups.withColumns({"__first": first, "__last": last})
+    # one value on a break still gets a bin: the one below it, or above it left of zero
+    alone = F.col("__first") >= F.col("__last")
+    low_side = F.when(alone & (F.col("__first") >= 0), 1).otherwise(0)
+    high_side = F.when(alone & (F.col("__first") < 0), 1).otherwise(0)
+    return groups.withColumns({"first": F.col("__first") - low_side, "last": F.col("__last") + high_side}).drop(
+        "__cell", "__base", "__first", "__last"
     )
-    # a range without width is widened to the fewest bins allowed, to both sides
-    short = F.greatest(F.col("__fewest") - (F.col("last") - F.col("first")), F.lit(0))
-    half, odd = F.floor(short / 2), F.pmod(short, F.lit(2))
-    start_zero = (lo == 0) & (F.col("first") == 0) & (hi != 0)
-    end_zero = (hi == 0) & (F.col("last") == 0) & (lo != 0)
-    down = F.when(start_zero, F.lit(0)).when(end_zero, short).when(F.col("first") >= 0, half + odd).otherwise(half)
-    groups = groups.withColumns({"__down": down, "__up": short - down})
-    return groups.withColumns(
-        {"first": F.col("first") - F.col("__down"), "last": F.col("last") + F.col("__up")}
-    ).drop("__cell", "__base", "__fewest", "__down", "__up")
 
 
 def scaled_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -202,7 +194,7 @@ def scaled_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
     # a value a hair above a break still belongs to the bin that ends there
     spot = F.ceil((F.col("__v") - BIN_SLACK * F.col("unit")) / F.col("unit") - F.col("first"))
     counts = placed.groupBy(*group, F.greatest(spot, F.lit(1)).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    frame = ranges.where("last > first").select(
+    frame = ranges.select(
         *group, "unit", "first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("last") - F.col("first"))).alias("bin")
     )
     full = join_on_keys(frame, counts, [*keys, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))

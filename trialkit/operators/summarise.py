@@ -206,8 +206,7 @@ def apply_spec(spec: SummarySpec, df: DataFrame, block_rows: int | None = None)
     if len(stacked) == 1 and not spec.ops[0].pivoted:
         folded = stacked[0]
     else:
-        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
-        folded = both.groupBy(*[named(k) for k in key]).agg(*folds)
+        folded = bind_rows(*stacked).groupBy(*[named(k) for k in key]).agg(*folds)
     return SummaryTable(folded.select(*[named(k) for k in key], *out), key)
 
 
@@ -309,3 +308,8 @@ def pivot_label(column: str, dtype: str) -> Column:
         whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
         text = F.when(whole, value.cast("decimal(16,0)").cast("string")).otherwise(text)
     return F.concat(F.lit(column + "_"), F.coalesce(text, F.lit("NA")))
+
+
+def bind_rows(*tables: DataFrame) -> DataFrame:
+    """Stack tables by column name; a column a table lacks is NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; only a local master may fall back to its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local master may fall back to one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="trialkit-checkpoint-")
-    sc.setCheckpointDir(folder)
+    if folder is not None:
+        return folder
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.applicationId not in _own_folders:
+        _own_folders[sc.applicationId] = tempfile.mkdtemp(prefix="trialkit-")
+    return _own_folders[sc.applicationId]
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and read on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

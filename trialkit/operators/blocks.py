@@ -23,6 +23,8 @@ from trialkit.sources.checkpoints import materialise
 
 #: Largest group handled as one unit; a quantile buffer of this size takes a few dozen MB.
 BLOCK_ROWS = 250_000
+#: Blocks of fewer rows are not worth a task, even where ``block_rows`` asks for smaller ones.
+SHORTEST_BLOCK = 10_000
 #: Upper bound on range partitions; past it the blocks get longer and their sort spills.
 MAX_BLOCKS = 20_000
 
@@ -117,7 +119,7 @@ class Blocks:
         if not large:
             return cls(rows.withColumn(BLOCK, F.lit(0)), keys, order, False)
         shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        wanted = math.ceil(rows.count() / max(limit, 1))
+        wanted = math.ceil(rows.count() / max(limit, SHORTEST_BLOCK))
         parts = max(2, min(max(wanted, shuffles), MAX_BLOCKS))
         ranged = rows.repartitionByRange(parts, *[named(c) for c in [*keys, *order]])
         # A block number is only as stable as the range bounds behind it, so it is written down

@@ -184,7 +184,8 @@ def _accept(data: AbcInput, tol: float, block_rows: int | None) -> _Accepted:
     measured = complete.withColumn("distance", distance(data.target, scale))
     placed = row_numbers(measured, [], ["distance", data.key], "__place", block_rows, large)
     kept = placed.where(F.col("__place") <= math.ceil(total * tol)).drop("__place")
-    return _Accepted(kept, scale)
+    # the fits and reports on the accepted rows all start here
+    return _Accepted(materialise(kept), scale)
 
 
 def abc_rejection(data: AbcInput, tol: float, block_rows: int | None = None) -> Posterior:
@@ -228,8 +229,7 @@ def abc_local_linear(
     if unknown:
         raise ValueError(f"unknown transforms: {', '.join(sorted(unknown))}")
     accepted = _accept(data, tol, block_rows)
-    # read by up to four jobs below
-    kept = materialise(accepted.df)
+    kept = accepted.df
 
     x = [F.lit(1.0)] + [
         (named(s) - F.lit(data.target[s])) / F.lit(accepted.scale[s]) for s in data.stats
@@ -422,6 +422,8 @@ def abc_cross_validate(
         ]
     )
     spot = F.concat_ws("\u0001", F.col("holdout").cast("string"), F.col("parameter"))
-    return medians.select(
+    table = medians.select(
         "tol", "holdout", "parameter", F.try_element_at(truth, spot).alias("true"), F.get("q", F.lit(0)).alias("estimate")
     )
+    # a handful of rows at the end of a long plan, read by every report on them
+    return materialise(table)

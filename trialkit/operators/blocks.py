@@ -11,7 +11,8 @@ The choice is made from one counted number (the size of the biggest group), neve
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,16 +32,25 @@ MAX_BLOCKS = 20_000
 BLOCK = "__block"
 
 
-def largest_group(rows: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the biggest group. Counts combine before the shuffle; one number reaches the driver."""
-    if not keys:
-        return rows.count()
-    sizes = rows.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+@dataclass(frozen=True)
+class GroupSizes:
+    """Rows in all and in the biggest group."""
+
+    total: int
+    largest: int
 
+    def beyond(self, block_rows: int | None) -> bool:
+        return self.largest > (BLOCK_ROWS if block_rows is None else block_rows)
 
-def is_large(rows: DataFrame, keys: Sequence[str], block_rows: int | None = None) -> bool:
-    return largest_group(rows, keys) > (BLOCK_ROWS if block_rows is None else block_rows)
+
+def group_sizes(rows: DataFrame, keys: Sequence[str]) -> GroupSizes:
+    """Count the groups. Counts combine before the shuffle; two numbers reach the driver."""
+    if not keys:
+        n = rows.count()
+        return GroupSizes(n, n)
+    sizes = rows.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    return GroupSizes(total or 0, largest or 0)
 
 
 def _plain_default(dtype: T.DataType) -> Column:
@@ -110,16 +120,15 @@ class Blocks:
         keys: Sequence[str],
         order: Sequence[str],
         block_rows: int | None = None,
-        large: bool | None = None,
+        sizes: GroupSizes | None = None,
     ) -> Blocks:
-        """``large`` skips the count when the caller already knows the answer."""
-        limit = BLOCK_ROWS if block_rows is None else block_rows
-        if large is None:
-            large = is_large(rows, keys, limit)
-        if not large:
+        """``sizes`` (of ``rows`` or of a table with at least its rows) saves the count."""
+        sizes = sizes or group_sizes(rows, keys)
+        if not sizes.beyond(block_rows):
             return cls(rows.withColumn(BLOCK, F.lit(0)), keys, order, False)
+        limit = BLOCK_ROWS if block_rows is None else block_rows
         shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        wanted = math.ceil(rows.count() / max(limit, SHORTEST_BLOCK))
+        wanted = math.ceil(sizes.total / max(limit, SHORTEST_BLOCK))
         parts = max(2, min(max(wanted, shuffles), MAX_BLOCKS))
         ranged = rows.repartitionByRange(parts, *[named(c) for c in [*keys, *order]])
         # A block number is only as stable as the range bounds behind it, so it is written down
@@ -154,18 +163,46 @@ class Blocks:
                 }
             )
         inside = self.rows.withColumns({name: F.sum(v).over(upto) for name, v in sums.items()})
+        return self._shifted(inside, self._starts(sums, totals), sums)
+
+    def _starts(self, sums: Mapping[str, Column], totals: Mapping[str, str]) -> DataFrame:
+        """Per block of a group: the sums over the blocks before it (``__b_…``), and group totals.
+
+        One row per block: at most MAX_BLOCKS for a group, however many rows it has.
+        """
         cells = self.rows.groupBy(*self._cells()).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
-        # one row per block here: at most MAX_BLOCKS for a group, however many rows it has
         group = Window.partitionBy(*[named(k) for k in self.keys])
         before = group.orderBy(named(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-        starts = cells.select(
+        return cells.select(
             *self._cells(),
+            *[named(f"__t_{n}") for n in sums],
             *[F.coalesce(F.sum(named(f"__t_{n}")).over(before), F.lit(0)).alias(f"__b_{n}") for n in sums],
             *[F.sum(named(f"__t_{src}")).over(group).alias(out) for out, src in totals.items()],
         )
-        joined = join_on_keys(inside, starts, self.unit)
+
+    def _shifted(self, inside: DataFrame, starts: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
+        joined = join_on_keys(inside, starts.drop(*[f"__t_{n}" for n in sums]), self.unit)
         return joined.withColumns({n: named(n) + named(f"__b_{n}") for n in sums}).drop(*[f"__b_{n}" for n in sums])
 
+    def around(self, weight: Column, ranks: Callable[[Column], list[Column]]) -> DataFrame:
+        """Counted rows with running ``__le`` and total ``__n``, at least those that cover some rank.
+
+        ``ranks`` gives 0-based ranks from the group total. Only the blocks a rank falls into are ordered:
+        a group spread over thousands of blocks sorts a few of them.
+        """
+        sums = {"__le": weight}
+        if not self.split:
+            return self.running(sums, totals={"__n": "__le"})
+        starts = self._starts(sums, {"__n": "__le"})
+        first, past = F.col("__b___le"), F.col("__b___le") + F.col("__t___le")
+        hit = reduce(lambda a, b: a | b, [(first <= k) & (k < past) for k in ranks(F.col("__n"))])
+        starts = starts.where(hit)
+        within = Window.partitionBy(*self._cells()).orderBy(*[named(c) for c in self.order])
+        upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        chosen = join_on_keys(self.rows, starts, self.unit)
+        placed = chosen.withColumn("__le", F.sum(weight).over(upto) + first)
+        return placed.drop("__b___le", "__t___le")
+
     def attach(self, df: DataFrame, per_group: DataFrame) -> DataFrame:
         """Join one row per group to ``df`` (rows carrying the block column) block by block."""
         if not self.split:
@@ -180,10 +217,10 @@ def row_numbers(
     order: Sequence[str],
     out: str,
     block_rows: int | None = None,
-    large: bool | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Number the rows of each group 1, 2, … by ``order``, which must be free of ties."""
-    return running_sums(rows, keys, order, {out: F.lit(1).cast("bigint")}, block_rows, large)
+    return running_sums(rows, keys, order, {out: F.lit(1).cast("bigint")}, block_rows, sizes)
 
 
 def running_sums(
@@ -192,11 +229,11 @@ def running_sums(
     order: Sequence[str],
     sums: Mapping[str, Column],
     block_rows: int | None = None,
-    large: bool | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Add sums over the rows of the group up to and including this one, by a tie-free ``order``."""
     solid, inner, back = solid_keys(rows, keys)
-    done = Blocks.of(solid, inner, order, block_rows, large).running(sums)
+    done = Blocks.of(solid, inner, order, block_rows, sizes).running(sums)
     rest = [named(c) for c in rows.columns if c not in keys]
     return done.select(*back, *rest, *[named(n) for n in sums])
 
@@ -205,9 +242,7 @@ def average_ranks(
     rows: DataFrame, keys: Sequence[str], value: str, out: str, block_rows: int | None = None
 ) -> DataFrame:
     """Rank of each value in its group, ties sharing their mean rank."""
-    # equal values meet as one counted row, so a value that fills a group is still one row
-    counted = rows.groupBy(*[named(k) for k in [*keys, value]]).agg(F.count(F.lit(1)).alias("__w"))
-    ranked = running_sums(counted, keys, [value], {"__le": F.col("__w")}, block_rows)
+    ranked = running_sums(_counted(rows, keys, value), keys, [value], {"__le": F.col("__w")}, block_rows)
     ranks = ranked.select(
         *[named(k) for k in [*keys, value]],
         (F.col("__le") - F.col("__w") + (F.col("__w") + 1) / 2.0).alias(out),
@@ -221,6 +256,12 @@ def _pick(values: Column, rank: Column) -> Column:
     return F.max(F.when(covers, values))
 
 
+def _quantile_ranks(n: Column, probs: Sequence[float]) -> list[tuple[Column, Column]]:
+    """0-based ranks on both sides of each type-7 quantile."""
+    lower = [F.floor((n - 1) * F.lit(float(p))) for p in probs]
+    return [(k, F.least(k + 1, n - 1)) for k in lower]
+
+
 def quantile_picks(ranked: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Type-7 quantiles from counted rows with ``__w``, running ``__le`` and group total ``__n``.
 
@@ -228,10 +269,8 @@ def quantile_picks(ranked: DataFrame, keys: Sequence[str], value: str, probs: Se
     before the shuffle.
     """
     picks: list[Column] = []
-    for i, p in enumerate(probs):
-        lower = F.floor((F.col("__n") - 1) * F.lit(float(p)))
-        picks.append(_pick(named(value), lower).alias(f"__lo{i}"))
-        picks.append(_pick(named(value), F.least(lower + 1, F.col("__n") - 1)).alias(f"__hi{i}"))
+    for i, (low, high) in enumerate(_quantile_ranks(F.col("__n"), probs)):
+        picks += [_pick(named(value), low).alias(f"__lo{i}"), _pick(named(value), high).alias(f"__hi{i}")]
     best = ranked.groupBy(*[named(k) for k in keys]).agg(F.max("__n").alias("n"), *picks)
     parts = []
     for i, p in enumerate(probs):
@@ -243,29 +282,31 @@ def quantile_picks(ranked: DataFrame, keys: Sequence[str], value: str, probs: Se
     return best.select(*[named(k) for k in keys], F.col("n"), F.array(*parts).alias("q"))
 
 
+def _counted(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values with their count ``__w``: a value that fills a group is one row."""
+    return rows.groupBy(*[named(k) for k in [*keys, value]]).agg(F.count(F.lit(1)).alias("__w"))
+
+
 def group_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
     block_rows: int | None = None,
-    large: bool | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Exact type-7 quantiles of the non-missing values of each group: keys, ``n``, ``q``."""
     present = rows.select(*[named(k) for k in keys], named(value).cast("double").alias(value))
     present = present.where(named(value).isNotNull() & ~F.isnan(named(value)))
-    if large is None:
-        large = is_large(present, keys, block_rows)
-    if not large:
+    sizes = sizes or group_sizes(present, keys)
+    if not sizes.beyond(block_rows):
         return present.groupBy(*[named(k) for k in keys]).agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile(named(value), F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
         )
     solid, inner, back = solid_keys(present, keys)
-    counted = solid.groupBy(*[named(k) for k in [*inner, value]]).agg(F.count(F.lit(1)).alias("__w"))
-    ranked = Blocks.of(counted, inner, [value], block_rows, large=True).running(
-        {"__le": F.col("__w")}, totals={"__n": "__le"}
-    )
+    blocks = Blocks.of(_counted(solid, inner, value), inner, [value], block_rows, sizes)
+    ranked = blocks.around(F.col("__w"), lambda n: [k for pair in _quantile_ranks(n, probs) for k in pair])
     return quantile_picks(ranked, inner, value, probs).select(*back, "n", "q")
 
 
@@ -275,11 +316,11 @@ def order_statistics(
     value: str,
     ranks: Sequence[int],
     block_rows: int | None = None,
-    large: bool | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """The ``ranks``-th smallest values (1-based) of each group: keys and ``x``, one element per rank."""
     solid, inner, back = solid_keys(rows.select(*[named(k) for k in keys], named(value)), keys)
-    counted = solid.groupBy(*[named(k) for k in [*inner, value]]).agg(F.count(F.lit(1)).alias("__w"))
-    ranked = Blocks.of(counted, inner, [value], block_rows, large).running({"__le": F.col("__w")})
-    picks = F.array(*[_pick(named(value), F.lit(r - 1)) for r in ranks]).alias("x")
+    blocks = Blocks.of(_counted(solid, inner, value), inner, [value], block_rows, sizes)
+    ranked = blocks.around(F.col("__w"), lambda n: [F.lit(k - 1) for k in ranks])
+    picks = F.array(*[_pick(named(value), F.lit(k - 1)) for k in ranks]).alias("x")
     return ranked.groupBy(*[named(k) for k in inner]).agg(picks).select(*back, "x")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trialkit.functions.columns import is_missing, named, require_columns, uniform
 from trialkit.operators.blocks import (
-    BLOCK_ROWS,
+    GroupSizes,
     group_quantiles,
     join_on_keys,
     order_statistics,
@@ -135,21 +135,22 @@ def build_abc_input(
 # --- rejection -------------------------------------------------------------------------------
 
 
-def _medians(df: DataFrame, columns: Sequence[str], large: bool, block_rows: int | None) -> dict[str, float]:
+def _medians(df: DataFrame, columns: Sequence[str], n: int, block_rows: int | None) -> dict[str, float]:
     """Median of each column; one number per column comes back."""
-    if not large:
+    sizes = GroupSizes(n * len(columns), n)
+    if not sizes.beyond(block_rows):
         row = df.agg(*[F.percentile(named(c), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
         return dict(zip(columns, row, strict=True))
     long = to_long(df, [], columns, "name", "value")
-    rows = group_quantiles(long, ["name"], "value", [0.5], block_rows, large=True).collect()
+    rows = group_quantiles(long, ["name"], "value", [0.5], block_rows, sizes).collect()
     return {r["name"]: r["q"][0] for r in rows}
 
 
-def scales(df: DataFrame, stats: Sequence[str], large: bool, block_rows: int | None = None) -> dict[str, float]:
-    """What to divide each statistic by: its scaled MAD, or 1 where that is zero."""
-    centre = _medians(df, stats, large, block_rows)
+def scales(df: DataFrame, stats: Sequence[str], n: int, block_rows: int | None = None) -> dict[str, float]:
+    """What to divide each statistic of the ``n`` rows by: its scaled MAD, or 1 where that is zero."""
+    centre = _medians(df, stats, n, block_rows)
     away = df.select(*[F.abs(named(s) - F.lit(centre[s])).alias(s) for s in stats])
-    mads = _medians(away, stats, large, block_rows)
+    mads = _medians(away, stats, n, block_rows)
     return {s: (MAD_SCALE * m if m else 1.0) for s, m in mads.items()}
 
 
@@ -179,13 +180,17 @@ def _accept(data: AbcInput, tol: float, block_rows: int | None) -> _Accepted:
     ).first()
     if usable == 0:
         raise ValueError("no condition has all statistics")
-    large = usable > (BLOCK_ROWS if block_rows is None else block_rows)
-    scale = scales(complete, data.stats, large, block_rows)
+    scale = scales(complete, data.stats, usable, block_rows)
     measured = complete.withColumn("distance", distance(data.target, scale))
-    placed = row_numbers(measured, [], ["distance", data.key], "__place", block_rows, large)
-    kept = placed.where(F.col("__place") <= math.ceil(total * tol)).drop("__place")
-    # the fits and reports on the accepted rows all start here
-    return _Accepted(materialise(kept), scale)
+    wanted = min(math.ceil(total * tol), usable)
+    # Only (distance, condition) pairs are put in order, to read off the last one to accept. Accepting is
+    # then a filter: the wide rows stay where they are.
+    order = ["distance", data.key]
+    pairs = row_numbers(measured.select(*[named(c) for c in order]), [], order, "place", block_rows, GroupSizes(usable, usable))
+    last = pairs.where(F.col("place") == wanted).first()
+    near = F.col("distance") < F.lit(last["distance"])
+    tied = (F.col("distance") == F.lit(last["distance"])) & (named(data.key) <= F.lit(last[data.key]))
+    return _Accepted(measured.where(near | tied), scale)
 
 
 def abc_rejection(data: AbcInput, tol: float, block_rows: int | None = None) -> Posterior:
@@ -203,6 +208,17 @@ def _solve(gram: np.ndarray, moment: np.ndarray) -> np.ndarray:
     return (np.linalg.pinv(scaled, rcond=1e-12, hermitian=True) @ (moment / size[:, None])) / size[:, None]
 
 
+def _squares(x: Sequence[Column], weight: Column) -> list[Column]:
+    """Sums of products of the columns with each other, one triangle of the matrix."""
+    return [F.sum(weight * x[i] * x[j]) for i in range(len(x)) for j in range(i + 1)]
+
+
+def _symmetric(triangle: Sequence[float], k: int) -> np.ndarray:
+    out = np.zeros((k, k))
+    out[np.tril_indices(k)] = np.array(triangle, dtype=float)
+    return out + np.tril(out, -1).T
+
+
 def _products(left: Sequence[Column], right: Sequence[Column], weight: Column) -> list[Column]:
     return [F.sum(weight * a * b) for a in left for b in right]
 
@@ -254,13 +270,13 @@ def abc_local_linear(
     weight = 1.0 - F.pow(F.col("distance") / F.lit(d_max), F.lit(2.0)) if d_max else F.lit(1.0)
     k, m = len(x), len(y)
 
+    half = k * (k + 1) // 2
     sums = kept.agg(
-        *_products(x, x, weight), *_products(x, y, weight), F.count(F.lit(1)), *[F.sum(c) for c in [*x, *y]]
+        *_squares(x, weight), *_products(x, y, weight), F.count(F.lit(1)), *[F.sum(c) for c in [*x, *y]]
     ).first()
-    gram = np.array(sums[: k * k], dtype=float).reshape(k, k)
-    beta = _solve(gram, np.array(sums[k * k : k * k + k * m], dtype=float).reshape(k, m))
-    count = float(sums[k * k + k * m])
-    plain = np.array(sums[k * k + k * m + 1 :], dtype=float) / count
+    gram = _symmetric(sums[:half], k)
+    beta = _solve(gram, np.array(sums[half : half + k * m], dtype=float).reshape(k, m))
+    plain = np.array(sums[half + k * m + 1 :], dtype=float) / float(sums[half + k * m])
 
     def fitted(coefficients: np.ndarray) -> Column:
         return reduce(lambda a, b: a + b, [F.lit(float(c)) * col for c, col in zip(coefficients, x, strict=True)])
@@ -271,15 +287,17 @@ def abc_local_linear(
     if heteroscedastic:
         # a zero residual has no log and stays out of this regression
         logs = [F.when(r != 0, F.log(r * r)) for r in residuals]
-        parts = []
-        for r in logs:
-            use = F.when(r.isNotNull(), weight)
-            parts += _products(x, x, use) + _products(x, [r], use)
-        flat = kept.agg(*parts).first()
+        flat = kept.agg(
+            *_products(x, logs, weight), *[F.count_if(g.isNull()) for g in logs]
+        ).first()
+        moments = np.array(flat[: k * m], dtype=float).reshape(k, m)
         spread = []
-        for j in range(m):
-            own = np.array(flat[j * (k * k + k) : (j + 1) * (k * k + k)], dtype=float)
-            spread.append(_solve(own[: k * k].reshape(k, k), own[k * k :].reshape(k, 1))[:, 0])
+        for j, zeros in enumerate(flat[k * m :]):
+            own = gram
+            if zeros:
+                missing = F.when(logs[j].isNull(), weight).otherwise(F.lit(0.0))
+                own = gram - _symmetric(kept.agg(*_squares(x, missing)).first(), k)
+            spread.append(_solve(own, moments[:, [j]])[:, 0])
         residuals = [
             r * F.sqrt(F.exp(F.lit(float(c[0])) - fitted(c))) for r, c in zip(residuals, spread, strict=True)
         ]
@@ -311,7 +329,7 @@ def _middle(n: int) -> list[int]:
 
 
 def _leave_one_out_scales(
-    complete: DataFrame, data: AbcInput, held: Sequence, n: int, large: bool, block_rows: int | None
+    complete: DataFrame, data: AbcInput, held: Sequence, n: int, block_rows: int | None
 ) -> list[dict[str, float]]:
     """Per held-out condition, the scale of each statistic over the other conditions.
 
@@ -321,9 +339,10 @@ def _leave_one_out_scales(
     twice, whatever the number of held-out conditions.
     """
     ranks = _middle(n)
+    sizes = GroupSizes(n * len(data.stats), n)
     long = to_long(complete, [], data.stats, "name", "value")
     around = {
-        r["name"]: r["x"] for r in order_statistics(long, ["name"], "value", ranks, block_rows, large).collect()
+        r["name"]: r["x"] for r in order_statistics(long, ["name"], "value", ranks, block_rows, sizes).collect()
     }
     centres = [{s: _without(h[s], around[s], n) for s in data.stats} for h in held]
     distinct = {s: sorted({c[s] for c in centres}) for s in data.stats}
@@ -339,7 +358,7 @@ def _leave_one_out_scales(
     away = complete.select(F.explode(F.array(*deviations)).alias("d")).select("d.*")
     spread = {
         (r["name"], r["centre"]): r["x"]
-        for r in order_statistics(away, ["name", "centre"], "value", ranks, block_rows, large).collect()
+        for r in order_statistics(away, ["name", "centre"], "value", ranks, block_rows, sizes).collect()
     }
     out = []
     for h, c in zip(held, centres, strict=True):
@@ -359,7 +378,6 @@ def abc_cross_validate(
     Held-out conditions are those with the lowest keyed draw, so a seed always picks the same ones. They
     come to every row as an array of ``nval`` entries, and all tolerances read one ranking.
     """
-    limit = BLOCK_ROWS if block_rows is None else block_rows
     complete = data.complete()
     total, usable = data.df.agg(
         F.count(F.lit(1)),
@@ -369,8 +387,7 @@ def abc_cross_validate(
         raise ValueError(f"cannot hold out {nval} of {usable} complete conditions")
     draw = uniform(seed, data.key)
     held = complete.orderBy(draw, data.key).limit(nval).collect()
-    large = usable > limit
-    scale = _leave_one_out_scales(complete, data, held, usable, large, block_rows)
+    scale = _leave_one_out_scales(complete, data, held, usable, block_rows)
 
     targets = F.array(
         *[
@@ -397,7 +414,7 @@ def abc_cross_validate(
         *[named(p) for p in data.params],
         F.sqrt(reduce(lambda a, b: a + b, terms)).alias("__distance"),
     )
-    placed = row_numbers(measured, ["holdout"], ["__distance", "__id"], "__place", block_rows, large)
+    placed = row_numbers(measured, ["holdout"], ["__distance", "__id"], "__place", block_rows, GroupSizes(nval * usable, usable))
     accept = {float(t): math.ceil((total - 1) * t) for t in tols}
     levels = F.array(*[F.struct(F.lit(t).alias("tol"), F.lit(k).alias("k")) for t, k in accept.items()])
     taken = (
@@ -407,9 +424,9 @@ def abc_cross_validate(
         .withColumn("tol", F.col("level.tol"))
     )
     long = to_long(taken, ["tol", "holdout"], data.params)
-    medians = group_quantiles(
-        long, ["tol", "holdout", "parameter"], "value", [0.5], block_rows, large=max(accept.values()) > limit
-    )
+    most = max(accept.values())
+    sizes = GroupSizes(most * nval * len(tols) * len(data.params), most)
+    medians = group_quantiles(long, ["tol", "holdout", "parameter"], "value", [0.5], block_rows, sizes)
     truth = F.create_map(
         *[
             part

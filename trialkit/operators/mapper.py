@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial as bind
+from inspect import signature
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialkit.functions.columns import named, require_columns
-from trialkit.operators.blocks import BLOCK_ROWS, join_on_keys
+from trialkit.operators.blocks import BLOCK_ROWS, group_sizes, join_on_keys
 from trialkit.operators.summarise import SummarySpec, SummaryTable
 from trialkit.sources.results import ResultSet
 
@@ -51,6 +52,12 @@ def map_by_condition(
     elif schema is None:
         raise ValueError("a pandas function needs the schema of its result")
     elif merge is None:
+        limit = block_rows or BLOCK_ROWS
+        if not _takes_iterator(function) and group_sizes(df, [condition]).beyond(limit):
+            raise ValueError(
+                f"some conditions have more than {limit} rows: give a function over an iterator of frames, "
+                "or a merge function so that conditions can be worked on in pieces"
+            )
         out = df.groupBy(named(condition)).applyInPandas(_bound(function, arguments, options), schema)
     else:
         pieces = _in_pieces(df, condition, block_rows or BLOCK_ROWS)
@@ -60,6 +67,11 @@ def map_by_condition(
     return out if combine is None else combine(out)
 
 
+def _takes_iterator(function) -> bool:
+    hints = [str(p.annotation) for p in signature(function).parameters.values()]
+    return any("Iterator" in h for h in hints)
+
+
 def _bound(function, arguments, options):
     # Spark looks at the signature to tell a frame from an iterator of frames, so leave plain ones alone
     return bind(_call, function, arguments, options) if arguments or options else function

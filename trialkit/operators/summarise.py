@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trialkit.functions.columns import named, require_columns
 from trialkit.functions.stats import Quantiles, Vector, present
-from trialkit.operators.blocks import group_quantiles, is_large, join_on_keys
+from trialkit.operators.blocks import GroupSizes, group_quantiles, group_sizes, join_on_keys
 
 Expression = Column | Vector | Quantiles
 
@@ -164,7 +164,7 @@ def apply_spec(spec: SummarySpec, df: DataFrame, block_rows: int | None = None)
     require_columns(df, dict.fromkeys(c for op in spec.ops for c in op.by))
 
     groupings = list(dict.fromkeys(op.by for op in spec.ops))
-    key_large, large = _group_sizes(spec, df, block_rows)
+    key_large, large = _outgrown(spec, df, block_rows)
     rows = df
     if key and not key_large:
         # Quantiles move every value anyway. Moving the rows once by the key lets all operations
@@ -225,30 +225,32 @@ def _has_quantiles(op: SummaryOp) -> bool:
     return any(isinstance(e, Quantiles) for _, e in op.expressions)
 
 
-def _group_sizes(
+def _outgrown(
     spec: SummarySpec, df: DataFrame, block_rows: int | None
-) -> tuple[bool, dict[tuple[str, ...], bool]]:
-    """Whether any key holds many rows, and which groupings hold a group too big for one buffer.
+) -> tuple[bool, dict[tuple[str, ...], GroupSizes | None]]:
+    """Whether any key holds many rows, and the sizes of groupings with a group too big for one buffer.
 
     Nothing is counted unless a quantile asks for it, and a grouping that refines one with small
     groups is not counted again.
     """
-    large = {op.by: False for op in spec.ops}
+    large: dict[tuple[str, ...], GroupSizes | None] = {op.by: None for op in spec.ops}
     if not any(_has_quantiles(op) for op in spec.ops):
         return True, large
     key = spec.ops[0].wider_by
-    key_large = is_large(df, key, block_rows)
-    if key_large:
-        for by in dict.fromkeys(op.by for op in spec.ops if _has_quantiles(op)):
-            large[by] = True if by == key else is_large(df, by, block_rows)
-    return key_large, large
+    by_key = group_sizes(df, key)
+    if not by_key.beyond(block_rows):
+        return False, large
+    for by in dict.fromkeys(op.by for op in spec.ops if _has_quantiles(op)):
+        sizes = by_key if by == key else group_sizes(df, by)
+        large[by] = sizes if sizes.beyond(block_rows) else None
+    return True, large
 
 
 def _aggregate(
     df: DataFrame,
     by: tuple[str, ...],
     members: list[tuple[int, SummaryOp]],
-    large: bool,
+    large: GroupSizes | None,
     block_rows: int | None,
 ) -> tuple[DataFrame, dict[int, list[tuple[str, str]]]]:
     """One row per group; also, per operation, its (internal name, output name) pairs."""
@@ -281,16 +283,16 @@ def _aggregate(
             else:
                 aggregates.append(expr.alias(inner))
                 outputs.append(named(inner))
-    if not large:
+    if large is None:
         for slot, (value, probs) in enumerate(asked.values()):
             wanted = F.array(*[F.lit(p) for p in probs])
             aggregates.append(F.percentile(present(value), wanted).alias(f"__quantiles{slot}"))
     # a row count keeps the groups of an operation that has only separately computed quantiles
     table = df.groupBy(*[named(k) for k in keys]).agg(*aggregates, F.count(F.lit(1)).alias("__rows"))
-    if large:
+    if large is not None:
         for slot, (value, probs) in enumerate(asked.values()):
             source = df.select(*[named(k) for k in keys], value.alias("__v"))
-            parts = group_quantiles(source, keys, "__v", probs, block_rows, large=True)
+            parts = group_quantiles(source, keys, "__v", probs, block_rows, large)
             parts = parts.select(*[named(k) for k in keys], F.col("q").alias(f"__quantiles{slot}"))
             table = join_on_keys(table, parts, keys, "left") if keys else table.crossJoin(parts)
     return table.select(*[named(k) for k in keys], *outputs), values

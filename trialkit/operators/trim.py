@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialkit.functions.columns import named, require_columns, valid_time, with_normal_cdf
-from trialkit.operators.blocks import Blocks, is_large, join_on_keys, quantile_picks, solid_keys
+from trialkit.operators.blocks import Blocks, GroupSizes, group_sizes, join_on_keys, quantile_picks, solid_keys
 from trialkit.sources.checkpoints import materialise
 
 # Trim grid 0, 0.01, …, 0.20 and the penalty per unit of trim.
@@ -36,10 +36,10 @@ def trim_cells(
     """
     require_columns(df, [*keys, rt])
     times = df.where(valid_time(rt)).select(*[named(k) for k in keys], named(rt).cast("double").alias("__x"))
-    large = is_large(times, keys, block_rows)
-    if large:
+    sizes = group_sizes(times, keys)
+    if sizes.beyond(block_rows):
         times, keys, back = solid_keys(times, keys)
-        rows = _fitted_in_blocks(times, trims, keys, block_rows)
+        rows = _fitted_in_blocks(times, trims, keys, block_rows, sizes)
     else:
         keys, back = list(keys), [named(k) for k in keys]
         rows = _fitted_in_windows(times, trims, keys)
@@ -139,12 +139,12 @@ def _fitted_in_windows(times: DataFrame, trims: Sequence[float], keys: list[str]
 
 
 def _fitted_in_blocks(
-    times: DataFrame, trims: Sequence[float], keys: list[str], block_rows: int | None
+    times: DataFrame, trims: Sequence[float], keys: list[str], block_rows: int | None, sizes: GroupSizes
 ) -> DataFrame:
     """The same for groups of any size: rows stay in their blocks, group results come to the blocks."""
     # equal times meet as one counted row, so a tie cannot fill a block
     counted = times.groupBy(*[named(k) for k in [*keys, "__x"]]).agg(F.count(F.lit(1)).alias("__w"))
-    blocks = Blocks.of(counted, keys, ["__x"], block_rows, large=True)
+    blocks = Blocks.of(counted, keys, ["__x"], block_rows, sizes)
     # read three times below, and costly to order again each time
     ordered = materialise(blocks.running({"__le": F.col("__w")}, totals={"__n": "__le"}))
     cuts = quantile_picks(ordered, keys, "__x", _probabilities(trims))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial as bind
 from inspect import signature
 
 import pandas as pd
@@ -73,12 +72,20 @@ def _takes_iterator(function) -> bool:
 
 
 def _bound(function, arguments, options):
-    # Spark looks at the signature to tell a frame from an iterator of frames, so leave plain ones alone
-    return bind(_call, function, arguments, options) if arguments or options else function
+    """The function with its further arguments filled in, of the same kind for Spark's type hints."""
+    if not arguments and not options:
+        return function
+    if _takes_iterator(function):
 
+        def over_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return function(batches, *arguments, **options)
 
-def _call(function, arguments, options, rows: pd.DataFrame) -> pd.DataFrame:
-    return function(rows, *arguments, **options)
+        return over_batches
+
+    def over_frame(rows: pd.DataFrame) -> pd.DataFrame:
+        return function(rows, *arguments, **options)
+
+    return over_frame
 
 
 def _without_piece(function):

@@ -82,9 +82,12 @@ def _line(y: Column, x: Column) -> tuple[Column, Column, Column]:
     """Correlation, slope and intercept over complete pairs; NULL where there is no variation."""
     both = ~is_missing(x) & ~is_missing(y)
     xx, yy = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    moves, answers = F.regr_sxx(yy, xx) > 0, F.regr_syy(yy, xx) > 0
+    sxx, syy = F.regr_sxx(yy, xx), F.regr_syy(yy, xx)
+    moves = sxx > 0
+    # the built-in correlation divides by zero, which is an error in ANSI mode
+    r = F.try_divide(F.regr_sxy(yy, xx), F.sqrt(sxx) * F.sqrt(syy))
     return (
-        F.when(moves & answers, F.corr(xx, yy)),
+        F.when(moves & (syy > 0), r),
         F.when(moves, F.regr_slope(yy, xx)),
         F.when(moves, F.regr_intercept(yy, xx)).otherwise(F.avg(yy)),
     )

@@ -72,9 +72,10 @@ def _takes_iterator(function) -> bool:
 
 
 def _bound(function, arguments, options):
-    """The function with its further arguments filled in, of the same kind for Spark's type hints."""
-    if not arguments and not options:
-        return function
+    """The function of the rows alone, of the same kind for Spark's type hints.
+
+    Spark would hand the key to a function of two parameters, even if the second has a default.
+    """
     if _takes_iterator(function):
 
         def over_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from trialkit.functions import stats as S
+from trialkit.operators import inference
 from trialkit.operators.inference import (
     AbcInput,
     Posterior,
@@ -68,7 +69,9 @@ def test_ties_and_missing(spark, block_rows):
 
 
 @pytest.mark.parametrize("heteroscedastic", [False, True])
-def test_local_linear(data, heteroscedastic):
+@pytest.mark.parametrize("expressions", [12, 1])
+def test_local_linear(data, heteroscedastic, expressions, monkeypatch):
+    monkeypatch.setattr(inference, "PRODUCT_COLUMNS", expressions)
     rows, target = table(), np.array((3.0, 2.5, 3.0))
     d, stats, mad = numpy_distance(rows, target)
     k = int(np.ceil(N * 0.4))

@@ -55,8 +55,24 @@ def finite_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows without NULL or NaN."""
-    return df.na.drop("any", subset=list(columns) if columns is not None else None)
+    """Rows without NULL or NaN.
+
+    One condition per column, not one over all of them: the optimizer carries each condition through
+    later renames, and one that spans many columns multiplies with every one renamed.
+    """
+    types = dict(df.dtypes)
+    tests = []
+    for c in columns if columns is not None else df.columns:
+        tests.append(named(c).isNotNull())
+        if types[c] in ("double", "float"):
+            tests.append(~F.isnan(named(c)))
+    return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
+
+
+def doubles(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns as doubles; those that are already are passed on as they stand, without an alias."""
+    types = dict(df.dtypes)
+    return [named(c) if types[c] == "double" else named(c).cast("double").alias(c) for c in columns]
 
 
 # --- formula columns and recycling -----------------------------------------------------------

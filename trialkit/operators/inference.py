@@ -10,10 +10,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialkit.functions.columns import is_missing, named, require_columns, uniform
+from trialkit.functions.columns import doubles, is_missing, named, require_columns, uniform
 from trialkit.operators.blocks import (
     GroupSizes,
     group_quantiles,
@@ -121,11 +122,11 @@ def build_abc_input(
         warnings.warn(f"target has further columns, which are left out: {', '.join(extra)}", stacklevel=2)
     order = [named(k) for k in goal_key if k in goal.columns]
     first = goal.orderBy(*order) if order else goal
-    values = first.select(*[named(s).cast("double").alias(s) for s in stats]).limit(1).collect()
+    values = first.select(*doubles(first, stats)).limit(1).collect()
     if not values:
         raise ValueError("target has no row")
 
-    chosen = table.select(named(condition), *[named(s).cast("double").alias(s) for s in stats])
+    chosen = table.select(named(condition), *doubles(table, stats))
     aligned = join_on_keys(condition_params(rows, params, condition), chosen, [condition])
     # One row per condition from here on. Every fit reads it several times, so it is written once rather
     # than summarised from the responses again by each job.
@@ -190,7 +191,9 @@ def _accept(data: AbcInput, tol: float, block_rows: int | None) -> _Accepted:
     last = pairs.where(F.col("place") == wanted).first()
     near = F.col("distance") < F.lit(last["distance"])
     tied = (F.col("distance") == F.lit(last["distance"])) & (named(data.key) <= F.lit(last[data.key]))
-    return _Accepted(measured.where(near | tied), scale)
+    # Written down: fits and reports all start here, and the optimizer would otherwise carry the distance,
+    # an equation over all statistics, through every later projection of them.
+    return _Accepted(materialise(measured.where(near | tied)), scale)
 
 
 def abc_rejection(data: AbcInput, tol: float, block_rows: int | None = None) -> Posterior:
@@ -208,19 +211,45 @@ def _solve(gram: np.ndarray, moment: np.ndarray) -> np.ndarray:
     return (np.linalg.pinv(scaled, rcond=1e-12, hermitian=True) @ (moment / size[:, None])) / size[:, None]
 
 
-def _squares(x: Sequence[Column], weight: Column) -> list[Column]:
-    """Sums of products of the columns with each other, one triangle of the matrix."""
-    return [F.sum(weight * x[i] * x[j]) for i in range(len(x)) for j in range(i + 1)]
+#: Up to this many columns their products are summed as expressions; more would outgrow generated code.
+PRODUCT_COLUMNS = 12
 
 
-def _symmetric(triangle: Sequence[float], k: int) -> np.ndarray:
-    out = np.zeros((k, k))
-    out[np.tril_indices(k)] = np.array(triangle, dtype=float)
-    return out + np.tril(out, -1).T
+def _moments(df: DataFrame, vector: str, weight: str, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Weighted sums of products of the elements of an array column, their plain sums, and the row count.
 
-
-def _products(left: Sequence[Column], right: Sequence[Column], weight: Column) -> list[Column]:
-    return [F.sum(weight * a * b) for a in left for b in right]
+    What reaches the driver has the size of the array squared, whatever the number of rows.
+    """
+    if size <= PRODUCT_COLUMNS:
+        z = [F.get(F.col(vector), F.lit(i)) for i in range(size)]
+        products = [F.sum(F.col(weight) * z[i] * z[j]) for i in range(size) for j in range(i + 1)]
+        row = df.agg(*products, *[F.sum(c) for c in z], F.count(F.lit(1))).first()
+        gram = np.zeros((size, size))
+        gram[np.tril_indices(size)] = np.array(row[: len(products)], dtype=float)
+        gram = gram + np.tril(gram, -1).T
+        return gram, np.array(row[len(products) : -1], dtype=float), row[-1]
+
+    def partial(batches):
+        total = np.zeros(size * size + size + 1)
+        for rows in batches:
+            if len(rows):
+                z = np.stack(rows[vector].to_numpy())
+                w = rows[weight].to_numpy(dtype=float)
+                total += np.concatenate([((z * w[:, None]).T @ z).ravel(), z.sum(axis=0), [len(rows)]])
+        yield pd.DataFrame({"sums": [total.tolist()]})
+
+    # one array per task, added up element by element
+    spread = df.select(vector, weight).mapInPandas(partial, "sums array<double>")
+    spread = spread.select(F.posexplode("sums").alias("spot", "part"))
+    sums = spread.groupBy("spot").agg(F.sum("part").alias("part")).orderBy("spot").collect()
+    flat = np.array([r["part"] for r in sums])
+    return flat[: size * size].reshape(size, size), flat[size * size : -1], int(flat[-1])
+
+
+def _dot(vector: str, coefficients: np.ndarray) -> Column:
+    """Product of an array column and fixed coefficients, as one expression over one column."""
+    terms = F.zip_with(F.col(vector), F.array(*[F.lit(float(c)) for c in coefficients]), lambda a, b: a * b)
+    return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
 
 
 def abc_local_linear(
@@ -247,9 +276,6 @@ def abc_local_linear(
     accepted = _accept(data, tol, block_rows)
     kept = accepted.df
 
-    x = [F.lit(1.0)] + [
-        (named(s) - F.lit(data.target[s])) / F.lit(accepted.scale[s]) for s in data.stats
-    ]
     logged = [p for p in data.params if transforms.get(p, "none") == "log"]
     bounds = kept.agg(
         F.max("distance").alias("d_max"),
@@ -268,45 +294,39 @@ def abc_local_linear(
     y = [moved(p) for p in data.params]
     d_max = bounds["d_max"]
     weight = 1.0 - F.pow(F.col("distance") / F.lit(d_max), F.lit(2.0)) if d_max else F.lit(1.0)
-    k, m = len(x), len(y)
-
-    half = k * (k + 1) // 2
-    sums = kept.agg(
-        *_squares(x, weight), *_products(x, y, weight), F.count(F.lit(1)), *[F.sum(c) for c in [*x, *y]]
-    ).first()
-    gram = _symmetric(sums[:half], k)
-    beta = _solve(gram, np.array(sums[half : half + k * m], dtype=float).reshape(k, m))
-    plain = np.array(sums[half + k * m + 1 :], dtype=float) / float(sums[half + k * m])
-
-    def fitted(coefficients: np.ndarray) -> Column:
-        return reduce(lambda a, b: a + b, [F.lit(float(c)) * col for c, col in zip(coefficients, x, strict=True)])
+    # Statistics and parameters travel as two arrays. Equations over dozens of columns would follow the
+    # rows through every projection and keep the optimizer busy for longer than the job.
+    away = [(named(s) - F.lit(data.target[s])) / F.lit(accepted.scale[s]) for s in data.stats]
+    rows = kept.withColumns(
+        {"__x": F.array(F.lit(1.0), *away), "__y": F.array(*[moved(p) for p in data.params]), "__w": weight}
+    )
+    k, m = len(data.stats) + 1, len(data.params)
+    products, totals, count = _moments(rows.withColumn("__z", F.concat("__x", "__y")), "__z", "__w", k + m)
+    gram = products[:k, :k]
+    beta = _solve(gram, products[:k, k:])
+    plain = totals / count
 
     # statistics are measured from the target, so the prediction there is the intercept
     shift = plain[k:] - plain[:k] @ beta
-    residuals = [y[j] - fitted(beta[:, j]) - F.lit(float(shift[j])) for j in range(m)]
+    left = [F.get("__y", F.lit(j)) - _dot("__x", beta[:, j]) - F.lit(float(shift[j])) for j in range(m)]
+    rows = rows.withColumn("__r", F.array(*left))
+    residuals = [F.get("__r", F.lit(j)) for j in range(m)]
     if heteroscedastic:
         # a zero residual has no log and stays out of this regression
-        logs = [F.when(r != 0, F.log(r * r)) for r in residuals]
-        flat = kept.agg(
-            *_products(x, logs, weight), *[F.count_if(g.isNull()) for g in logs]
-        ).first()
-        moments = np.array(flat[: k * m], dtype=float).reshape(k, m)
-        spread = []
-        for j, zeros in enumerate(flat[k * m :]):
-            own = gram
-            if zeros:
-                missing = F.when(logs[j].isNull(), weight).otherwise(F.lit(0.0))
-                own = gram - _symmetric(kept.agg(*_squares(x, missing)).first(), k)
-            spread.append(_solve(own, moments[:, [j]])[:, 0])
-        residuals = [
-            r * F.sqrt(F.exp(F.lit(float(c[0])) - fitted(c))) for r, c in zip(residuals, spread, strict=True)
-        ]
+        logs = F.transform("__r", lambda r: F.when(r != 0, F.log(r * r)).otherwise(F.lit(0.0)))
+        moments = _moments(rows.withColumn("__z", F.concat("__x", logs)), "__z", "__w", k + m)[0][:k, k:]
+        zeros = rows.agg(*[F.count_if(r == 0) for r in residuals]).first()
+        for j in range(m):
+            own = _moments(rows.where(residuals[j] != 0), "__x", "__w", k)[0] if zeros[j] else gram
+            c = _solve(own, moments[:, [j]])[:, 0]
+            residuals[j] = residuals[j] * F.sqrt(F.exp(F.lit(float(c[0])) - _dot("__x", c)))
     adjusted = {p: f"adjusted_{p}" for p in data.params}
     columns = {}
     for j, p in enumerate(data.params):
         value = F.lit(float(beta[0, j] + shift[j])) + residuals[j]
         columns[adjusted[p]] = F.exp(value) if p in floors else value
-    return Posterior(kept.withColumns(columns), data.params, adjusted)
+    out = rows.withColumns(columns).drop("__x", "__y", "__w", "__r")
+    return Posterior(materialise(out), data.params, adjusted)
 
 
 # --- cross-validation ------------------------------------------------------------------------
@@ -401,7 +421,7 @@ def abc_cross_validate(
     )
     pairs = complete.select(
         named(data.key).alias("__id"),
-        *[named(p).cast("double").alias(p) for p in data.params],
+        *doubles(complete, data.params),
         *[named(s) for s in data.stats],
         F.explode(targets).alias("h"),
     ).where(F.col("__id") != F.col("h.holdout"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialkit.functions.columns import named, with_formulas
+from trialkit.functions.columns import doubles, named, with_formulas
 
 #: Per-item inputs a trial may carry; not part of the long table.
 EXCLUDED_FIELD = ".item_params"
@@ -112,5 +112,5 @@ def to_long(
     df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "parameter", value: str = "value"
 ) -> DataFrame:
     """One row per listed column."""
-    cast = df.select(*[named(i) for i in ids], *[named(c).cast("double").alias(c) for c in columns])
+    cast = df.select(*[named(i) for i in ids], *doubles(df, columns))
     return cast.unpivot([named(i) for i in ids], [named(c) for c in columns], name, value)

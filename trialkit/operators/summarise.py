@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialkit.functions.columns import named, require_columns
+from trialkit.functions.columns import complete_cases, named, require_columns
 from trialkit.functions.stats import Quantiles, Vector, present
 from trialkit.operators.blocks import GroupSizes, group_quantiles, group_sizes, join_on_keys
 
@@ -35,7 +35,7 @@ class SummaryTable:
 
     def complete(self) -> SummaryTable:
         """Without rows that lack a value."""
-        return SummaryTable(self.df.na.drop("any"), self.key)
+        return SummaryTable(complete_cases(self.df), self.key)
 
 
 @dataclass(frozen=True)

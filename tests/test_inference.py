@@ -175,3 +175,22 @@ def test_posterior_values_prefer_adjusted(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "p double, adjusted_p double")
     assert Posterior(df, ("p",)).values().first().p == 1.0
     assert Posterior(df, ("p",), {"p": "adjusted_p"}).values().first().p == 2.0
+
+
+def test_many_statistics_plan_quickly(spark):
+    """Conditions and distances over dozens of columns must not multiply with later renames."""
+    from time import perf_counter
+
+    from pyspark.sql import functions as F
+
+    stats = tuple(f"s {i}" for i in range(36))
+    df = spark.range(1, 201).select(
+        F.col("id").alias("condition_idx"), (F.col("id") * 0.5).alias("p"), *[F.sin(F.col("id") * (i + 1)).alias(s) for i, s in enumerate(stats)]
+    )
+    start = perf_counter()
+    summary = SummaryTable(df.drop("p"), ("condition_idx",)).complete()
+    data = build_abc_input(df, summary, SummaryTable(df.drop("p"), ("condition_idx",)), ["p"])
+    post = abc_local_linear(data, 0.9)
+    renamed = post.df.toDF(*[f"c{i}" for i in range(len(post.df.columns))])
+    assert renamed.where("c0 > 0").count() == 180
+    assert perf_counter() - start < 120

@@ -36,6 +36,15 @@ def test_flatten(nested):
     assert "Exchange" not in plan_of(flat)
 
 
+def test_parameters_in_a_map(nested):
+    as_map = nested.withColumn("cond_params", F.create_map(F.lit("drift"), F.col("cond_params.drift")))
+    with pytest.raises(TypeError):
+        flatten_results(as_map)
+    flat = flatten_results(as_map, param_names=["drift", "absent"])
+    got = sorted((r.condition_idx, r.trial_idx, r.rank_idx, r.drift, r.absent) for r in flat.collect())
+    assert got[0] == (1, 1, 1, 0.5, None) and got[-1] == (3, 2, 3, 1.3, None)
+
+
 def test_counts(nested):
     got = {r.condition_idx: r.n for r in nested.select("condition_idx", count_responses(nested).alias("n")).collect()}
     assert got == {1: 2, 2: 0, 3: 4}

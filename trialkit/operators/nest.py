@@ -30,19 +30,26 @@ def flatten_results(
     condition: str = "condition_idx",
     trials: str = "result",
     params: str = "cond_params",
+    param_names: Sequence[str] | None = None,
     model: str = "model",
 ) -> DataFrame:
     """One row per response from one nested record per condition.
 
-    ``trials`` is an array of structs of equally long arrays; ``params`` a struct or map of arrays with
-    one value per trial. A trial without responses gives no row. A parameter named like an index
+    ``trials`` is an array of structs of equally long arrays; ``params`` a struct of arrays with one value
+    per trial, or a map of them, whose keys to read ``param_names`` lists. A trial without responses gives no row. A parameter named like an index
     column replaces that column. Both explodes are narrow: nothing is shuffled.
     """
     fields = _trial_fields(df, trials)
     ptype = df.schema[params].dataType
-    if isinstance(ptype, T.MapType):
-        raise TypeError("give the parameters as a struct of arrays: a map has no fixed columns")
-    pnames = [f.name for f in ptype.fields]
+    mapped = isinstance(ptype, T.MapType)
+    if mapped and param_names is None:
+        raise TypeError("a map has no fixed columns: name the parameters to read")
+    pnames = list(param_names) if param_names is not None else [f.name for f in ptype.fields]
+
+    def parameter(name: str) -> Column:
+        held = F.col("__params")
+        return F.try_element_at(held, F.lit(name)) if mapped else _field(held, name)
+
     # Parameters are read by position while the trials are still arrays, so the row that travels through
     # the second explode carries one value per parameter rather than the whole arrays.
     per_trial = df.select(
@@ -55,7 +62,7 @@ def flatten_results(
         "__condition",
         F.col("__t"),
         F.arrays_zip(*[_field(F.col("__trial"), f).alias(f) for f in fields]).alias("__rows"),
-        *[F.get(_field(F.col("__params"), p), F.col("__t")).alias(f"__p_{p}") for p in pnames],
+        *[F.get(parameter(p), F.col("__t")).alias(f"__p_{p}") for p in pnames],
     )
     rows = per_trial.select(
         "__model", "__condition", "__t", *[named(f"__p_{p}") for p in pnames],

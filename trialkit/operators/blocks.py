@@ -26,6 +26,8 @@ from trialkit.sources.checkpoints import materialise
 BLOCK_ROWS = 250_000
 #: Blocks of fewer rows are not worth a task, even where ``block_rows`` asks for smaller ones.
 SHORTEST_BLOCK = 10_000
+#: A big group is cut into a few blocks even so.
+FEWEST_BLOCKS = 8
 #: Upper bound on range partitions; past it the blocks get longer and their sort spills.
 MAX_BLOCKS = 20_000
 
@@ -127,9 +129,8 @@ class Blocks:
         if not sizes.beyond(block_rows):
             return cls(rows.withColumn(BLOCK, F.lit(0)), keys, order, False)
         limit = BLOCK_ROWS if block_rows is None else block_rows
-        shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         wanted = math.ceil(sizes.total / max(limit, SHORTEST_BLOCK))
-        parts = max(2, min(max(wanted, shuffles), MAX_BLOCKS))
+        parts = max(FEWEST_BLOCKS, min(wanted, MAX_BLOCKS))
         ranged = rows.repartitionByRange(parts, *[named(c) for c in [*keys, *order]])
         # A block number is only as stable as the range bounds behind it, so it is written down
         # before anything is computed from it: a lost executor cannot renumber the blocks.

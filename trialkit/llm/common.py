@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialkit.sources.checkpoints import scratch_folder
@@ -71,3 +71,23 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
         last = min(max(last, first + 1), len(texts))
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+
+
+def numbered(rows: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
+    """Number all rows 0, 1, … by ``order``, which should be free of ties, without gathering them.
+
+    The rows are range-partitioned, numbered within their partition, and shifted by the counts of the
+    partitions before it: one row per partition. The rows are written once, so the numbers are fixed.
+    """
+    place, part = fresh(rows, "place", "part")
+    shift = 33  # monotonically_increasing_id keeps the partition above this bit, the position below it
+    keys = [F.col(f"`{c}`") for c in order]
+    spread = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(spread.withColumn(place, F.monotonically_increasing_id()), name)
+    placed = placed.withColumn(part, F.shiftright(place, shift))
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    joined = placed.join(starts.withColumnRenamed("start", out), part)
+    within = F.col(place).bitwiseAND(F.lit((1 << shift) - 1))
+    return joined.withColumn(out, F.col(out) + within).drop(place, part)

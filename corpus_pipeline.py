@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trialkit.llm.common import read_table, stored
+from trialkit.llm.decontaminate import decontaminate
+from trialkit.llm.line_dedup import dedup_lines
+from trialkit.llm.ngram_jaccard import first_of_groups
+from trialkit.llm.packing import pack
 from trialkit.llm.quality_rules import quality_filter
 
 
@@ -13,7 +19,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of lines that came before; those of which nothing is left go."""
+    return dedup_lines(docs).where(F.col("text").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return first_of_groups(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: Estimated accuracies and packed token ids are beyond SQL; the tests hold every stage against plain Python.
 ORACLE_SQL = None

@@ -61,7 +61,28 @@ def test_pieces_are_bounded(rows):
         merge=lambda parts: pd.DataFrame({"condition_idx": parts["condition_idx"].head(1), "n": [parts["n"].max()]}),
         block_rows=50,
     )
-    assert max(r.n for r in seen.collect()) < 120
+    assert max(r.n for r in seen.collect()) <= 50
+
+
+def test_equal_rows_are_cut_into_pieces(spark):
+    same = spark.range(1000).select(F.lit(1).cast("long").alias("condition_idx"), F.lit(2.5).alias("rt"))
+    count = lambda pdf: pd.DataFrame({"condition_idx": [1], "n": [len(pdf)]})
+    listed = lambda parts: pd.DataFrame({"condition_idx": [1], "n": [len(parts) * 1000 + parts["n"].max()]})
+    out = map_by_condition(same, count, schema="condition_idx long, n long", merge=listed, block_rows=50)
+    assert out.first().n == 20 * 1000 + 50
+
+
+def test_many_rows_change_nothing(spark):
+    """Beyond the block size all forms still give what the spec gives."""
+    many = spark.range(260_000).select(
+        F.when(F.col("id") < 255_000, 0).otherwise(1).cast("long").alias("condition_idx"), (F.col("id") % 1000 / 8).alias("rt")
+    )
+    spec = summarise(n=S.count(), total=F.sum("rt"))
+    native = read(map_by_condition(many, spec, combine=lambda t: t.df))
+    assert read(map_by_condition(many, sums, schema=SCHEMA)) == native
+    assert read(map_by_condition(many, stream, schema=SCHEMA)) == native
+    assert read(map_by_condition(many, sums, schema=SCHEMA, merge=merge)) == native
+    assert read(map_by_condition(many, stream, schema=SCHEMA, merge=merge)) == native
 
 
 def test_arguments_and_combiner(rows):
@@ -75,5 +96,3 @@ def test_refusals(rows):
         map_by_condition(rows, 3, schema=SCHEMA)
     with pytest.raises(ValueError, match="schema"):
         map_by_condition(rows, sums)
-    with pytest.raises(ValueError, match="merge"):
-        map_by_condition(rows, sums, schema=SCHEMA, block_rows=20)

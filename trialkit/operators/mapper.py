@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialkit.functions.columns import named, require_columns
-from trialkit.operators.blocks import BLOCK_ROWS, group_sizes, join_on_keys
+from trialkit.operators.blocks import BLOCK_ROWS, GroupSizes, row_numbers
 from trialkit.operators.summarise import SummarySpec, SummaryTable
 from trialkit.sources.results import ResultSet
 
 CONDITION = "condition_idx"
 PIECE = "__piece"
+TAG = "__tag"
 
 
 def map_by_condition(
@@ -28,38 +29,35 @@ def map_by_condition(
     combine: Callable[[DataFrame], object] | None = None,
     condition: str = CONDITION,
     block_rows: int | None = None,
+    sizes: GroupSizes | None = None,
     **options,
 ):
     """Apply ``function`` to the rows of each condition and bind the results by rows.
 
     * A summary spec runs as one Spark aggregation over the whole table: conditions are part of its
       key, so the result is the same and nothing is handed to Python.
-    * A pandas function gets the rows of a condition and returns rows of ``schema``. Written over an
-      iterator of frames it sees the condition batch by batch and need not hold it whole.
-    * With ``merge`` the function runs on pieces of a condition of at most about ``block_rows`` rows,
-      and ``merge`` makes the result of a condition out of the rows its pieces gave. This is the form
-      for conditions of any size: no task gets a whole one.
-
-    ``combine`` replaces the binding of rows: it gets the combined frame and its result is returned.
+    * A pandas function gets the rows of a condition as one frame and returns rows of ``schema``. The
+      frame holds the whole condition in the memory of one task, however many rows that is.
+    * Written over an iterator of frames it sees the condition batch by batch and need not hold it whole.
+    * With ``merge`` the function, in either form, runs on pieces of a condition of at most ``block_rows``
+      rows, and ``merge`` makes the result of a condition out of the rows its pieces gave. This is the
+      form for conditions of any size: no task gets a whole one. ``sizes`` saves counting them.
+
+    What a call gives does not depend on the number of rows. ``combine`` replaces the binding of rows: it
+    gets the combined frame and its result is returned.
     """
     df = results.dataset() if isinstance(results, ResultSet) else results
     require_columns(df, [condition])
     if isinstance(function, SummarySpec):
-        out: DataFrame | SummaryTable = function(df, block_rows)
+        out: DataFrame | SummaryTable = function(df, block_rows, sizes)
     elif not callable(function):
         raise TypeError("function must be callable or a summary spec")
     elif schema is None:
         raise ValueError("a pandas function needs the schema of its result")
     elif merge is None:
-        limit = block_rows or BLOCK_ROWS
-        if not _takes_iterator(function) and group_sizes(df, [condition]).beyond(limit):
-            raise ValueError(
-                f"some conditions have more than {limit} rows: give a function over an iterator of frames, "
-                "or a merge function so that conditions can be worked on in pieces"
-            )
         out = df.groupBy(named(condition)).applyInPandas(_bound(function, arguments, options), schema)
     else:
-        pieces = _in_pieces(df, condition, block_rows or BLOCK_ROWS)
+        pieces = _in_pieces(df, condition, block_rows or BLOCK_ROWS, sizes)
         work = _bound(function, arguments, options)
         parts = pieces.groupBy(named(condition), named(PIECE)).applyInPandas(_without_piece(work), schema)
         out = parts.groupBy(named(condition)).applyInPandas(merge, merge_schema or schema)
@@ -90,18 +88,25 @@ def _bound(function, arguments, options):
 
 
 def _without_piece(function):
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
+    if _takes_iterator(function):
+
+        def over_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return function(rows.drop(columns=PIECE) for rows in batches)
+
+        return over_batches
+
+    def over_frame(rows: pd.DataFrame) -> pd.DataFrame:
         return function(rows.drop(columns=PIECE))
 
-    return work
+    return over_frame
 
 
-def _in_pieces(df: DataFrame, condition: str, block_rows: int) -> DataFrame:
-    """Tag the rows of a condition with one of ``ceil(rows / block_rows)`` piece numbers."""
-    sizes = df.groupBy(named(condition)).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("__pieces"))
-    # only conditions with more than one piece need a join; there are at most rows / block_rows of them
-    split = sizes.where("__pieces > 1")
-    tagged = join_on_keys(df, split, [condition], "left")
-    # the piece depends on the row's content alone, so a retried task repeats it
-    spread = F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.coalesce("__pieces", F.lit(1)))
-    return tagged.withColumn(PIECE, spread.cast("int")).drop("__pieces")
+def _in_pieces(df: DataFrame, condition: str, block_rows: int, sizes: GroupSizes | None) -> DataFrame:
+    """Number the rows of each condition and cut the numbers into pieces of ``block_rows``.
+
+    Rows are put in order by a hash of their content; rows that are equal are interchangeable.
+    """
+    content = F.xxhash64(*[named(c) for c in df.columns])
+    numbers = row_numbers(df.withColumn(TAG, content), [condition], [TAG], PIECE, block_rows, sizes)
+    piece = F.floor((F.col(PIECE) - 1) / F.lit(block_rows)).cast("bigint")
+    return numbers.select(*[named(c) for c in df.columns], piece.alias(PIECE))

@@ -64,4 +64,34 @@ def test_observed_data(spark):
 def test_dense_codes(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "x string")
     got = {r.x: r.code for r in dense_codes(df, "x", "code").collect()}
-    assert got["b"] == got["a"] + 1 and len(got) == 3
+    # a missing value has no code and moves no other
+    assert got == {"a": 1, "b": 2, None: None}
+
+
+def test_materialised_table(spark):
+    from trialkit.sources import checkpoints
+
+    df = spark.range(5).select(F.col("id").alias("a (x)"), F.when(F.col("id") > 2, F.col("id")).alias("b"))
+    out = checkpoints.materialise(df)
+    assert out.schema == df.schema
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    path = checkpoints._written[-1][1]
+    assert Folder(spark, path).exists()
+    # only this table is given up; others may still be read
+    kept, checkpoints._written[:] = checkpoints._written[:-1], checkpoints._written[-1:]
+    checkpoints.discard(spark)
+    checkpoints._written[:] = kept
+    assert not Folder(spark, path).exists()
+
+
+def test_ranks_with_given_sizes_count_nothing(spark):
+    from trialkit.operators.blocks import GroupSizes
+
+    df = spark.createDataFrame([(1, 1, 2, 0.5), (1, 1, 1, 0.7), (1, 2, 1, 0.1)], "c long, t long, i int, rt double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranks with sizes", "ranks")
+    ranked = as_results(df, condition="c", trial="t", item="i", rt="rt", sizes=GroupSizes(3, 2))
+    started = list(tracker.getJobIdsForGroup("ranks with sizes"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not started
+    assert sorted((r.trial_idx, r.item_idx, r.rank_idx) for r in ranked.collect()) == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]

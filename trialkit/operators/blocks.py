@@ -5,7 +5,11 @@ a window per group does it. Once one group outgrows ``BLOCK_ROWS`` the rows are
 (group, order), which cuts a big group into many *blocks*; a window per block plus the totals of the
 blocks before it gives the same numbers, and no task ever holds a whole group.
 
-The choice is made from one counted number (the size of the biggest group), never guessed.
+The choice is made from one counted number (the size of the biggest group), never guessed. A caller that
+knows the sizes, say from another operator of the same chain, hands them over and nothing is counted.
+
+Counts, ranks and quantiles are the same to the last bit either way. Running sums of doubles add in another
+order within blocks, so their last bits may differ between the two.
 """
 
 from __future__ import annotations
@@ -28,8 +32,6 @@ BLOCK_ROWS = 250_000
 SHORTEST_BLOCK = 10_000
 #: A big group is cut into a few blocks even so.
 FEWEST_BLOCKS = 8
-#: Upper bound on range partitions; past it the blocks get longer and their sort spills.
-MAX_BLOCKS = 20_000
 
 BLOCK = "__block"
 
@@ -129,8 +131,8 @@ class Blocks:
         if not sizes.beyond(block_rows):
             return cls(rows.withColumn(BLOCK, F.lit(0)), keys, order, False)
         limit = BLOCK_ROWS if block_rows is None else block_rows
-        wanted = math.ceil(sizes.total / max(limit, SHORTEST_BLOCK))
-        parts = max(FEWEST_BLOCKS, min(wanted, MAX_BLOCKS))
+        # the number of blocks follows the rows alone, so a block never outgrows its limit
+        parts = max(FEWEST_BLOCKS, math.ceil(sizes.total / max(limit, SHORTEST_BLOCK)))
         ranged = rows.repartitionByRange(parts, *[named(c) for c in [*keys, *order]])
         # A block number is only as stable as the range bounds behind it, so it is written down
         # before anything is computed from it: a lost executor cannot renumber the blocks.
@@ -169,7 +171,7 @@ class Blocks:
     def _starts(self, sums: Mapping[str, Column], totals: Mapping[str, str]) -> DataFrame:
         """Per block of a group: the sums over the blocks before it (``__b_…``), and group totals.
 
-        One row per block: at most MAX_BLOCKS for a group, however many rows it has.
+        One row per block of a group.
         """
         cells = self.rows.groupBy(*self._cells()).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
         group = Window.partitionBy(*[named(k) for k in self.keys])
@@ -240,10 +242,18 @@ def running_sums(
 
 
 def average_ranks(
-    rows: DataFrame, keys: Sequence[str], value: str, out: str, block_rows: int | None = None
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    out: str,
+    block_rows: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Rank of each value in its group, ties sharing their mean rank."""
-    ranked = running_sums(_counted(rows, keys, value), keys, [value], {"__le": F.col("__w")}, block_rows)
+    """Rank of each value in its group, ties sharing their mean rank.
+
+    The join back is plain, so adaptive execution splits the rows of a value that fills a group.
+    """
+    ranked = running_sums(_counted(rows, keys, value), keys, [value], {"__le": F.col("__w")}, block_rows, sizes)
     ranks = ranked.select(
         *[named(k) for k in [*keys, value]],
         (F.col("__le") - F.col("__w") + (F.col("__w") + 1) / 2.0).alias(out),

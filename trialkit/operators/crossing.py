@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialkit.functions.columns import as_column, named, require_columns
-from trialkit.operators.blocks import row_numbers, running_sums
+from trialkit.operators.blocks import GroupSizes, row_numbers, running_sums
 
 
 def first_crossing(
@@ -21,6 +21,7 @@ def first_crossing(
     lower: Column | float | None = None,
     order: Sequence[str] = (),
     block_rows: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Per series, the first time its running sum reaches ``upper`` or falls to ``lower``.
 
@@ -40,7 +41,7 @@ def first_crossing(
         high.alias("__high"),
         low.alias("__low"),
     )
-    sums = running_sums(steps, keys, [time, *order], {"__sum": F.col("__step")}, block_rows)
+    sums = running_sums(steps, keys, [time, *order], {"__sum": F.col("__step")}, block_rows, sizes)
     up = F.coalesce(F.col("__sum") >= F.col("__high"), F.lit(False))
     down = F.coalesce(F.col("__sum") <= F.col("__low"), F.lit(False))
     hits = sums.where(up | down)
@@ -61,6 +62,7 @@ def race(
     max_time: Column | float | None = None,
     max_reached: int | None = None,
     block_rows: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Rank the crossings of each trial by time, then item.
 
@@ -70,6 +72,6 @@ def race(
     if max_time is not None:
         limit = max_time if isinstance(max_time, Column) else F.lit(max_time)
         crossings = crossings.where(named(time) < limit)
-    ranked = row_numbers(crossings, list(trial), [time, item], "rank_idx", block_rows)
+    ranked = row_numbers(crossings, list(trial), [time, item], "rank_idx", block_rows, sizes)
     ranked = ranked.withColumn("rank_idx", F.col("rank_idx").cast("int"))
     return ranked if max_reached is None else ranked.where(F.col("rank_idx") <= max_reached)

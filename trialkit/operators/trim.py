@@ -26,6 +26,7 @@ def trim_cells(
     keys: Sequence[str] = GROUP,
     rt: str = "rt",
     block_rows: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Lognormal fit and Kolmogorov–Smirnov distance for every group and trim.
 
@@ -36,7 +37,7 @@ def trim_cells(
     """
     require_columns(df, [*keys, rt])
     times = df.where(valid_time(rt)).select(*[named(k) for k in keys], named(rt).cast("double").alias("__x"))
-    sizes = group_sizes(times, keys)
+    sizes = sizes or group_sizes(times, keys)
     if sizes.beyond(block_rows):
         times, keys, back = solid_keys(times, keys)
         rows = _fitted_in_blocks(times, trims, keys, block_rows, sizes)
@@ -205,9 +206,10 @@ def trim_thresholds(
     keys: Sequence[str] = GROUP,
     rt: str = "rt",
     block_rows: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """The trim with the lowest score per group; the smaller trim wins a tie, missing scores lose."""
-    cells = trim_cells(df, trims, penalty, keys, rt, block_rows)
+    cells = trim_cells(df, trims, penalty, keys, rt, block_rows, sizes)
     rank = F.struct(F.col("score").isNull(), "score", "trim")
     rest = [c for c in cells.columns if c not in keys]
     best = cells.groupBy(*[named(k) for k in keys]).agg(F.min_by(F.struct(*rest), rank).alias("best"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialkit.functions.columns import as_column, named, require_columns
-from trialkit.operators.blocks import row_numbers
+from trialkit.operators.blocks import GroupSizes, row_numbers
 
 MANIFEST = "manifest.json"
 DATASET = "dataset"
@@ -36,11 +36,12 @@ def as_results(
     params: Mapping[str, Column | str] | None = None,
     tie_break: Sequence[Column | str] = (),
     block_rows: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Observed data in the shape of a result table.
 
     Without ``rank`` the responses of a trial are ranked by time, then item, then ``tie_break``; these
-    together must tell the rows of a trial apart.
+    together must tell the rows of a trial apart. ``sizes`` of the trials saves counting them.
     """
     for name in (condition, trial, item, rt, rank, choice, *(params or {}).values()):
         if isinstance(name, str):
@@ -61,7 +62,7 @@ def as_results(
     ties = [as_column(c).alias(f"__tie{i}") for i, c in enumerate(tie_break)]
     wide = df.select(*columns, *ties)
     order = ["rt", "item_idx", *[f"__tie{i}" for i in range(len(ties))]]
-    ranked = row_numbers(wide, ["condition_idx", "trial_idx"], order, "rank_idx", block_rows)
+    ranked = row_numbers(wide, ["condition_idx", "trial_idx"], order, "rank_idx", block_rows, sizes)
     return ranked.withColumn("rank_idx", F.col("rank_idx").cast("int")).drop(*[f"__tie{i}" for i in range(len(ties))])
 
 
@@ -171,7 +172,7 @@ class ResultSet:
 
 
 def dense_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Number the distinct values 1, 2, … in order and join the numbers back."""
-    values = df.select(named(column).alias("__value")).distinct()
+    """Number the distinct values 1, 2, … in order and join the numbers back; NULL has no code."""
+    values = df.where(named(column).isNotNull()).select(named(column).alias("__value")).distinct()
     coded = row_numbers(values, [], ["__value"], out)
-    return df.join(coded, named(column).eqNullSafe(F.col("__value")), "left").drop("__value")
+    return df.join(coded, named(column) == F.col("__value"), "left").drop("__value")

@@ -180,3 +180,47 @@ def test_bind_rows_and_immediate_form(rows):
     b = summarise_by(rows, n=S.count()).df
     got = bind_rows(a, b)
     assert got.columns == ["condition_idx", "m", "n"] and got.count() == 6
+
+
+def test_labels_read_as_text(spark):
+    df = spark.createDataFrame(
+        [(1, True, 0.1 + 0.2, 1.0), (1, False, 2.0, 2.0), (1, None, 1.5e-7, 3.0), (1, True, 0.25, 4.0)],
+        "condition_idx long, yes boolean, x double, rt double",
+    )
+    logical = summarise(by=["condition_idx", "yes"], m=S.mean("rt"))(df)
+    assert set(logical.statistics) == {"yes_TRUE", "yes_FALSE", "yes_NA"}
+    numbers = summarise(by=["condition_idx", "x"], m=S.mean("rt"))(df)
+    assert set(numbers.statistics) == {"x_0.3", "x_2", "x_1.5e-07", "x_0.25"}
+
+
+def test_given_pivot_values(spark):
+    df = spark.range(50).select((F.col("id") % 3).alias("condition_idx"), (F.col("id") % 5).alias("item"), (F.col("id") * 1.0).alias("rt"))
+    spec = summarise(by=["condition_idx", "item"], pivot_values=[3, 0, 9], m=S.mean("rt"))
+    # more values than Spark's own limit are fine when they are given
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    try:
+        table = spec(df)
+        with pytest.raises(ValueError, match="pivot_values"):
+            summarise(by=["condition_idx", "item"], m=S.mean("rt"))(df)
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+    assert table.df.columns == ["condition_idx", "item_3", "item_0", "item_9"]
+    assert all(r["item_9"] is None and r["item_3"] is not None for r in table.df.collect())
+
+
+def test_python_aggregates_beside_built_in_ones(rows):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min()) if v.notna().any() else -1.0
+
+    keys = ["condition_idx", "item_idx"]
+    spec = summarise(by=keys, wider_by=keys, spread=spread("rt"), m=S.mean("rt"), q=S.median("rt"), low=F.min("rt"), high=F.max("rt"))
+    got = spec(rows).df.collect()
+    assert len(got) == rows.select(*keys).distinct().count()
+    for r in got:
+        if r["low"] is not None and r["low"] == r["low"] and r["high"] == r["high"]:
+            assert r["spread"] == pytest.approx(r["high"] - r["low"])
+    alone = summarise(by=None, wider_by=None, spread=spread("rt"), n=S.count())(rows).df.collect()
+    assert len(alone) == 1 and alone[0]["n"] == rows.count()

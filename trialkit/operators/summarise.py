@@ -43,6 +43,7 @@ class SummaryOp:
     by: tuple[str, ...]
     wider_by: tuple[str, ...]
     expressions: tuple[tuple[str, Expression], ...]
+    pivot_values: tuple | None = None
 
     @property
     def pivoted(self) -> tuple[str, ...]:
@@ -60,8 +61,10 @@ class SummarySpec:
             return NotImplemented
         return SummarySpec(self.ops + other.ops)
 
-    def __call__(self, df: DataFrame, block_rows: int | None = None) -> SummaryTable:
-        return apply_spec(self, df, block_rows)
+    def __call__(
+        self, df: DataFrame, block_rows: int | None = None, sizes: GroupSizes | None = None
+    ) -> SummaryTable:
+        return apply_spec(self, df, block_rows, sizes)
 
     def __repr__(self) -> str:
         lines = [f"SummarySpec with {len(self.ops)} operation(s)"]
@@ -83,13 +86,19 @@ def summarise(
     *,
     by: str | Sequence[str] | None = ("condition_idx",),
     wider_by: str | Sequence[str] | None = ("condition_idx",),
+    pivot_values: Sequence | None = None,
     **expressions: Expression,
 ) -> SummarySpec:
     """Describe a summary per ``by`` group with one row per ``wider_by`` value.
 
-    Columns in ``by`` but not in ``wider_by`` are spread over the columns of the result.
+    Columns in ``by`` but not in ``wider_by`` are spread over the columns of the result. With
+    ``pivot_values`` (values of that column, or tuples of several columns' values) these are the columns,
+    in that order; otherwise the rows are read for them, and at most ``spark.sql.pivotMaxValues`` are
+    allowed. An expression is an aggregate of the rows of a group: built-in, or a grouped-aggregate pandas
+    UDF, which holds a group in the memory of one task.
     """
-    op = SummaryOp(_names(by), _names(wider_by), tuple(expressions.items()))
+    values = None if pivot_values is None else tuple(pivot_values)
+    op = SummaryOp(_names(by), _names(wider_by), tuple(expressions.items()), values)
     outside = [c for c in op.wider_by if c not in op.by]
     if outside:
         raise ValueError(
@@ -101,8 +110,8 @@ def summarise(
 
 def summarise_by(df: DataFrame, **arguments) -> SummaryTable:
     """:func:`summarise` applied at once."""
-    block_rows = arguments.pop("block_rows", None)
-    return summarise(**arguments)(df, block_rows)
+    block_rows, sizes = arguments.pop("block_rows", None), arguments.pop("sizes", None)
+    return summarise(**arguments)(df, block_rows, sizes)
 
 
 def check_same_key(left: Sequence[str], right: Sequence[str]) -> None:
@@ -152,11 +161,15 @@ def full_join(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFram
 # --- planning --------------------------------------------------------------------------------
 
 
-def apply_spec(spec: SummarySpec, df: DataFrame, block_rows: int | None = None) -> SummaryTable:
+def apply_spec(
+    spec: SummarySpec, df: DataFrame, block_rows: int | None = None, sizes: GroupSizes | None = None
+) -> SummaryTable:
     """Run all operations; those with the same groups share one aggregation, so one shuffle.
 
     The group tables are stacked and folded by one more aggregation on the key, which does the work of
-    the pivots and of the full joins between the operations together.
+    the pivots and of the full joins between the operations together. Before that, one job at most reads
+    the rows for pivot labels and for the size of the largest key; ``sizes`` (rows by key) and pivot values
+    that are given save it.
     """
     key = spec.ops[0].wider_by
     for op in spec.ops[1:]:
@@ -164,7 +177,8 @@ def apply_spec(spec: SummarySpec, df: DataFrame, block_rows: int | None = None)
     require_columns(df, dict.fromkeys(c for op in spec.ops for c in op.by))
 
     groupings = list(dict.fromkeys(op.by for op in spec.ops))
-    key_large, large = _outgrown(spec, df, block_rows)
+    labels_of, sizes = _measured(spec, df, sizes)
+    key_large, large = _outgrown(spec, df, block_rows, sizes)
     rows = df
     if key and not key_large:
         # Quantiles move every value anyway. Moving the rows once by the key lets all operations
@@ -183,8 +197,8 @@ def apply_spec(spec: SummarySpec, df: DataFrame, block_rows: int | None = None)
             placed.update(values)
             continue
         types = dict(df.dtypes)
-        label = F.concat_ws("_", *[pivot_label(c, types[c]) for c in pivoted])
-        labels = _labels(df, by, pivoted, label)
+        label = _label(pivoted, types)
+        labels = labels_of[by]
         stacked.append(table.withColumn("__key", label).drop(*[c for c in pivoted]))
         for i, own in values.items():
             placed[i] = []
@@ -210,15 +224,63 @@ def apply_spec(spec: SummarySpec, df: DataFrame, block_rows: int | None = None)
     return SummaryTable(folded.select(*[named(k) for k in key], *out), key)
 
 
-def _labels(df: DataFrame, by: Sequence[str], pivoted: Sequence[str], label: Column) -> list[str]:
-    """Pivot labels in the order they are first met when the groups are read in key order."""
-    seen = F.min(F.struct(*[x for c in by for x in (named(c).isNull(), named(c))])).alias("seen")
-    found = df.groupBy(*[named(c) for c in pivoted]).agg(seen).orderBy("seen").select(label.alias("label"))
+def _label(pivoted: Sequence[str], types: dict[str, str]) -> Column:
+    return F.concat_ws("_", *[pivot_label(c, types[c]) for c in pivoted])
+
+
+def _measured(
+    spec: SummarySpec, df: DataFrame, sizes: GroupSizes | None
+) -> tuple[dict[tuple[str, ...], list[str]], GroupSizes | None]:
+    """Pivot labels by grouping, and the sizes of the key groups where a quantile asks for them."""
+    key = spec.ops[0].wider_by
+    wanted = sizes is None and any(_has_quantiles(op) for op in spec.ops)
+    labels: dict[tuple[str, ...], list[str]] = {}
+    for by in dict.fromkeys(op.by for op in spec.ops):
+        op = next(o for o in spec.ops if o.by == by)
+        if not op.pivoted:
+            continue
+        given = next((o.pivot_values for o in spec.ops if o.by == by and o.pivot_values is not None), None)
+        if given is not None:
+            labels[by] = _given_labels(df, op.pivoted, given)
+        else:
+            labels[by], found = _labels(df, by, op.pivoted, key if wanted and sizes is None else None)
+            sizes = sizes or found
+    if wanted and sizes is None:
+        sizes = group_sizes(df, key)
+    return labels, sizes
+
+
+def _given_labels(df: DataFrame, pivoted: Sequence[str], values: Sequence) -> list[str]:
+    rows = [v if isinstance(v, tuple) else (v,) for v in values]
+    # in a single partition the rows stay in the order given
+    table = df.sparkSession.createDataFrame(rows, df.select(*[named(c) for c in pivoted]).schema).coalesce(1)
+    return [r["label"] for r in table.select(_label(pivoted, dict(df.dtypes)).alias("label")).collect()]
+
+
+def _labels(
+    df: DataFrame, by: Sequence[str], pivoted: Sequence[str], key: Sequence[str] | None
+) -> tuple[list[str], GroupSizes | None]:
+    """Pivot labels in the order they are first met when the groups are read in key order.
+
+    With ``key`` also the sizes of its groups: both come from one count of the groups, in one job.
+    """
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    labels = [r["label"] for r in found.take(limit + 1)]
+    seen = F.min(F.struct(*[x for c in by for x in (named(c).isNull(), named(c))])).alias("__seen")
+    label = _label(pivoted, dict(df.dtypes)).alias("__label")
+    cells = df if key is None else df.groupBy(*[named(c) for c in by]).agg(F.count(F.lit(1)).alias("__n"))
+    found = cells.groupBy(*[named(c) for c in pivoted]).agg(seen).select("__seen", label)
+    found = found.orderBy("__seen").limit(limit + 1)
+    listed = found.agg(F.sort_array(F.collect_list(F.struct("__seen", "__label"))).alias("__labels"))
+    if key is not None:
+        whole = cells.groupBy(*[named(c) for c in key]).agg(F.sum("__n").alias("__n"))
+        listed = listed.crossJoin(whole.agg(F.sum("__n").alias("__total"), F.max("__n").alias("__largest")))
+    row = listed.first()
+    labels = [x["__label"] for x in row["__labels"]]
     if len(labels) > limit:
-        raise ValueError(f"more than {limit} pivot columns; raise spark.sql.pivotMaxValues to allow it")
-    return labels
+        raise ValueError(
+            f"more than {limit} pivot columns; give pivot_values, or raise spark.sql.pivotMaxValues to allow it"
+        )
+    return labels, None if key is None else GroupSizes(row["__total"] or 0, row["__largest"] or 0)
 
 
 def _has_quantiles(op: SummaryOp) -> bool:
@@ -226,7 +288,7 @@ def _has_quantiles(op: SummaryOp) -> bool:
 
 
 def _outgrown(
-    spec: SummarySpec, df: DataFrame, block_rows: int | None
+    spec: SummarySpec, df: DataFrame, block_rows: int | None, by_key: GroupSizes | None
 ) -> tuple[bool, dict[tuple[str, ...], GroupSizes | None]]:
     """Whether any key holds many rows, and the sizes of groupings with a group too big for one buffer.
 
@@ -237,7 +299,6 @@ def _outgrown(
     if not any(_has_quantiles(op) for op in spec.ops):
         return True, large
     key = spec.ops[0].wider_by
-    by_key = group_sizes(df, key)
     if not by_key.beyond(block_rows):
         return False, large
     for by in dict.fromkeys(op.by for op in spec.ops if _has_quantiles(op)):
@@ -256,6 +317,7 @@ def _aggregate(
     """One row per group; also, per operation, its (internal name, output name) pairs."""
     keys = list(by)
     aggregates: list[Column] = []
+    in_python: list[Column] = []
     outputs: list[Column] = []
     values: dict[int, list[tuple[str, str]]] = {}
     asked: dict[str, tuple[Column, list[float]]] = {}
@@ -278,10 +340,10 @@ def _aggregate(
                     outputs.append(out.alias(_suffixed(inner, suffix)))
             elif isinstance(expr, Vector):
                 for item, suffix in zip(expr.items, suffixes, strict=True):
-                    aggregates.append(item.alias(_suffixed(inner, suffix)))
+                    (in_python if _runs_python(item) else aggregates).append(item.alias(_suffixed(inner, suffix)))
                     outputs.append(named(_suffixed(inner, suffix)))
             else:
-                aggregates.append(expr.alias(inner))
+                (in_python if _runs_python(expr) else aggregates).append(expr.alias(inner))
                 outputs.append(named(inner))
     if large is None:
         for slot, (value, probs) in enumerate(asked.values()):
@@ -289,6 +351,10 @@ def _aggregate(
             aggregates.append(F.percentile(present(value), wanted).alias(f"__quantiles{slot}"))
     # a row count keeps the groups of an operation that has only separately computed quantiles
     table = df.groupBy(*[named(k) for k in keys]).agg(*aggregates, F.count(F.lit(1)).alias("__rows"))
+    if in_python:
+        # Spark runs Python aggregates by themselves; the built-in ones stay where they are
+        theirs = df.groupBy(*[named(k) for k in keys]).agg(*in_python)
+        table = join_on_keys(table, theirs, keys, "left") if keys else table.crossJoin(theirs)
     if large is not None:
         for slot, (value, probs) in enumerate(asked.values()):
             source = df.select(*[named(k) for k in keys], value.alias("__v"))
@@ -298,17 +364,34 @@ def _aggregate(
     return table.select(*[named(k) for k in keys], *outputs), values
 
 
+def _runs_python(expression: Column) -> bool:
+    """Whether a user's Python function is part of the expression.
+
+    A Python function comes as a ready-made expression node; built-in functions are resolved by name. An
+    expression taken for a Python one by mistake would only be aggregated by itself.
+    """
+    return "ExpressionColumnNode(" in expression._jc.node().toString()
+
+
 def _suffixed(name: str, suffix: str | None) -> str:
     return name if suffix is None else f"{name}_{suffix}"
 
 
 def pivot_label(column: str, dtype: str) -> Column:
-    """``<column>_<value>``; NULL reads NA and a double holding an integer reads as the integer."""
+    """``<column>_<value>``: NULL reads NA, a logical TRUE or FALSE, a double has 15 digits at most.
+
+    A double that holds an integer reads as the integer.
+    """
     value = named(column)
     text = value.cast("string")
+    if dtype == "boolean":
+        text = F.upper(text)
     if dtype in ("double", "float"):
         whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-        text = F.when(whole, value.cast("decimal(16,0)").cast("string")).otherwise(text)
+        # 15 significant digits, of which trailing zeros go
+        shown = F.regexp_replace(F.format_string("%.15g", value.cast("double")), r"\.?0+(e|$)", "$1")
+        shown = F.when(value.isNotNull(), shown)
+        text = F.when(whole, value.cast("decimal(16,0)").cast("string")).otherwise(shown)
     return F.concat(F.lit(column + "_"), F.coalesce(text, F.lit("NA")))
 
 

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from trialkit.functions import stats as S
 from trialkit.functions.columns import finite_rows, is_finite, is_missing, named, require_columns
-from trialkit.operators.blocks import average_ranks, group_quantiles, join_on_keys
+from trialkit.operators.blocks import GroupSizes, average_ranks, group_quantiles, group_sizes, join_on_keys
 from trialkit.operators.inference import AbcInput, Posterior
 from trialkit.operators.nest import to_long
 from trialkit.operators.summarise import Expression, summarise
+from trialkit.sources.checkpoints import materialise
 
 # --- posterior summaries ---------------------------------------------------------------------
 
@@ -38,7 +39,8 @@ def summarise_posterior(
 ) -> PosteriorSummary:
     """Per parameter, over its finite values: mean, median, interval bounds and ``custom`` expressions.
 
-    Custom expressions read the column ``value``. A parameter without finite values keeps a row.
+    Custom expressions read the column ``value``; grouped-aggregate pandas UDFs may be among them. A
+    parameter without finite values keeps a row.
     """
     tail = (1 - ci_level) / 2
     lower, upper = f"ci_lower_{tail:.3f}", f"ci_upper_{1 - tail:.3f}"
@@ -230,11 +232,10 @@ def prior_and_posterior(posterior: Posterior, prior: AbcInput | None = None) ->
     return out.unionByName(before)
 
 
-# Fixed values of the normal-reference bandwidth.
+# Fixed values of the normal-reference bandwidth, and how many bandwidths the cells reach beyond the grid.
 BANDWIDTH_FACTOR = 0.9
 BANDWIDTH_IQR = 1.34
-#: Beyond this many bandwidths a normal kernel is zero in double precision.
-KERNEL_REACH = 39.0
+MARGIN = 4.0
 
 
 def density_curves(
@@ -244,27 +245,85 @@ def density_curves(
     panel: Sequence[str] = (),
     points: int = 512,
     block_rows: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Gaussian kernel density of the finite values of each group on an even grid.
 
     Groups that share the ``panel`` keys (a subset of ``keys``; all of them by default) share a grid over
-    their joint range. Groups of fewer than two values have no curve. The sum is exact: equal values are
-    counted once, a value only meets the grid points its kernel can reach, and the products add up before
-    the shuffle, so group size never decides what a task holds.
+    their joint range. Groups of fewer than two values have no curve. Each value is split linearly between
+    the two nearest of ``points`` cells, which reach four bandwidths beyond the grid; the kernel is summed
+    over the cells and read off between them. What a group brings to that sum is its cells, however many
+    rows it has. One pass takes the moments and quartiles, another fills the cells; ``sizes`` of the groups
+    saves counting them first.
     """
     keys = list(keys)
     panel = [k for k in keys if k in panel] or keys
     group = [named(k) for k in keys]
     rows = df.where(is_finite(value)).select(*group, named(value).cast("double").alias("__v"))
-    moments = rows.groupBy(*group).agg(
+    # one row per group, read by both sides below: written, so that the input is not read again for it
+    curves = materialise(_bandwidths(rows, keys, panel, points, block_rows, sizes))
+    low, delta = F.col("__low"), F.col("__delta")
+    last = F.lit(points - 1)
+    placed = join_on_keys(rows, curves.select(*group, "__low", "__delta"), keys)
+    # without a range every value lies on the cell at its left
+    spot = F.when(delta > 0, (F.col("__v") - low) / delta).otherwise(F.lit(0.0))
+    placed = placed.withColumn("__at", F.least(F.floor(spot), last - 1).cast("int"))
+    share = spot - F.col("__at")
+    pair = F.array(
+        F.struct(F.col("__at").alias("cell"), (1 - share).alias("mass")),
+        F.struct((F.col("__at") + 1).alias("cell"), share.alias("mass")),
+    )
+    split = placed.select(*group, F.explode(pair).alias("part")).select(*group, "part.*")
+    cells = split.groupBy(*group, "cell").agg(F.sum("mass").alias("mass"))
+    # at most `points` cells of a group, so the array is bounded
+    masses = cells.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("cell", "mass"))).alias("__cells"))
+    full = join_on_keys(curves, masses, keys)
+
+    def curve(at: Column) -> Column:
+        """Density at a cell, from the masses of all cells."""
+        z = lambda cell: (at - cell["cell"]) * delta / F.col("bandwidth")
+        return F.aggregate(
+            "__cells", F.lit(0.0), lambda total, c: total + c["mass"] * F.exp(z(c) * z(c) * -0.5)
+        ) / (F.col("__n") * F.col("bandwidth") * math.sqrt(2 * math.pi))
+
+    numbers = F.sequence(F.lit(0), last)
+    full = full.withColumn("__curve", F.transform(numbers, lambda i: curve(i)))
+    out = full.select(
+        *group, "__from", "__step", "__low", "__delta", "__curve", "bandwidth", F.explode(numbers).alias("point")
+    )
+    x = F.col("__from") + F.col("point") * F.col("__step")
+    at = F.when(delta > 0, (x - low) / delta).otherwise(F.lit(0.0))
+    left = F.least(F.floor(at), last - 1).cast("int")
+    between = at - left
+    height = F.get("__curve", left) * (1 - between) + F.get("__curve", left + 1) * between
+    return out.select(*group, "point", x.alias("x"), height.alias("density"), "bandwidth")
+
+
+def _bandwidths(
+    rows: DataFrame,
+    keys: Sequence[str],
+    panel: Sequence[str],
+    points: int,
+    block_rows: int | None,
+    sizes: GroupSizes | None,
+) -> DataFrame:
+    """Per group of two values or more: count, grid, bandwidth and cells."""
+    group = [named(k) for k in keys]
+    sizes = sizes or group_sizes(rows, keys)
+    moments = [
         F.count(F.lit(1)).alias("__n"),
         F.stddev_samp("__v").alias("__sd"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
-    )
-    quartiles = group_quantiles(rows, keys, "__v", [0.25, 0.75], block_rows).drop("n")
+    ]
+    quarters = [0.25, 0.75]
+    if sizes.beyond(block_rows):
+        quartiles = group_quantiles(rows, keys, "__v", quarters, block_rows, sizes).drop("n")
+        described = join_on_keys(rows.groupBy(*group).agg(*moments), quartiles, keys)
+    else:
+        described = rows.groupBy(*group).agg(*moments, F.percentile("__v", F.array(*map(F.lit, quarters))).alias("q"))
     edge = Window.partitionBy(*[named(k) for k in panel])
-    curves = join_on_keys(moments, quartiles, keys).select(
+    curves = described.select(
         *group,
         "__n",
         "__sd",
@@ -280,26 +339,10 @@ def density_curves(
         *group,
         "__n",
         "__from",
+        "__to",
         ((F.col("__to") - F.col("__from")) / (points - 1)).alias("__step"),
         (BANDWIDTH_FACTOR * spread * F.pow(F.col("__n").cast("double"), F.lit(-0.2))).alias("bandwidth"),
     )
-    counted = rows.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__w"))
-    near = join_on_keys(counted, curves, keys)
-    step, reach = F.col("__step"), KERNEL_REACH * F.col("bandwidth")
-    last = F.lit(points - 1)
-    # without a range all grid points coincide
-    first_j = F.when(step > 0, F.greatest(F.ceil((F.col("__v") - reach - F.col("__from")) / step), F.lit(0))).otherwise(0)
-    last_j = F.when(step > 0, F.least(F.floor((F.col("__v") + reach - F.col("__from")) / step), last)).otherwise(last)
-    near = near.withColumn("point", F.explode(F.sequence(first_j.cast("int"), last_j.cast("int"))))
-    z = (F.col("__from") + F.col("point") * step - F.col("__v")) / F.col("bandwidth")
-    sums = near.groupBy(*group, "point").agg(F.sum(F.col("__w") * F.exp(z * z * -0.5)).alias("__sum"))
-    grid = curves.withColumn("point", F.explode(F.sequence(F.lit(0), last)))
-    full = join_on_keys(grid, sums, [*keys, "point"], "left")
-    scale = F.col("__n") * F.col("bandwidth") * math.sqrt(2 * math.pi)
-    return full.select(
-        *group,
-        "point",
-        (F.col("__from") + F.col("point") * step).alias("x"),
-        (F.coalesce("__sum", F.lit(0.0)) / scale).alias("density"),
-        "bandwidth",
-    )
+    low = F.col("__from") - MARGIN * F.col("bandwidth")
+    high = F.col("__to") + MARGIN * F.col("bandwidth")
+    return curves.withColumns({"__low": low, "__delta": (high - low) / (points - 1)}).drop("__to")

@@ -3,6 +3,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trialkit.functions import stats as S
 from trialkit.operators import inference
@@ -194,3 +195,31 @@ def test_many_statistics_plan_quickly(spark):
     renamed = post.df.toDF(*[f"c{i}" for i in range(len(post.df.columns))])
     assert renamed.where("c0 > 0").count() == 180
     assert perf_counter() - start < 120
+
+
+def test_local_linear_cross_validation(spark):
+    """On an exact line the adjusted estimates are the true values, where rejection is off."""
+    df = spark.range(1, 301).select(
+        F.col("id").alias("condition_idx"),
+        (F.col("id") * 2.0 + F.sin(F.col("id") * 1.0)).alias("a"),
+        F.col("id").cast("double").alias("x"),
+        F.sin(F.col("id") * 1.0).alias("y"),
+    )
+    data = AbcInput(df, {"x": 1.0, "y": 0.0}, ("a",), ("x", "y"))
+    linear = abc_cross_validate(data, 5, [0.2], method="loclinear").collect()
+    assert len(linear) == 5
+    assert all(r["estimate"] == pytest.approx(r["true"], abs=1e-6) for r in linear)
+    plain = abc_cross_validate(data, 5, [0.2]).collect()
+    assert {(r["holdout"], r["true"]) for r in plain} == {(r["holdout"], r["true"]) for r in linear}
+    with pytest.raises(ValueError, match="method"):
+        abc_cross_validate(data, 5, [0.2], method="neural")
+
+
+def test_the_cut_keeps_ties_and_the_nearest(spark):
+    df = spark.createDataFrame([(i, float(abs(i - 50) // 3)) for i in range(100)], "condition_idx long, x double")
+    from trialkit.operators.inference import _nearest
+
+    for wanted in (1, 5, 37, 100):
+        kept = {r["condition_idx"] for r in _nearest(df, [], "x", wanted).collect()}
+        order = sorted(((abs(i - 50) // 3, i) for i in range(100)))[:wanted]
+        assert {i for _, i in order} <= kept

@@ -11,8 +11,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialkit.functions.columns import doubles, is_missing, named, require_columns, uniform
 from trialkit.operators.blocks import (
@@ -81,6 +82,14 @@ def _summary(table: SummaryTable | DataFrame, condition: str, what: str) -> tupl
     return table, (condition,)
 
 
+def _stored_params(results: ResultSet, params: Sequence[str], condition: str) -> DataFrame | None:
+    """The parameters from the result set's own table of conditions, if it has them all."""
+    table = results.conditions()
+    if any(c not in table.columns for c in (condition, *params)):
+        return None
+    return table.select(named(condition), *[named(p) for p in params])
+
+
 def build_abc_input(
     results: ResultSet | DataFrame,
     summary: SummaryTable | DataFrame,
@@ -91,13 +100,17 @@ def build_abc_input(
     """Line up the parameters and the statistics of the conditions present in both tables.
 
     The statistics are all columns of ``summary`` outside its key. Of ``target`` the first row by key
-    counts.
+    counts. A result set's table of conditions gives the parameters, if it holds them; otherwise they are
+    taken from the responses.
     """
     params = tuple(params)
     if not params:
         raise ValueError("name at least one parameter")
-    rows = results.dataset() if isinstance(results, ResultSet) else results
-    require_columns(rows, [condition, *params])
+    given = _stored_params(results, params, condition) if isinstance(results, ResultSet) else None
+    if given is None:
+        rows = results.dataset() if isinstance(results, ResultSet) else results
+        require_columns(rows, [condition, *params])
+        given = condition_params(rows, params, condition)
     table, key = _summary(summary, condition, "summary")
     require_columns(table, [condition])
     stats = tuple(c for c in table.columns if c not in key)
@@ -127,7 +140,7 @@ def build_abc_input(
         raise ValueError("target has no row")
 
     chosen = table.select(named(condition), *doubles(table, stats))
-    aligned = join_on_keys(condition_params(rows, params, condition), chosen, [condition])
+    aligned = join_on_keys(given, chosen, [condition])
     # One row per condition from here on. Every fit reads it several times, so it is written once rather
     # than summarised from the responses again by each job.
     return AbcInput(materialise(aligned), dict(zip(stats, values[0], strict=True)), params, stats, condition)
@@ -161,6 +174,29 @@ def distance(target: Mapping[str, float], scale: Mapping[str, float]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, terms))
 
 
+#: Cells per doubling of the distance in which the cut is looked for.
+CUT_CELLS = 64
+
+
+def _nearest(measured: DataFrame, keys: Sequence[str], distance_column: str, wanted: int) -> DataFrame:
+    """Rows that can be among the ``wanted`` nearest of their group: all up to the cell with the last one.
+
+    Distances are counted in cells of a log scale, which combines before the shuffle; only what is below
+    the cut is ever put in order. Ties are in one cell, so none is lost.
+    """
+    d = named(distance_column)
+    cell = F.when(d > 0, F.floor(F.log2(d) * CUT_CELLS)).otherwise(F.lit(-(2**31))).cast("bigint")
+    group = [named(k) for k in keys]
+    placed = measured.withColumn("__cell", cell)
+    counts = placed.groupBy(*group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    # a few thousand cells per group at most, whatever the number of rows
+    upto = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(upto), F.lit(0))
+    cuts = counts.withColumn("__before", before).where(F.col("__before") < wanted)
+    cuts = cuts.groupBy(*group).agg(F.max("__cell").alias("__cut"))
+    return join_on_keys(placed, cuts, keys).where("__cell <= __cut").drop("__cell", "__cut")
+
+
 @dataclass(frozen=True)
 class _Accepted:
     df: DataFrame
@@ -184,16 +220,12 @@ def _accept(data: AbcInput, tol: float, block_rows: int | None) -> _Accepted:
     scale = scales(complete, data.stats, usable, block_rows)
     measured = complete.withColumn("distance", distance(data.target, scale))
     wanted = min(math.ceil(total * tol), usable)
-    # Only (distance, condition) pairs are put in order, to read off the last one to accept. Accepting is
-    # then a filter: the wide rows stay where they are.
-    order = ["distance", data.key]
-    pairs = row_numbers(measured.select(*[named(c) for c in order]), [], order, "place", block_rows, GroupSizes(usable, usable))
-    last = pairs.where(F.col("place") == wanted).first()
-    near = F.col("distance") < F.lit(last["distance"])
-    tied = (F.col("distance") == F.lit(last["distance"])) & (named(data.key) <= F.lit(last[data.key]))
-    # Written down: fits and reports all start here, and the optimizer would otherwise carry the distance,
-    # an equation over all statistics, through every later projection of them.
-    return _Accepted(materialise(measured.where(near | tied)), scale)
+    # Few rows beyond the accepted ones remain below the cut. They are written down: fits and reports all
+    # start here, and the optimizer would otherwise carry the distance, an equation over all statistics,
+    # through every later projection of them.
+    near = materialise(_nearest(measured, [], "distance", wanted))
+    placed = row_numbers(near, [], ["distance", data.key], "__place", block_rows)
+    return _Accepted(placed.where(F.col("__place") <= wanted).drop("__place"), scale)
 
 
 def abc_rejection(data: AbcInput, tol: float, block_rows: int | None = None) -> Posterior:
@@ -390,14 +422,22 @@ def _leave_one_out_scales(
 
 
 def abc_cross_validate(
-    data: AbcInput, nval: int, tols: Sequence[float], seed: str = "cv", block_rows: int | None = None
+    data: AbcInput,
+    nval: int,
+    tols: Sequence[float],
+    seed: str = "cv",
+    block_rows: int | None = None,
+    method: str = "rejection",
 ) -> DataFrame:
-    """Re-estimate ``nval`` held-out conditions from the others by rejection.
+    """Re-estimate ``nval`` held-out conditions from the others.
 
-    Gives tol, holdout, parameter, true, estimate; the estimate is the median of the accepted values.
-    Held-out conditions are those with the lowest keyed draw, so a seed always picks the same ones. They
-    come to every row as an array of ``nval`` entries, and all tolerances read one ranking.
+    Gives tol, holdout, parameter, true, estimate; the estimate is the median of the accepted values, with
+    ``method="loclinear"`` of the values adjusted by a weighted linear regression on the statistics.
+    Held-out conditions are those with the lowest keyed draw, so a seed always picks the same ones. All
+    tolerances read one ranking, which is made of the rows below each held-out condition's cut.
     """
+    if method not in ("rejection", "loclinear"):
+        raise ValueError("method must be 'rejection' or 'loclinear'")
     complete = data.complete()
     total, usable = data.df.agg(
         F.count(F.lit(1)),
@@ -408,59 +448,85 @@ def abc_cross_validate(
     draw = uniform(seed, data.key)
     held = complete.orderBy(draw, data.key).limit(nval).collect()
     scale = _leave_one_out_scales(complete, data, held, usable, block_rows)
+    targets = _targets(data, held, scale)
 
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(h[data.key]).alias("holdout"),
-                *[F.lit(float(h[s])).alias(f"t{i}") for i, s in enumerate(data.stats)],
-                *[F.lit(float(c[s])).alias(f"c{i}") for i, s in enumerate(data.stats)],
-            )
-            for h, c in zip(held, scale, strict=True)
-        ]
-    )
-    pairs = complete.select(
-        named(data.key).alias("__id"),
-        *doubles(complete, data.params),
-        *[named(s) for s in data.stats],
-        F.explode(targets).alias("h"),
-    ).where(F.col("__id") != F.col("h.holdout"))
-    terms = [
-        F.pow((named(s) - F.col(f"h.t{i}")) / F.col(f"h.c{i}"), F.lit(2.0)) for i, s in enumerate(data.stats)
-    ]
+    k = range(len(data.stats))
+    away = [((named(s) - F.col(f"__t{i}")) / F.col(f"__c{i}")).alias(f"__x{i}") for i, s in enumerate(data.stats)]
+    # the table of held-out conditions has nval rows, which the caller sets
+    goals = targets.select("holdout", *[f"__{kind}{i}" for kind in "tc" for i in k])
+    pairs = complete.crossJoin(F.broadcast(goals)).where(named(data.key) != F.col("holdout"))
     measured = pairs.select(
-        F.col("h.holdout").alias("holdout"),
-        "__id",
-        *[named(p) for p in data.params],
-        F.sqrt(reduce(lambda a, b: a + b, terms)).alias("__distance"),
-    )
-    placed = row_numbers(measured, ["holdout"], ["__distance", "__id"], "__place", block_rows, GroupSizes(nval * usable, usable))
-    accept = {float(t): math.ceil((total - 1) * t) for t in tols}
-    levels = F.array(*[F.struct(F.lit(t).alias("tol"), F.lit(k).alias("k")) for t, k in accept.items()])
+        "holdout", named(data.key).alias("__id"), *doubles(complete, data.params), *away
+    ).withColumn("__distance", F.sqrt(reduce(lambda a, b: a + b, [F.col(f"__x{i}") * F.col(f"__x{i}") for i in k])))
+    accept = {float(t): min(math.ceil((total - 1) * t), usable - 1) for t in tols}
+    most = max(accept.values())
+    near = materialise(_nearest(measured, ["holdout"], "__distance", most))
+    placed = row_numbers(near, ["holdout"], ["__distance", "__id"], "__place", block_rows)
+    levels = F.array(*[F.struct(F.lit(t).alias("tol"), F.lit(n).alias("k")) for t, n in accept.items()])
     taken = (
-        placed.where(F.col("__place") <= max(accept.values()))
+        placed.where(F.col("__place") <= most)
         .withColumn("level", F.explode(levels))
         .where(F.col("__place") <= F.col("level.k"))
         .withColumn("tol", F.col("level.tol"))
     )
+    if method == "loclinear":
+        taken = _adjusted(materialise(taken.drop("level")), data, len(data.stats))
     long = to_long(taken, ["tol", "holdout"], data.params)
-    most = max(accept.values())
     sizes = GroupSizes(most * nval * len(tols) * len(data.params), most)
     medians = group_quantiles(long, ["tol", "holdout", "parameter"], "value", [0.5], block_rows, sizes)
-    truth = F.create_map(
-        *[
-            part
-            for h in held
-            for p in data.params
-            for part in (
-                F.concat_ws("\u0001", F.lit(str(h[data.key])), F.lit(p)),
-                F.lit(None if h[p] is None else float(h[p])).cast("double"),
-            )
-        ]
-    )
-    spot = F.concat_ws("\u0001", F.col("holdout").cast("string"), F.col("parameter"))
-    table = medians.select(
-        "tol", "holdout", "parameter", F.try_element_at(truth, spot).alias("true"), F.get("q", F.lit(0)).alias("estimate")
-    )
+    truth = to_long(targets.select("holdout", *[named(p) for p in data.params]), ["holdout"], data.params)
+    truth = truth.withColumnsRenamed({"holdout": "__h", "parameter": "__p", "value": "true"})
+    same = (F.col("holdout") == F.col("__h")) & (F.col("parameter") == F.col("__p"))
+    table = medians.join(F.broadcast(truth), same, "left")
+    table = table.select("tol", "holdout", "parameter", "true", F.get("q", F.lit(0)).alias("estimate"))
     # a handful of rows at the end of a long plan, read by every report on them
     return materialise(table)
+
+
+def _targets(data: AbcInput, held: Sequence, scale: Sequence[Mapping[str, float]]) -> DataFrame:
+    """One row per held-out condition: its parameters, statistics ``__t…`` and their scales ``__c…``."""
+    key = data.df.schema[data.key].dataType
+    fields = [T.StructField("holdout", key)]
+    fields += [T.StructField(p, T.DoubleType()) for p in data.params]
+    fields += [T.StructField(f"__{kind}{i}", T.DoubleType()) for kind in "tc" for i in range(len(data.stats))]
+    number = lambda v: None if v is None else float(v)
+    rows = [
+        (h[data.key], *[number(h[p]) for p in data.params], *[float(h[s]) for s in data.stats], *[float(c[s]) for s in data.stats])
+        for h, c in zip(held, scale, strict=True)
+    ]
+    return data.df.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
+def _adjusted(taken: DataFrame, data: AbcInput, k: int) -> DataFrame:
+    """Move the accepted values to the target along a line fitted per held-out condition and tolerance.
+
+    Conditions weigh ``1 − (d / d_max)²``. Sums of products add up before the shuffle; one row per fit,
+    of the size of the number of statistics squared, comes to the driver.
+    """
+    group = ["tol", "holdout"]
+    widest = taken.groupBy(*group).agg(F.max("__distance").alias("__d_max"))
+    rows = join_on_keys(taken, widest, group)
+    ratio = F.col("__distance") / F.col("__d_max")
+    rows = rows.withColumn("__w", F.when(F.col("__d_max") > 0, 1.0 - ratio * ratio).otherwise(F.lit(1.0)))
+    x = [F.lit(1.0), *[F.col(f"__x{i}") for i in range(k)]]
+    y = [named(p) for p in data.params]
+    grams = [F.sum(F.col("__w") * x[i] * x[j]) for i in range(k + 1) for j in range(i + 1)]
+    moments = [F.sum(F.col("__w") * x[i] * v) for i in range(k + 1) for v in y]
+    sums = rows.groupBy(*group).agg(F.array(*grams).alias("gram"), F.array(*moments).alias("moment")).collect()
+    fits = []
+    for r in sums:
+        gram = np.zeros((k + 1, k + 1))
+        gram[np.tril_indices(k + 1)] = r["gram"]
+        gram = gram + np.tril(gram, -1).T
+        beta = _solve(gram, np.array(r["moment"], dtype=float).reshape(k + 1, len(y)))
+        fits.append((r["tol"], r["holdout"], beta[1:].T.tolist()))
+    kind = data.df.schema[data.key].dataType.simpleString()
+    table = data.df.sparkSession.createDataFrame(fits, f"tol double, holdout {kind}, slopes array<array<double>>")
+    fitted = join_on_keys(rows, F.broadcast(table), group)
+
+    def moved(j: int, p: str) -> Column:
+        slope = lambda i: F.get(F.get("slopes", F.lit(j)), F.lit(i))
+        # statistics are measured from the target: what the line adds beyond its intercept goes
+        return named(p) - reduce(lambda a, b: a + b, [slope(i) * F.col(f"__x{i}") for i in range(k)])
+
+    return fitted.withColumns({p: moved(j, p) for j, p in enumerate(data.params)})

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from trialkit.functions import stats as S
+from trialkit.operators.summarise import summarise
 from trialkit.operators.trim import apply_trim, trim_thresholds
 from trialkit.sources.checkpoints import scratch_folder
 from trialkit.streaming.trim import append_stream, read_results_stream, trim_stream
@@ -30,7 +31,7 @@ def test_running_summary(spark):
     rows = spark.range(100).select((F.col("id") % 3).alias("condition_idx"), (F.col("id") * 1.0).alias("rt"))
     rows.repartition(4).write.parquet(source)
     stream = read_results_stream(spark, source, rows.schema, 1)
-    summary = stream.groupBy("condition_idx").agg(S.mean("rt").alias("m"), S.sd("rt").alias("s"))
+    summary = summarise(m=S.mean("rt"), s=S.sd("rt"))(stream).df
     query = summary.writeStream.outputMode("complete").format("memory").queryName("running").start()
     query.processAllAvailable()
     query.stop()

@@ -28,3 +28,13 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, partition: str
     if partition is not None:
         writer = writer.partitionBy(partition)
     return writer.trigger(availableNow=True).start(path)
+
+
+def replace_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a Parquet table at the newest state of a running summary: each batch replaces it as a whole."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(write).trigger(availableNow=True).start()

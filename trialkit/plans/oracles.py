@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from trialkit.functions.columns import (
-    TAIL_DENOMINATOR,
-    TAIL_FAR,
-    TAIL_NUMERATOR,
-    TAIL_ROOT_2PI,
-    TAIL_SPLIT,
+# Fixed values, written out here and not taken from the package, so that a wrong one there shows up.
+# Hart's rational approximation of the normal tail, as printed by West (2005):
+TAIL_NUMERATOR = (
+    0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931,
+    220.206867912376,
 )
-from trialkit.operators.report import (
-    BANDWIDTH_FACTOR,
-    BANDWIDTH_IQR,
-    BIN_SLACK,
-    BREAK_SLACK,
-    SHRINK,
-    UNIT_BIAS,
-    UNIT_BIAS_FIVE,
+TAIL_DENOMINATOR = (
+    0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831,
+    793.826512519948, 440.413735824752,
 )
-from trialkit.plans.roles import NUDGE
+TAIL_SPLIT, TAIL_FAR, TAIL_ROOT_2PI = 7.07106781186547, 37, 2.506628274631
+# round breaks: bias towards larger units and towards five, shrinkage without a range, slack on breaks and bins
+UNIT_BIAS, UNIT_BIAS_FIVE, SHRINK, BREAK_SLACK, BIN_SLACK = 1.5, 2.75, 0.75, 1e-10, 1e-7
+# normal-reference bandwidth, and the cells' reach in bandwidths
+BANDWIDTH_FACTOR, BANDWIDTH_IQR, MARGIN = 0.9, 1.34, 4
 
 ITEMS = range(1, 8)
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -28,7 +26,7 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 def r(expr: str, name: str | None = None) -> str:
     """Rounded as the queries round; adding zero turns −0 into 0."""
-    text = f"round(({expr}) + {NUDGE!r}, 6) + 0.0"
+    text = f"round(({expr}) * 1048576) / 1048576 + 0.0"
     return text if name is None else f'{text} AS "{name}"'
 
 
@@ -107,11 +105,11 @@ FROM lineitem GROUP BY 1"""
 SELECT condition_idx, {r("min(rt)", "range_X1")}, {r("max(rt)", "range_X2")}, {r("avg(rt)", "moments_mean")},
   {r("stddev_samp(rt)", "moments_sd")}, count(*) AS "listed_X1", {r("sum(rt)", "alone")}
 FROM seconds GROUP BY 1"""
-    joined = f"""WITH a AS (SELECT o_custkey AS cust, avg(o_totalprice / 1000) AS m, count(*) AS n FROM orders
-  WHERE o_orderstatus = 'F' GROUP BY 1),
-b AS (SELECT c_custkey AS cust, avg(c_acctbal) AS m FROM customer WHERE c_acctbal > 0 GROUP BY 1)
+    joined = f"""WITH a AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS cust, avg(o_totalprice / 1000) AS m,
+    count(*) AS n FROM orders GROUP BY 1),
+b AS (SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey + 10 END AS cust, avg(c_acctbal) AS m FROM customer GROUP BY 1)
 SELECT coalesce(a.cust, b.cust) AS cust, {r("a.m", "mean.x")}, a.n AS n, {r("b.m", "mean.y")}
-FROM a FULL JOIN b ON a.cust = b.cust"""
+FROM a FULL JOIN b ON a.cust IS NOT DISTINCT FROM b.cust"""
     complete = f"""WITH c AS (SELECT l_partkey AS condition_idx, l_linenumber AS item_idx,
     avg(l_extendedprice / 1000) AS m, stddev_samp(l_extendedprice / 1000) AS s
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
@@ -139,7 +137,17 @@ SELECT condition_idx, {r("avg(rt)", "rt_mean")}, CAST(NULL AS DOUBLE) AS rt_sd,
 FROM seconds GROUP BY 1
 UNION ALL
 SELECT condition_idx, CAST(NULL AS DOUBLE), {r("stddev_samp(rt)")}, count(*) FROM seconds GROUP BY 1"""
+    custom = f"""WITH {SECONDS}
+SELECT condition_idx, {r("avg(rt)", "rt_mean")}, {r("quantile_cont(rt, 0.5)", "rt_median")}, {r("max(rt) - min(rt)", "width")},
+  {r("quantile_cont(rt, 0.25)", "low")}, {r("quantile_cont(rt, 0.75)", "high")}, count(*) AS n FROM seconds GROUP BY 1"""
+    given = f"""SELECT user_id, {", ".join(r(f"avg(CASE WHEN event_type = '{e}' THEN value END)", f"event_type_{e}") for e in ("view", "click"))}
+FROM events GROUP BY 1"""
+    streamed = f"""WITH {SECONDS}
+SELECT condition_idx, item_idx, count(*) AS n, {r("avg(rt)", "rt_mean")}, {r("stddev_samp(rt)", "rt_sd")} FROM seconds GROUP BY 1, 2"""
     return {
+        "summary_custom": custom,
+        "summary_pivot_given": given,
+        "summary_stream": streamed,
         "summary_flagship": flagship,
         "summary_plain": plain,
         "summary_global": overall,
@@ -157,15 +165,16 @@ SELECT condition_idx, CAST(NULL AS DOUBLE), {r("stddev_samp(rt)")}, count(*) FRO
 
 def _columns() -> dict[str, str]:
     sums = f"count(*) AS n, {r('sum(rt)', 'rt_sum')}"
+    broken = f"""{SECONDS},
+broken AS (SELECT condition_idx, trial_idx, item_idx, CASE item_idx WHEN 1 THEN NULL WHEN 2 THEN 'nan'::DOUBLE WHEN 3 THEN -rt
+    WHEN 4 THEN 0 WHEN 5 THEN 'inf'::DOUBLE ELSE rt END AS rt FROM seconds)"""
     return {
-        "valid_times": f"""WITH {SECONDS}
-SELECT condition_idx, trial_idx, item_idx, {r("rt", "rt")} FROM seconds WHERE item_idx > 5 AND rt > 0""",
-        "finite_values": f"""WITH {SECONDS}
-SELECT condition_idx, item_idx, {sums.replace("sum(rt)", "sum(CASE item_idx WHEN 3 THEN -rt WHEN 4 THEN 0 ELSE rt END)")}
-FROM seconds WHERE item_idx NOT IN (1, 2, 5) GROUP BY 1, 2""",
-        "complete_cases": f"""WITH {SECONDS}
-SELECT condition_idx, item_idx, {sums.replace("sum(rt)", "sum(CASE item_idx WHEN 3 THEN -rt WHEN 4 THEN 0 ELSE rt END)")}
-FROM seconds WHERE item_idx NOT IN (1, 2, 5) GROUP BY 1, 2""",
+        "valid_times": f"""WITH {broken}
+SELECT condition_idx, trial_idx, item_idx, {r("rt", "rt")} FROM broken WHERE isfinite(rt) AND rt > 0""",
+        "finite_values": f"""WITH {broken}
+SELECT condition_idx, item_idx, {sums} FROM broken WHERE isfinite(rt) GROUP BY 1, 2""",
+        "complete_cases": f"""WITH {broken}
+SELECT condition_idx, item_idx, {sums} FROM broken WHERE rt IS NOT NULL AND NOT isnan(rt) GROUP BY 1, 2""",
         "formula_columns": f"""SELECT p_partkey, CAST(p_size * 2 AS BIGINT) AS p_size, {r("p_retailprice", "p_retailprice")},
   {r("sqrt(p_retailprice * 0.9) + 3", "a")}, {r("p_retailprice * 0.9 + p_size", "b")},
   {r("(p_retailprice * 0.9 + p_size) / (p_size * 2)", "c")}, CAST(3 AS BIGINT) AS k
@@ -190,6 +199,7 @@ FROM t CROSS JOIN range(1, 3) AS i(item_idx)""",
   {r("abs(l_quantity - 25)", "abs_q")}, CAST(ceil(l_extendedprice / 7) AS BIGINT) AS ceil_p,
   CAST(floor(l_quantity / 7) AS BIGINT) AS int_div, l_orderkey % 7 AS mod_o,
   {r("greatest(l_quantity, l_extendedprice / 1000)", "hi")}, {r("least(l_quantity, l_extendedprice / 1000)", "lo")},
+  printf('%.3f', sqrt(l_extendedprice)) AS three, printf('%.4f', ln(l_extendedprice)) AS four,
   'item_' || l_linenumber AS label, lpad(CAST(l_linenumber AS VARCHAR), 5, '0') AS padded,
   CAST(l_linenumber AS BIGINT) AS steps, CAST(1 AS BIGINT) AS distinct_n,
   {r("list_sort([l_quantity, 20.0::DOUBLE, 30.0::DOUBLE])[2]", "middle")},
@@ -207,14 +217,18 @@ SELECT condition_idx + 1 AS condition_idx, trial_idx, item_idx, {r("rt", "rt")},
   CAST(ceil((condition_idx + 1) / 50.0) AS BIGINT) AS chunk_idx FROM seconds""",
         "results_conditions": f"""SELECT s_suppkey + 1 AS condition_idx, {r("s_acctbal", "balance")},
   CAST(ceil((s_suppkey + 1) / 50.0) AS BIGINT) AS chunk_idx FROM supplier""",
+        "partition_read": f"""WITH {SECONDS}
+SELECT condition_idx + 1 AS condition_idx, trial_idx, item_idx, {r("rt", "rt")} FROM seconds WHERE condition_idx + 1 <= 50""",
         "results_chunks": "SELECT DISTINCT CAST(ceil((l_suppkey + 1) / 50.0) AS BIGINT) AS chunk_idx FROM lineitem",
         "observed_ranks": f"""SELECT l_suppkey AS condition_idx, l_orderkey AS trial_idx,
   CAST(l_linenumber AS BIGINT) AS item_idx, {r("l_extendedprice / 1000", "rt")}, 'observed' AS model,
   row_number() OVER (PARTITION BY l_suppkey, l_orderkey
     ORDER BY l_extendedprice / 1000, l_linenumber, l_partkey, l_quantity) AS rank_idx
 FROM lineitem""",
-        "observed_codes": """SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) AS code
-FROM orders""",
+        "observed_codes": """WITH v AS (SELECT o_orderkey, nullif(o_orderpriority, '3-MEDIUM') AS o_orderpriority FROM orders),
+c AS (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY o_orderpriority) AS code
+  FROM (SELECT DISTINCT o_orderpriority FROM v WHERE o_orderpriority IS NOT NULL))
+SELECT o_orderkey, o_orderpriority, code FROM v LEFT JOIN c ON o_orderpriority = p""",
         "flatten_nested": f"""WITH {nested}
 SELECT 'vectors' AS model, vec_id AS condition_idx, i + 1 AS trial_idx,
   row_number() OVER (PARTITION BY vec_id, i ORDER BY j) AS rank_idx, j AS item_idx, {r("rt", "rt")},
@@ -305,6 +319,11 @@ w AS (SELECT condition_idx, {", ".join(r(f"max(CASE WHEN item_idx = {i} THEN s E
   FROM c GROUP BY 1),
 m AS (SELECT condition_idx, {r("avg(rt)", "rt_mean")} FROM seconds GROUP BY 1)
 SELECT * FROM m JOIN w USING (condition_idx)""",
+        "map_by_condition_frame": f"""WITH {SECONDS}
+SELECT condition_idx, count(*) AS n, {r("quantile_cont(rt, 0.5)", "middle")}, {r("max(rt) - min(rt)", "width")}
+FROM seconds WHERE item_idx > 1 GROUP BY 1""",
+        "map_by_condition_iterator": f"""WITH {SECONDS}
+SELECT condition_idx, count(*) AS n, {r("sum(rt)", "total")} FROM seconds GROUP BY 1""",
         "map_by_condition_python": f"""WITH {SECONDS}
 SELECT condition_idx, count(*) AS n, {r("sum(rt)", "total")}, {r("max(rt)", "longest")} FROM seconds GROUP BY 1""",
     }
@@ -331,26 +350,46 @@ ABC_STATS = ("rt_mean", "rt_sd", "rt_median")
 PARAMS = ("size", "price")
 
 
-def _least_squares(name: str, source: str, y: str) -> str:
-    """Weighted line y ~ x1 + x2 by its centred sums: CTEs ``<name>_c`` and ``<name>`` (b0, b1, b2)."""
-    return f"""{name}_c AS (SELECT sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * {y}) / sum(w) AS my FROM {source}),
-{name}_s AS (SELECT m1, m2, my, sum(w * (x1 - m1) * (x1 - m1)) AS s11, sum(w * (x1 - m1) * (x2 - m2)) AS s12,
-    sum(w * (x2 - m2) * (x2 - m2)) AS s22, sum(w * (x1 - m1) * ({y} - my)) AS s1y, sum(w * (x2 - m2) * ({y} - my)) AS s2y
-  FROM {source}, {name}_c GROUP BY m1, m2, my),
-{name}_b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
-    (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM {name}_s),
-{name} AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM {name}_b)"""
+def _fit3(name: str, source: str, y: str, by: str = "") -> str:
+    """Weighted plane y ~ x1 + x2 + x3, per group if ``by``: a CTE ``<name>`` with b0, b1, b2, b3.
+
+    Sums are centred; the three normal equations are solved by determinants.
+    """
+    keys = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    on = " AND ".join(f"s.{k} = c.{k}" for k in by.split(", ")) if by else "true"
+    own = ", ".join(f"s.{k}" for k in by.split(", ")) + ", " if by else ""
+    pairs = [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)]
+    products = ", ".join(f"sum(w * (x{i} - m{i}) * (x{j} - m{j})) AS s{i}{j}" for i, j in pairs)
+    moments = ", ".join(f"sum(w * (x{i} - m{i}) * ({y} - my)) AS t{i}" for i in (1, 2, 3))
+
+    def determinant(columns: list[list[str]]) -> str:
+        (a, d, g), (b, e, h), (c, f, i) = columns
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    matrix = [["s11", "s12", "s13"], ["s12", "s22", "s23"], ["s13", "s23", "s33"]]
+    right = ["t1", "t2", "t3"]
+    slopes = ", ".join(
+        f"{determinant([right if k == j else matrix[k] for k in range(3)])} / {determinant(matrix)} AS b{j + 1}" for j in range(3)
+    )
+    return f"""{name}_c AS (SELECT {keys}sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * x3) / sum(w) AS m3,
+    sum(w * {y}) / sum(w) AS my FROM {source} {group}),
+{name}_s AS (SELECT {own}m1, m2, m3, my, {products}, {moments}
+  FROM {source} s JOIN {name}_c c ON {on} GROUP BY {own}m1, m2, m3, my),
+{name}_b AS (SELECT *, {slopes} FROM {name}_s),
+{name} AS (SELECT {keys}my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, b1, b2, b3 FROM {name}_b)"""
 
 
 def _linear(rescaled: bool) -> str:
-    """Local-linear adjustment over two statistics; price on the log scale."""
-    text = f"""WITH {_abc(("rt_mean", "rt_sd"))},
-k AS (SELECT condition_idx, size AS y1, ln(price) AS y2, distance, (p.rt_mean - t.rt_mean) / d.rt_mean AS x1,
-    (p.rt_sd - t.rt_sd) / d.rt_sd AS x2 FROM placed p, t, d WHERE place <= ceil(total * 0.5)),
+    """Local-linear adjustment over the three statistics; price on the log scale."""
+    x = ", ".join(f"(p.{c} - t.{c}) / d.{c} AS x{i}" for i, c in enumerate(ABC_STATS, 1))
+    plane = lambda f: f"{f}.b0 + {f}.b1 * x1 + {f}.b2 * x2 + {f}.b3 * x3"
+    text = f"""WITH {_abc(ABC_STATS)},
+k AS (SELECT condition_idx, size AS y1, ln(price) AS y2, distance, {x} FROM placed p, t, d WHERE place <= ceil(total * 0.5)),
 kw AS (SELECT *, 1 - power(distance / (SELECT max(distance) FROM k), 2) AS w FROM k),
-{_least_squares("f1", "kw", "y1")},
-{_least_squares("f2", "kw", "y2")},
-res AS (SELECT kw.*, y1 - f1.b0 - f1.b1 * x1 - f1.b2 * x2 AS r1, y2 - f2.b0 - f2.b1 * x1 - f2.b2 * x2 AS r2 FROM kw, f1, f2),
+{_fit3("f1", "kw", "y1")},
+{_fit3("f2", "kw", "y2")},
+res AS (SELECT kw.*, y1 - ({plane("f1")}) AS r1, y2 - ({plane("f2")}) AS r2 FROM kw, f1, f2),
 mean AS (SELECT avg(r1) AS m1, avg(r2) AS m2 FROM res),
 cen AS (SELECT res.* EXCLUDE (r1, r2), r1 - m1 AS r1, r2 - m2 AS r2, ln(power(r1 - m1, 2)) AS g1, ln(power(r2 - m2, 2)) AS g2
   FROM res, mean)"""
@@ -358,14 +397,36 @@ cen AS (SELECT res.* EXCLUDE (r1, r2), r1 - m1 AS r1, r2 - m2 AS r2, ln(power(r1
         return f"""{text}
 SELECT condition_idx, {r("f1.b0 + mean.m1 + r1", "adjusted_size")}, {r("exp(f2.b0 + mean.m2 + r2)", "adjusted_price")}
 FROM cen, f1, f2, mean"""
+    slope = lambda f: f"-{f}.b1 * x1 - {f}.b2 * x2 - {f}.b3 * x3"
     return f"""{text},
-{_least_squares("g1f", "cen", "g1")},
-{_least_squares("g2f", "cen", "g2")}
-SELECT condition_idx, {r("f1.b0 + mean.m1 + r1 * sqrt(exp(-g1f.b1 * x1 - g1f.b2 * x2))", "adjusted_size")},
-  {r("exp(f2.b0 + mean.m2 + r2 * sqrt(exp(-g2f.b1 * x1 - g2f.b2 * x2)))", "adjusted_price")}
+{_fit3("g1f", "cen", "g1")},
+{_fit3("g2f", "cen", "g2")}
+SELECT condition_idx, {r(f"f1.b0 + mean.m1 + r1 * sqrt(exp({slope('g1f')}))", "adjusted_size")},
+  {r(f"exp(f2.b0 + mean.m2 + r2 * sqrt(exp({slope('g2f')})))", "adjusted_price")}
 FROM cen, f1, f2, mean, g1f, g2f"""
 
 
+def _cv_linear() -> str:
+    """Cross-validation with the values adjusted along a plane fitted per held-out condition and tolerance."""
+    x = ", ".join(f"(p.{c} - p.t_{c}) / g.{c} AS x{i}" for i, c in enumerate(ABC_STATS, 1))
+    adjusted = "\nUNION ALL ".join(
+        f"""SELECT tol, holdout, '{p}' AS parameter, quantile_cont(kw.{p} - f.b1 * x1 - f.b2 * x2 - f.b3 * x3, 0.5) AS estimate
+FROM kw JOIN {f} f USING (tol, holdout) GROUP BY 1, 2"""
+        for p, f in zip(PARAMS, ("l1", "l2"), strict=True)
+    )
+    return f"""WITH {_cv()},
+far AS (SELECT p.holdout, p.condition_idx, p.size, p.price, {x} FROM p JOIN g ON g.holdout = p.holdout),
+lev AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE]) AS tol),
+tk AS (SELECT tol, far.*, sqrt(x1 * x1 + x2 * x2 + x3 * x3) AS dist FROM far, lev QUALIFY row_number() OVER (
+    PARTITION BY tol, holdout ORDER BY sqrt(x1 * x1 + x2 * x2 + x3 * x3), condition_idx) <= ceil(((SELECT count(*) FROM a) - 1) * tol)),
+kw AS (SELECT *, 1 - power(dist / max(dist) OVER (PARTITION BY tol, holdout), 2) AS w FROM tk),
+{_fit3("l1", "kw", "size", "tol, holdout")},
+{_fit3("l2", "kw", "price", "tol, holdout")},
+adj AS ({adjusted})
+SELECT {r("tol", "tol")}, holdout, parameter, {r("CASE parameter WHEN 'size' THEN size ELSE price END", "true")}, {r("estimate", "estimate")}
+FROM adj JOIN a ON a.condition_idx = holdout"""
+
+
 def _cv() -> str:
     """Held-out conditions, leave-one-out scales and re-estimates: ends in a CTE ``cv``."""
     s = ABC_STATS
@@ -392,20 +453,28 @@ cv AS (SELECT tol, holdout, parameter, CASE parameter WHEN 'size' THEN size ELSE
 
 
 def _density(source: str, keys: str, panel: str, points: int = 512) -> str:
-    """Kernel density of ``v`` in ``source`` by ``keys``: the closing CTEs and SELECT."""
+    """Binned kernel density of ``v`` in ``source`` by ``keys``: the closing CTEs and SELECT."""
     names = keys.split(", ")
-    on = " AND ".join(f"s.{k} = b.{k}" for k in names)
+    last = points - 1
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in names)
+    own = lambda a: ", ".join(f"{a}.{k}" for k in names)
     return f"""mom AS (SELECT {keys}, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
     (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / {BANDWIDTH_IQR} AS iqr FROM {source} GROUP BY ALL),
-b AS (SELECT {keys}, n, min(lo) OVER (PARTITION BY {panel}) AS g0,
-    (max(hi) OVER (PARTITION BY {panel}) - min(lo) OVER (PARTITION BY {panel})) / {points - 1} AS step,
+b AS (SELECT {keys}, n, min(lo) OVER (PARTITION BY {panel}) AS g0, max(hi) OVER (PARTITION BY {panel}) AS g1,
     {BANDWIDTH_FACTOR} * CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) WHEN sd > 0 THEN sd
       WHEN lo <> 0 THEN abs(lo) ELSE 1 END * power(n, -0.2) AS bw FROM mom),
-grid AS (SELECT b.*, point, g0 + point * step AS x FROM b CROSS JOIN range(0, {points}) AS p(point) WHERE n >= 2)
-SELECT {", ".join(f"b.{k}" if k != "tol" else r("b.tol", "tol") for k in names)}, b.point, {r("max(b.x)", "x")},
-  {r("sum(exp(-0.5 * power((b.x - s.v) / b.bw, 2))) / max(b.n * b.bw * sqrt(2 * pi()))", "density")},
-  {r("max(b.bw)", "bandwidth")}
-FROM grid b JOIN {source} s ON {on} GROUP BY {", ".join(f"b.{k}" for k in names)}, b.point"""
+e AS (SELECT *, g0 - {MARGIN} * bw AS c0, (g1 - g0 + 2 * {MARGIN} * bw) / {last} AS d FROM b WHERE n >= 2),
+s AS (SELECT {own("e")}, least(floor((v - c0) / d), {last - 1}) AS i, (v - c0) / d AS spot FROM {source} v JOIN e ON {on("v", "e")}),
+cells AS (SELECT {keys}, c, sum(m) AS m FROM (
+    SELECT {keys}, i AS c, 1 - (spot - i) AS m FROM s UNION ALL SELECT {keys}, i + 1 AS c, spot - i AS m FROM s) GROUP BY ALL),
+curve AS (SELECT {own("e")}, j, sum(m * exp(-0.5 * power((j - c) * e.d / e.bw, 2))) / max(e.n * e.bw * sqrt(2 * pi())) AS y
+  FROM e CROSS JOIN range(0, {points}) AS g(j) JOIN cells ON {on("cells", "e")} GROUP BY {own("e")}, j),
+grid AS (SELECT e.*, point, g0 + point * ((g1 - g0) / {last}) AS x, (g0 + point * ((g1 - g0) / {last}) - c0) / d AS spot
+  FROM e CROSS JOIN range(0, {points}) AS p(point)),
+lo AS (SELECT *, least(floor(spot), {last - 1}) AS k FROM grid)
+SELECT {", ".join(f"lo.{k}" if k != "tol" else r("lo.tol", "tol") for k in names)}, lo.point, {r("lo.x", "x")},
+  {r("a.y * (1 - (lo.spot - lo.k)) + z.y * (lo.spot - lo.k)", "density")}, {r("lo.bw", "bandwidth")}
+FROM lo JOIN curve a ON {on("lo", "a")} AND a.j = lo.k JOIN curve z ON {on("lo", "z")} AND z.j = lo.k + 1"""
 
 
 def _inference() -> dict[str, str]:
@@ -448,7 +517,9 @@ acc AS (SELECT *, CAST(NULL AS DOUBLE) AS unusable FROM placed WHERE place <= ce
 {posterior_row("size")} UNION ALL {posterior_row("price")} UNION ALL {posterior_row("unusable")}"""
     histogram = f"""WITH g AS (SELECT event_type, min(value) AS lo, max(value) AS hi, ceil(log2(count(*)) + 1) AS n
   FROM events GROUP BY 1),
-c AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / n ELSE greatest(abs(lo), 1) * {SHRINK} END AS cell FROM g),
+z AS (SELECT *, greatest(abs(lo), abs(hi)) AS size FROM g),
+c AS (SELECT *, CASE WHEN hi - lo > size * (1 + 1 / (1 + {UNIT_BIAS})) * n * 3 * power(2, -52) THEN (hi - lo) / n
+    WHEN size = 0 THEN {SHRINK} WHEN size > 10 THEN (9 + size / 10) * {SHRINK} ELSE size * {SHRINK} END AS cell FROM z),
 b AS (SELECT *, power(10, floor(log10(cell))) AS base FROM c),
 u AS (SELECT *, CASE WHEN NOT 2 * base - cell < {UNIT_BIAS} * (cell - base) THEN base
     WHEN NOT 5 * base - cell < {UNIT_BIAS_FIVE} * (cell - 2 * base) THEN 2 * base
@@ -470,7 +541,20 @@ both_t AS ({" UNION ALL ".join(
     first = f"""SELECT l_partkey AS condition_idx, {r("first(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity, l_discount)", "l_quantity")},
   {r("first(l_discount ORDER BY l_orderkey, l_linenumber, l_quantity, l_discount)", "l_discount")}
 FROM lineitem GROUP BY 1"""
+    one_sided = f"""WITH stat AS (SELECT l_partkey AS condition_idx, avg(l_extendedprice / 1000) AS rt_mean FROM lineitem
+  WHERE l_quantity >= 45 GROUP BY 1),
+par AS (SELECT l_partkey AS condition_idx, first(l_discount ORDER BY l_orderkey, l_linenumber, l_discount) AS rebate
+  FROM lineitem WHERE l_quantity <= 3 GROUP BY 1)
+SELECT condition_idx, {r("rebate", "rebate")}, {r("rt_mean", "rt_mean")} FROM par JOIN stat USING (condition_idx)"""
+    custom = f"""WITH {abc},
+acc AS (SELECT * FROM placed WHERE place <= ceil(total * 0.05))
+{" UNION ALL ".join(f"""SELECT '{p}' AS parameter, {r(f"avg({p})", "mean")}, {r(f"quantile_cont({p}, 0.5)", "median")},
+  {r(f"quantile_cont({p}, 0.05)", "ci_lower_0.050")}, {r(f"quantile_cont({p}, 0.95)", "ci_upper_0.950")},
+  {r(f"max({p}) - min({p})", "width")}, {r(f"stddev_samp({p})", "sd")} FROM acc""" for p in PARAMS)}"""
     return {
+        "abc_input_one_sided": one_sided,
+        "posterior_custom": custom,
+        "abc_cv_loclinear": _cv_linear(),
         "condition_params": first,
         "abc_input": f"""WITH {abc}
 SELECT condition_idx, {", ".join(r(f"a.{c}", c) for c in (*PARAMS, *ABC_STATS))},

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialkit.functions import stats as S
 from trialkit.functions.columns import (
@@ -52,7 +54,7 @@ from trialkit.plans.roles import (
 )
 from trialkit.sources.checkpoints import scratch_folder
 from trialkit.sources.results import ResultSet, as_results, chunk_column, dense_codes
-from trialkit.streaming.trim import append_stream, trim_stream
+from trialkit.streaming.trim import append_stream, replace_stream, trim_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,12 +125,61 @@ def summary_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides have a NULL key; the first keys are among orders alone, the last among customers alone."""
     orders = table(spark, sf, "orders").withColumn("value", F.col("o_totalprice") / 1000)
     bought = summarise(by="cust", wider_by="cust", mean=S.mean("value"), n=S.count())
     balance = summarise(by="cust", wider_by="cust", mean=S.mean("c_acctbal"))
-    customers = table(spark, sf, "customer").where("c_acctbal > 0").withColumnRenamed("c_custkey", "cust")
-    recent = orders.where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "cust")
-    return six((bought(recent) + balance(customers)).df)
+    customers = table(spark, sf, "customer").withColumn("cust", F.when(F.col("c_acctbal") >= 0, F.col("c_custkey") + 10))
+    orders = orders.withColumn("cust", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")))
+    return six((bought(orders) + balance(customers)).df)
+
+
+@F.pandas_udf(T.DoubleType())
+def _width(v: pd.Series) -> float:
+    return float(v.max() - v.min())
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _quarters(v: pd.Series) -> list:
+    return [float(v.quantile(0.25)), float(v.quantile(0.75))]
+
+
+def summary_custom(spark: SparkSession, sf: str) -> DataFrame:
+    """Grouped-aggregate pandas functions, one of which returns an array, beside built-in aggregates."""
+    spec = summarise(
+        rt_mean=S.mean("rt"), width=_width("rt"), rt_median=S.median("rt"), quarters=_quarters("rt"), n=S.count()
+    )
+    table_ = spec(seconds(spark, sf)).df
+    ends = [F.get("quarters", F.lit(i)).alias(name) for i, name in enumerate(("low", "high"))]
+    return six(table_.select("*", *ends).drop("quarters"))
+
+
+def summary_pivot_given(spark: SparkSession, sf: str) -> DataFrame:
+    spec = summarise(
+        by=["user_id", "event_type"], wider_by=["user_id"], pivot_values=["view", "click"], value_mean=S.mean("value")
+    )
+    return six(spec(table(spark, sf, "events")).df)
+
+
+def summary_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """A summary spec kept up to date over a file stream."""
+    keys = ["condition_idx", "item_idx"]
+    spec = summarise(by=keys, wider_by=keys, n=S.count(), rt_mean=S.mean("rt"), rt_sd=S.sd("rt"))
+    out, log = scratch_folder(spark, "summary"), scratch_folder(spark, "summary-log")
+    replace_stream(spec(_line_stream(spark, sf)).df, out, log).awaitTermination()
+    return six(spark.read.parquet(out))
+
+
+def _line_stream(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    stream = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    return stream.select(
+        F.col("l_suppkey").alias("condition_idx"),
+        F.col("l_linenumber").alias("rank_idx"),
+        F.col("l_linenumber").alias("item_idx"),
+        F.col("l_orderkey").alias("trial_idx"),
+        (F.col("l_extendedprice") / 1000).alias("rt"),
+    )
 
 
 def lm_aic_by_group(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,7 +262,7 @@ def finite_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def complete_rows(spark: SparkSession, sf: str) -> DataFrame:
-    kept = complete_cases(_broken_times(spark, sf).where("item_idx <> 5"), ["rt", "trial_idx"])
+    kept = complete_cases(_broken_times(spark, sf), ["rt", "trial_idx"])
     return six(kept.groupBy("condition_idx", "item_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("rt").alias("rt_sum")))
 
 
@@ -289,6 +340,8 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod(F.col("l_orderkey"), F.lit(7)).alias("mod_o"),
         F.greatest(q, p / 1000).alias("hi"),
         F.least(q, p / 1000).alias("lo"),
+        F.format_string("%.3f", F.sqrt(p)).alias("three"),
+        F.format_string("%.4f", F.log(p)).alias("four"),
         F.concat_ws("_", F.lit("item"), F.col("l_linenumber").cast("string")).alias("label"),
         F.format_string("%05d", F.col("l_linenumber")).alias("padded"),
         F.size(F.sequence(F.lit(1), F.col("l_linenumber"))).alias("steps"),
@@ -324,6 +377,10 @@ def results_conditions(spark: SparkSession, sf: str) -> DataFrame:
     return six(_stored(spark, sf).conditions())
 
 
+def partition_read(spark: SparkSession, sf: str) -> DataFrame:
+    return six(_stored(spark, sf).chunk(1).select("condition_idx", "trial_idx", "item_idx", "rt"))
+
+
 def results_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return six(_stored(spark, sf).chunks())
 
@@ -343,7 +400,8 @@ def observed_ranks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def observed_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return six(dense_codes(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code"))
+    priority = F.nullif("o_orderpriority", F.lit("3-MEDIUM")).alias("o_orderpriority")
+    return six(dense_codes(table(spark, sf, "orders").select("o_orderkey", priority), "o_orderpriority", "code"))
 
 
 def flatten_nested(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,14 +438,7 @@ def trim_applied(spark: SparkSession, sf: str) -> DataFrame:
 def trim_streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The same trim over a file stream: the lines arrive as new files, thresholds are static."""
     bounds = trim_thresholds(seconds(spark, sf))
-    lines = table(spark, sf, "lineitem")
-    stream = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
-    rows = stream.select(
-        F.col("l_suppkey").alias("condition_idx"),
-        F.col("l_linenumber").alias("rank_idx"),
-        F.col("l_orderkey").alias("trial_idx"),
-        (F.col("l_extendedprice") / 1000).alias("rt"),
-    )
+    rows = _line_stream(spark, sf).drop("item_idx")
     out, log = scratch_folder(spark, "trimmed"), scratch_folder(spark, "trimmed-log")
     append_stream(trim_stream(rows, bounds, 60), out, log).awaitTermination()
     kept = spark.read.parquet(out)
@@ -444,6 +495,37 @@ def map_native(spark: SparkSession, sf: str) -> DataFrame:
     return six(map_by_condition(seconds(spark, sf), spec, combine=lambda t: t.df))
 
 
+def map_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Filter, then summarise each condition, by a plain function of its rows."""
+
+    def described(rows: pd.DataFrame) -> pd.DataFrame:
+        kept = rows[rows["item_idx"] > 1]
+        return pd.DataFrame(
+            {
+                "condition_idx": kept["condition_idx"].head(1),
+                "n": len(kept),
+                "middle": kept["rt"].median(),
+                "width": kept["rt"].max() - kept["rt"].min(),
+            }
+        )
+
+    rows = seconds(spark, sf).select("condition_idx", "item_idx", "rt")
+    return six(map_by_condition(rows, described, schema="condition_idx long, n long, middle double, width double"))
+
+
+def map_iterator(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over batches of a condition's rows."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, key = 0, 0.0, None
+        for rows in batches:
+            n, total, key = n + len(rows), total + rows["rt"].sum(), rows["condition_idx"].iloc[0]
+        yield pd.DataFrame({"condition_idx": [key], "n": [n], "total": [total]})
+
+    rows = seconds(spark, sf).select("condition_idx", "rt")
+    return six(map_by_condition(rows, counted, schema="condition_idx long, n long, total double"))
+
+
 def map_python(spark: SparkSession, sf: str) -> DataFrame:
     def part_sums(rows):
         out = rows[["condition_idx"]].head(1).copy()
@@ -466,11 +548,9 @@ def map_python(spark: SparkSession, sf: str) -> DataFrame:
 # --- inference -------------------------------------------------------------------------------
 
 
-def _input(spark: SparkSession, sf: str, pair_only: bool = False) -> AbcInput:
+def _input(spark: SparkSession, sf: str) -> AbcInput:
     rows = part_trials(spark, sf)
-    stats = {"rt_mean": S.mean("rt"), "rt_sd": S.sd("rt")}
-    if not pair_only:
-        stats["rt_median"] = S.median("rt")
+    stats = {"rt_mean": S.mean("rt"), "rt_sd": S.sd("rt"), "rt_median": S.median("rt")}
     summary = summarise(**stats)(rows).complete()
     observed = summarise(by=None, wider_by=None, **stats)(rows.where("l_returnflag = 'R'"))
     return build_abc_input(rows, summary, observed, ["size", "price"])
@@ -493,6 +573,21 @@ def abc_input(spark: SparkSession, sf: str) -> DataFrame:
     return six(data.df.select("*", *goal))
 
 
+def abc_input_one_sided(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters and statistics come from different rows, so either side has conditions of its own."""
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("condition_idx"),
+        F.col("l_orderkey").alias("trial_idx"),
+        F.col("l_linenumber").alias("rank_idx"),
+        (F.col("l_extendedprice") / 1000).alias("rt"),
+        F.col("l_discount").alias("rebate"),
+        "l_quantity",
+    )
+    summary = summarise(rt_mean=S.mean("rt"))(lines.where("l_quantity >= 45"))
+    observed = summarise(by=None, wider_by=None, rt_mean=S.mean("rt"))(lines)
+    return six(build_abc_input(lines.where("l_quantity <= 3"), summary, observed, ["rebate"]).df)
+
+
 def abc_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return six(abc_rejection(_input(spark, sf), 0.05).df)
 
@@ -502,12 +597,12 @@ def abc_nearest_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def abc_linear(spark: SparkSession, sf: str) -> DataFrame:
-    post = abc_local_linear(_input(spark, sf, True), 0.5, ["none", "log"], heteroscedastic=False)
+    post = abc_local_linear(_input(spark, sf), 0.5, ["none", "log"], heteroscedastic=False)
     return six(post.df.select("condition_idx", "adjusted_size", "adjusted_price"))
 
 
 def abc_linear_rescaled(spark: SparkSession, sf: str) -> DataFrame:
-    post = abc_local_linear(_input(spark, sf, True), 0.5, ["none", "log"])
+    post = abc_local_linear(_input(spark, sf), 0.5, ["none", "log"])
     return six(post.df.select("condition_idx", "adjusted_size", "adjusted_price"))
 
 
@@ -519,6 +614,10 @@ def abc_cv(spark: SparkSession, sf: str) -> DataFrame:
     return six(_cv(spark, sf))
 
 
+def abc_cv_linear(spark: SparkSession, sf: str) -> DataFrame:
+    return six(abc_cross_validate(_input(spark, sf), 10, [0.1, 0.2], method="loclinear"))
+
+
 def cv_recovery(spark: SparkSession, sf: str) -> DataFrame:
     return six(recovery_table(_cv(spark, sf), resid_tol=0.9))
 
@@ -540,6 +639,12 @@ def posterior_summary(spark: SparkSession, sf: str) -> DataFrame:
     return six(summary.df)
 
 
+def posterior_custom(spark: SparkSession, sf: str) -> DataFrame:
+    """Posterior summaries by a pandas function and a built-in expression."""
+    post = abc_rejection(_input(spark, sf), 0.05)
+    return six(summarise_posterior(post, ci_level=0.9, width=_width("value"), sd=S.sd("value")).df)
+
+
 def histogram_scaled(spark: SparkSession, sf: str) -> DataFrame:
     return six(scaled_histogram(table(spark, sf, "events"), ["event_type"], "value"))
 
@@ -561,6 +666,9 @@ QUERIES: dict[str, Query] = {
     "summary_pivot_single": summary_pivot_single,
     "summary_pivot_two_keys": summary_pivot_two_keys,
     "summary_vectors": summary_vectors,
+    "summary_custom": summary_custom,
+    "summary_pivot_given": summary_pivot_given,
+    "summary_stream": summary_streamed,
     "summary_join": summary_join,
     "summary_complete": summary_complete,
     "lm_aic_by_group": lm_aic_by_group,
@@ -578,6 +686,7 @@ QUERIES: dict[str, Query] = {
     "results_round_trip": results_round_trip,
     "results_conditions": results_conditions,
     "results_chunks": results_chunks,
+    "partition_read": partition_read,
     "observed_ranks": observed_ranks,
     "observed_codes": observed_codes,
     "flatten_nested": flatten_nested,
@@ -594,18 +703,23 @@ QUERIES: dict[str, Query] = {
     "first_crossing_in_blocks": crossings_in_blocks,
     "race_rank": race_ranks,
     "map_by_condition": map_native,
+    "map_by_condition_frame": map_frame,
+    "map_by_condition_iterator": map_iterator,
     "map_by_condition_python": map_python,
     "condition_params": first_params,
     "abc_input": abc_input,
+    "abc_input_one_sided": abc_input_one_sided,
     "abc_rejection": abc_nearest,
     "abc_rejection_in_blocks": abc_nearest_in_blocks,
     "abc_loclinear": abc_linear,
     "abc_loclinear_rescaled": abc_linear_rescaled,
     "abc_cv": abc_cv,
+    "abc_cv_loclinear": abc_cv_linear,
     "cv_recovery": cv_recovery,
     "cv_residual_density": cv_residual_density,
     "cv_pair_correlation": cv_pair_correlation,
     "posterior_summary": posterior_summary,
+    "posterior_custom": posterior_custom,
     "histogram_scaled": histogram_scaled,
     "density_curves": density_events,
     "density_prior_posterior": density_prior_posterior,

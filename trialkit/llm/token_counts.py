@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from trialkit.llm.tokens import text_runs
+from trialkit.llm.tokens import byte_names, text_runs
 
 #: Words whose counts a task keeps; the store starts anew when it is full.
 KEPT_WORDS = 500_000
@@ -28,13 +28,6 @@ END = 256
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def byte_names() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the rest from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def read_pieces(path: str) -> list[tuple[bytes, bool]]:
     """Pieces of a tokenizer file with word ends: bytes, and whether the piece ends a word."""
     with open(path, encoding="utf-8") as file:

@@ -5,15 +5,20 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
 
 #: Words whose ids a task keeps; the store starts anew when it is full.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 #: Longer words are not kept.
 KEPT_LENGTH = 48
+#: Words encoded by one call.
+JOINED_WORDS = 20_000
 
-#: Where blanks follow each other, or are others than space and line feed, a text is encoded as a whole.
-_ODD = re.compile("[^\\S \n]|᠎|\x00|  |\n\n| \n|\n |^[ \n]|[ \n]$")
+#: Words that both patterns cut into letters and the marks after them: nothing else in them is looked at.
+_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_INNER_BLANK = re.compile(r"(?<!^)\s|^[^\S ]|^ ?$")
 
 
 def read_tokenizer(path: str) -> str:
@@ -41,7 +46,13 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = self._words if pieces == "words" else self._spaces
+        self.between = " | " if pieces == "words" else "\n|\n"
+        self.mark = np.array(self._ids(f"a{self.between}a")[1:-1], "<u4")
+        self.lower = pieces == "words"
         self.kept: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+        names = {b: ch for ch, b in byte_names().items()}
+        self.names = {b: names[b] for b in range(256)}
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -49,30 +60,85 @@ class TokenIds:
 
     @staticmethod
     def _spaces(text: str) -> list[str]:
-        if _ODD.search(text):
+        # single spaces and line feeds between words, and no other blanks: both ways of cutting agree
+        if "\x00" in text or "\u180e" in text or text.replace("\n", " ").split(" ") != text.split():
             return [text]
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.kept) > KEPT_WORDS:
             self.kept = {"": b""}
+        if len(self.parts) > KEPT_WORDS:
+            self.parts = {"": b""}
         get = self.kept.get
         cut = [self.cut(t or "") for t in texts]
         ids = [list(map(get, words)) for words in cut]
         unknown = {w for words, got in zip(cut, ids, strict=True) if None in got for w, i in zip(words, got, strict=True) if i is None}
         passing: dict[str, bytes] = {}
         if unknown:
-            unknown = list(unknown)
-            encoded = self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
-            for word, one in zip(unknown, encoded, strict=True):
-                (self.kept if len(word) <= KEPT_LENGTH else passing)[word] = array("I", one.ids).tobytes()
-            del encoded
+            for word, found in self._encoded(list(unknown)):
+                (self.kept if len(word) <= KEPT_LENGTH else passing)[word] = found
             for i, words in enumerate(cut):
                 if None in ids[i]:
                     ids[i] = [v if v is not None else get(w) or passing.get(w, b"") for w, v in zip(words, ids[i], strict=True)]
         return [b"".join(got) for got in ids]
 
 
+    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of some words.
+
+        A word of Latin letters, with marks after it, goes to the tokenizer's model in these two parts. A
+        call of the whole tokenizer for each of the others would cost more than the encoding: they are joined
+        by a separator that stays apart from them and whose ids no word without ``|`` (or, with spaces,
+        without a line feed) can have.
+        """
+        plain, others = [], []
+        for w in words:
+            simple = _SIMPLE.fullmatch(w)
+            if simple:
+                body, marks = simple.groups()
+                yield w, self._part(body.lower() if self.lower else body) + self._part(marks)
+            else:
+                (others if "|" in w or _INNER_BLANK.search(w) else plain).append(w)
+        for first in range(0, len(plain), JOINED_WORDS):
+            some = plain[first : first + JOINED_WORDS]
+            # one more at the end, so that every word is followed by it
+            ids = np.array(self._ids(self.between.join([*some, ""])), "<u4")
+            mark = self.mark
+            hit = ids[: len(ids) - len(mark) + 1] == mark[0]
+            for k in range(1, len(mark)):
+                hit &= ids[k : len(ids) - len(mark) + 1 + k] == mark[k]
+            ends = np.flatnonzero(hit)
+            if len(ends) != len(some):  # the tokenizer does not keep the separator apart
+                others += some
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                yield word, raw[4 * start : 4 * end]
+                start = end + len(mark)
+        if others:
+            encoded = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+            for word, one in zip(others, encoded, strict=True):
+                yield word, array("I", one.ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            spelled = part.encode().decode("latin-1").translate(self.names)
+            ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return ids
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+def byte_names() -> dict[str, int]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the rest from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def text_runs(texts: Sequence[str | None], limit: int = 1_000_000):
     """Cut a list of texts into runs of about ``limit`` characters: (first, texts)."""
     first, size = 0, 0

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from trialkit.llm.common import fresh, let, stored
 
 MIN_WORDS = 25
+#: Windows have fewer lines than this; ``min_words`` may not be larger.
+WIDE_BITS = 20
+WIDE = 1 << WIDE_BITS
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -44,19 +47,19 @@ def line_windows(text: Column, min_words: int = MIN_WORDS) -> Column:
     def windows(hashes: Column, words: Column) -> Column:
         size = F.size(words)
         numbers = F.sequence(F.lit(1), size)
-        ahead = F.transform(numbers, lambda i: F.struct((i - 1).alias("first"), reach(words, i).alias("n")))
+        # a window is one number, first * WIDE + n, as distinct numbers are found by hashing, structs are not
+        pack = lambda first, n: first.cast("bigint") * WIDE + n
+        ahead = F.transform(numbers, lambda i: pack(i - 1, reach(words, i)))
         back = let(
             F.reverse(words),
-            lambda r: F.transform(
-                numbers,
-                lambda i: let(reach(r, i), lambda n: F.struct((size - (i - 1) - n).alias("first"), n.alias("n"))),
-            ),
+            lambda r: F.transform(numbers, lambda i: let(reach(r, i), lambda n: pack(size - (i - 1) - n, n))),
         )
-        both = F.array_distinct(F.filter(F.concat(ahead, back), lambda x: x["n"].isNotNull()))
+        both = F.array_distinct(F.filter(F.concat(ahead, back), lambda x: x.isNotNull()))
 
         def filled(x: Column) -> Column:
-            run = F.slice(hashes, x["first"] + 1, x["n"])
-            return F.struct(x["first"], x["n"], F.array_min(run).alias("print"), F.xxhash64(run).alias("key"))
+            first, n = F.shiftright(x, WIDE_BITS).cast("int"), x.bitwiseAND(F.lit(WIDE - 1)).cast("int")
+            run = F.slice(hashes, first + 1, n)
+            return F.struct(first.alias("first"), n.alias("n"), F.array_min(run).alias("print"), F.xxhash64(run).alias("key"))
 
         return F.transform(both, filled)
 
@@ -76,6 +79,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", min_
     repeated rows the first keeps its lines. With ``counts`` the columns ``n_lines`` (with a word) and
     ``n_removed`` follow.
     """
+    if not 0 < min_words < WIDE:
+        raise ValueError(f"min_words must be from 1 to {WIDE - 1}")
     row, found, gone = fresh(docs, "row", "windows", "gone")
     names = [F.col(f"`{c}`") for c in docs.columns]
     base = docs.select(*names, F.monotonically_increasing_id().alias(row), line_windows(F.col(f"`{text}`"), min_words).alias(found))
@@ -83,7 +88,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", min_
 
     # positions join on the fingerprint: one count per distinct smallest hash and line
     spots = F.array_distinct(F.transform(found, lambda x: x["print"]))
-    repeats = F.size(F.array_distinct(F.transform(found, lambda x: F.struct(x["print"], x["key"])))) < F.size(found)
+    repeats = F.size(F.array_distinct(F.transform(found, lambda x: x["key"]))) < F.size(found)
     prints = base.select(F.explode(spots).alias("print"), F.when(repeats, F.lit(2)).otherwise(F.lit(1)).alias("times"))
     common = prints.groupBy("print").agg(F.sum("times").alias("times")).where("times > 1").select("print")
 

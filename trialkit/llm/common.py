@@ -22,10 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as Parquet to the shared folder and read on from there.
 
-    Later steps then see fixed rows, whatever executors are lost, and read only the columns they use.
+    Later steps then see fixed rows, whatever executors are lost, and read only the columns they use. The
+    compression is one that works in heap memory: buffers outside it stay until the JVM clears its heap.
     """
     path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

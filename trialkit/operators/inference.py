@@ -82,10 +82,11 @@ def _summary(table: SummaryTable | DataFrame, condition: str, what: str) -> tupl
     return table, (condition,)
 
 
-def _stored_params(results: ResultSet, params: Sequence[str], condition: str) -> DataFrame | None:
-    """The parameters from the result set's own table of conditions, if it has them all."""
-    table = results.conditions()
-    if any(c not in table.columns for c in (condition, *params)):
+def _given_params(table: DataFrame, params: Sequence[str], condition: str, required: bool) -> DataFrame | None:
+    """The parameters from a table of conditions; NULL if it lacks some and need not have them."""
+    if required:
+        require_columns(table, [condition, *params])
+    elif any(c not in table.columns for c in (condition, *params)):
         return None
     return table.select(named(condition), *[named(p) for p in params])
 
@@ -96,17 +97,21 @@ def build_abc_input(
     target: SummaryTable | DataFrame,
     params: Sequence[str],
     condition: str = "condition_idx",
+    conditions: DataFrame | None = None,
 ) -> AbcInput:
     """Line up the parameters and the statistics of the conditions present in both tables.
 
     The statistics are all columns of ``summary`` outside its key. Of ``target`` the first row by key
-    counts. A result set's table of conditions gives the parameters, if it holds them; otherwise they are
-    taken from the responses.
+    counts. The parameters come from ``conditions``, one row per condition, or from a result set's own table
+    of conditions, if it holds them; otherwise they are taken from the responses.
     """
     params = tuple(params)
     if not params:
         raise ValueError("name at least one parameter")
-    given = _stored_params(results, params, condition) if isinstance(results, ResultSet) else None
+    given = conditions
+    if given is None and isinstance(results, ResultSet):
+        given = results.conditions()
+    given = None if given is None else _given_params(given, params, condition, conditions is not None)
     if given is None:
         rows = results.dataset() if isinstance(results, ResultSet) else results
         require_columns(rows, [condition, *params])

@@ -224,8 +224,9 @@ def apply_spec(
     return SummaryTable(folded.select(*[named(k) for k in key], *out), key)
 
 
-def _label(pivoted: Sequence[str], types: dict[str, str]) -> Column:
-    return F.concat_ws("_", *[pivot_label(c, types[c]) for c in pivoted])
+def _label(pivoted: Sequence[str], types: dict[str, str], values: Sequence[Column] | None = None) -> Column:
+    parts = [named(c) for c in pivoted] if values is None else values
+    return F.concat_ws("_", *[pivot_label(c, types[c], v) for c, v in zip(pivoted, parts, strict=True)])
 
 
 def _measured(
@@ -251,10 +252,10 @@ def _measured(
 
 
 def _given_labels(df: DataFrame, pivoted: Sequence[str], values: Sequence) -> list[str]:
+    types = dict(df.dtypes)
     rows = [v if isinstance(v, tuple) else (v,) for v in values]
-    # in a single partition the rows stay in the order given
-    table = df.sparkSession.createDataFrame(rows, df.select(*[named(c) for c in pivoted]).schema).coalesce(1)
-    return [r["label"] for r in table.select(_label(pivoted, dict(df.dtypes)).alias("label")).collect()]
+    labels = [_label(pivoted, types, [F.lit(x).cast(types[c]) for c, x in zip(pivoted, r, strict=True)]) for r in rows]
+    return list(df.sparkSession.range(1).select(F.array(*labels).alias("labels")).first()["labels"])
 
 
 def _labels(
@@ -377,12 +378,12 @@ def _suffixed(name: str, suffix: str | None) -> str:
     return name if suffix is None else f"{name}_{suffix}"
 
 
-def pivot_label(column: str, dtype: str) -> Column:
+def pivot_label(column: str, dtype: str, value: Column | None = None) -> Column:
     """``<column>_<value>``: NULL reads NA, a logical TRUE or FALSE, a double has 15 digits at most.
 
     A double that holds an integer reads as the integer.
     """
-    value = named(column)
+    value = named(column) if value is None else value
     text = value.cast("string")
     if dtype == "boolean":
         text = F.upper(text)

@@ -19,7 +19,7 @@ from trialkit.functions.columns import (
     valid_time,
     with_formulas,
 )
-from trialkit.operators.blocks import average_ranks, group_quantiles, row_numbers
+from trialkit.operators.blocks import GroupSizes, average_ranks, group_quantiles, group_sizes, row_numbers
 from trialkit.operators.crossing import first_crossing, race
 from trialkit.operators.inference import (
     AbcInput,
@@ -549,11 +549,20 @@ def map_python(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _input(spark: SparkSession, sf: str) -> AbcInput:
-    rows = part_trials(spark, sf)
+    """Parts as conditions: statistics from their line items, parameters from the table of parts."""
+    rows = seconds(spark, sf, "l_partkey", "l_returnflag")
     stats = {"rt_mean": S.mean("rt"), "rt_sd": S.sd("rt"), "rt_median": S.median("rt")}
-    summary = summarise(**stats)(rows).complete()
-    observed = summarise(by=None, wider_by=None, **stats)(rows.where("l_returnflag = 'R'"))
-    return build_abc_input(rows, summary, observed, ["size", "price"])
+    # one count serves both summaries: no group of some rows is larger than all of them
+    sizes = group_sizes(rows, ["condition_idx"])
+    summary = summarise(**stats)(rows, sizes=sizes).complete()
+    everything = GroupSizes(sizes.total, sizes.total)
+    observed = summarise(by=None, wider_by=None, **stats)(rows.where("l_returnflag = 'R'"), sizes=everything)
+    parts = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("condition_idx"),
+        F.col("p_size").cast("double").alias("size"),
+        F.col("p_retailprice").alias("price"),
+    )
+    return build_abc_input(rows, summary, observed, ["size", "price"], conditions=parts)
 
 
 def first_params(spark: SparkSession, sf: str) -> DataFrame:

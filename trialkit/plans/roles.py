@@ -33,14 +33,15 @@ def six(df: DataFrame) -> DataFrame:
     return df.select(*[plain(n, t) for n, t in df.dtypes])
 
 
-def seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seconds(spark: SparkSession, sf_dir: str, condition: str = "l_suppkey", *more: str) -> DataFrame:
     """Line items: supplier as condition, order as trial, line as item and rank, price/1000 as time."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("condition_idx"),
+        F.col(condition).alias("condition_idx"),
         F.col("l_orderkey").alias("trial_idx"),
         F.col("l_linenumber").alias("rank_idx"),
         F.col("l_linenumber").alias("item_idx"),
         (F.col("l_extendedprice") / 1000).alias("rt"),
+        *more,
     )
 
 
@@ -86,6 +87,8 @@ def flagship_spec() -> SummarySpec:
         aic=S.gaussian_aic("rt", "item_idx"),
     ) + summarise(
         by=["condition_idx", "item_idx"],
+        # an order has up to seven lines
+        pivot_values=range(1, 8),
         rt_mean=S.mean("rt"),
         rt_quantiles=S.quantiles("rt", [0.1, 0.5, 0.9]),
     )

@@ -27,7 +27,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove stored tables from which everything that follows has been stored in turn."""
+    for table in tables:
+        if table is not None:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -12,13 +12,15 @@ differ, so they meet in at least ``guard + 1`` keys.
 *One-deletion neighbourhoods.* In the band of the smallest sets one segment holds the whole set. There a
 document shows its subset and each subset with one shingle deleted, which meets any set that differs in one.
 
-*Cost-based allocation.* Where many unlinked documents share a key (a passage that is everywhere), pairs are
-not made from it. A document can spare as many keys as its guard; those that would have to spare more show
-all their segments in a second index, which has a far larger guard, made among them alone.
+*Cost-based allocation.* Where many unlinked documents share a key (a passage that is everywhere, the common
+part of near copies), pairs are not made from it. A document can spare as many keys as its guard; those that
+would have to spare more show every shingle as a segment of its own in a second index, made among them alone.
+There two linked documents meet in their whole intersection, so of three quarters of its shingles a document
+can spare all but one: what it has of its own finds its partners.
 
 *Verification.* Candidates that share enough keys are compared shingle by shingle. Copies are one node. In
-a group of near copies documents are first compared with a few pivots, so that pairs are only made between
-documents that are not connected yet.
+a group of near copies documents are first compared with the most central one, whose keys are the commonest,
+so that pairs are only made between documents that are not connected yet.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialkit.llm.common import fresh, numbered, stored, text_chunks
+from trialkit.llm.common import forget, fresh, numbered, stored, text_chunks
 from trialkit.llm.hashing import SOLID, Words, mix, run_hashes
 
 WIDTH = 5
@@ -42,9 +44,9 @@ BANDS = ((1 << 20, 24), (1 << 26, 30), (1 << 62, 36))
 #: Keys shown beyond the pigeonhole bound: so many, and a part of the bound.
 GUARD, GUARD_PART = 8, 16
 #: Pairs of unconnected documents in a key beyond which it is spared.
-COSTLY = 500
-#: Rounds of comparing with pivots before pairs are made.
-PIVOT_ROUNDS = 3
+COSTLY = 50
+#: Rounds of comparing with central documents before pairs are made.
+PIVOT_ROUNDS = 1
 #: A table of node numbers up to so many rows is broadcast to find its texts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -84,8 +86,8 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def segment_keys(found: np.ndarray, shown: int | None) -> np.ndarray:
-    """Keys of the first ``shown`` segments that are not empty; of all for None."""
+def segment_keys(found: np.ndarray, shown: int) -> np.ndarray:
+    """Keys of the first ``shown`` segments that are not empty."""
     n = len(found)
     keys = []
     if n <= SMALLEST + 1:
@@ -135,7 +137,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     return found.dropDuplicates(["id"]) if repeated else found
 
 
-def _keys(texts: DataFrame, all_segments: bool) -> DataFrame:
+def _keys(texts: DataFrame) -> DataFrame:
     """``key, id`` of the shown segments."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def _keys(texts: DataFrame, all_segments: bool) -> DataFrame:
             out = []
             for found in shingle_sets(batch.column(1)):
                 n = len(found)
-                out.append(segment_keys(found, None if all_segments else n // 3 + 1 + guard(n)).view(np.int64))
+                out.append(segment_keys(found, n // 3 + 1 + guard(n)).view(np.int64))
             if out:
                 sizes = np.cumsum([0, *map(len, out)])
                 # a few long texts must not make one batch of lists too long
@@ -155,15 +157,18 @@ def _keys(texts: DataFrame, all_segments: bool) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """``id`` and its shingles as bytes."""
+    """``id``, the size of its set, and its sorted shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [found.tobytes() for found in shingle_sets(batch.column(1))]
+            out = list(shingle_sets(batch.column(1)))
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
+                sizes = np.array([len(x) for x in out], np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists], ["id", "n", "shingles"])
 
-    return texts.mapInArrow(work, "id bigint, shingles binary")
+    return texts.mapInArrow(work, "id bigint, n bigint, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +181,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for mine, theirs in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (mine, theirs))
+                a, b = (x.values.to_numpy() for x in (mine, theirs))
                 both = np.sort(np.concatenate([a, b]))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
@@ -186,7 +191,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``id, comp``: the smallest id that each id of the ``edges`` (``u``, ``v``) can reach.
+    """``id, comp``: the smallest id that each id of the ``edges`` (``u``, ``v``) can reach, but for that one.
 
     Every step links the neighbours of each node to the smallest of them and shortens the way there; a node
     is one row per neighbour, never a list. Steps are written, so none is computed twice.
@@ -201,12 +206,16 @@ def connected(edges: DataFrame) -> DataFrame:
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         joined = larger.join(least, "u")
         smaller = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = stored(_larger_first(smaller), "edges")
+        shorter = stored(_larger_first(smaller), "edges")
+        forget(edges)
+        edges = shorter
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
+    labels = stored(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp")), "groups")
+    forget(edges)
+    return labels
 
 
 def _larger_first(edges: DataFrame) -> DataFrame:
@@ -224,12 +233,22 @@ class _Groups:
             return rows.withColumn("comp", F.col("id"))
         return rows.join(self.table, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
+    def verify(self, pairs: DataFrame, sets: DataFrame, percent: int) -> bool:
+        """Compare the pairs and take in those that link; whether there were any."""
+        edges = stored(_verified(pairs, sets, percent), "links")
+        some = not edges.isEmpty()
+        if some:
+            self.join(edges)
+        forget(edges)
+        return some
+
     def join(self, edges: DataFrame) -> None:
         """Take in links between nodes."""
         known = [edges]
         if self.table is not None:
             known.append(self.table.where("id != comp").select(F.col("id").alias("u"), F.col("comp").alias("v")))
-        self.table = stored(connected(reduce(DataFrame.unionByName, known)), "groups")
+        old, self.table = self.table, connected(reduce(DataFrame.unionByName, known))
+        forget(old)
 
 
 def _shared(keys: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -241,7 +260,9 @@ def _shared(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     some = stored(some, "shared")
     n_keys = some.groupBy("id").agg(F.count(F.lit(1)).alias("n_shared"))
     enough = n_keys.join(nodes.select("id", "n"), "id").where((F.col("n") <= SMALLEST + 1) | (F.col("n_shared") > _least_guard(F.col("n"))))
-    return stored(some.join(enough.select("id", "n"), "id"), "shared")
+    shared = stored(some.join(enough.select("id", "n"), "id"), "shared")
+    forget(some)
+    return shared
 
 
 def _least_guard(n):
@@ -250,15 +271,25 @@ def _least_guard(n):
 
 
 def _pivot_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """For each node the pivot it shares most keys with; pivots change with the turn."""
-    by = F.xxhash64("id", F.lit(turn))
-    heads = labelled.groupBy("key").agg(
-        F.min(F.struct(by.alias("by"), "id", "comp")).alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    )
-    heads = heads.where("low < high").select("key", F.col("head.id").alias("pivot"), F.col("head.comp").alias("pivot_comp"))
-    met = labelled.join(heads, "key").where("comp != pivot_comp")
+    """For each node the pivot it shares most keys with.
+
+    A key's pivot is the node whose keys are shared by most nodes; in later turns it is one of those that are
+    not connected to that one, by a hash that changes with the turn.
+    """
+    sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    central = labelled.join(sizes, "key").groupBy("id").agg(F.sum("k").alias("weight"))
+    rows = labelled.join(central, "id")
+    best = F.max(F.struct("weight", "id", "comp")).alias("head")
+    heads = rows.groupBy("key").agg(best, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    if turn:
+        rows = rows.join(heads.select("key", F.col("head.comp").alias("main")), "key").where("comp != main").drop("main")
+        best = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("by"), "id", "comp")).alias("head")
+        heads = rows.groupBy("key").agg(best)
+    heads = heads.select("key", F.col("head.id").alias("pivot"), F.col("head.comp").alias("pivot_comp"))
+    met = rows.join(heads, "key").where("comp != pivot_comp")
     counts = met.groupBy("id", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
-    best = counts.where((F.col("n") <= SMALLEST + 1) | (F.col("c") > _least_guard(F.col("n")))).groupBy("id").agg(F.max(F.struct("c", "pivot")).alias("best"))
+    enough = counts.where((F.col("n") <= SMALLEST + 1) | (F.col("c") > _least_guard(F.col("n"))))
+    best = enough.groupBy("id").agg(F.max(F.struct("c", "pivot")).alias("best"))
     return best.select(F.col("id").alias("u"), F.col("best.pivot").alias("v"))
 
 
@@ -270,42 +301,55 @@ def _open_keys(labelled: DataFrame) -> DataFrame:
     rows = labelled.join(keys.where(cross > 0).select("key", (cross > COSTLY).alias("costly")), "key")
     rows = stored(rows, "open")
     spared = rows.where("costly").groupBy("id").agg(F.count(F.lit(1)).alias("spared"))
-    return stored(rows.join(spared, "id", "left").withColumn("spared", F.coalesce("spared", F.lit(0))), "open")
+    done = stored(rows.join(spared, "id", "left").withColumn("spared", F.coalesce("spared", F.lit(0))), "open")
+    forget(rows)
+    return done
 
 
-def _crossed(rows: DataFrame) -> DataFrame:
-    """Pairs of unconnected nodes that meet in some key, with the number ``c`` of keys they share."""
-    own = ["n", "spared", "shown"]
-    a = rows.select("key", F.col("id").alias("u"), F.col("comp").alias("comp_u"), *own)
-    b = rows.select("key", F.col("id").alias("v"), F.col("comp").alias("comp_v"), *[F.col(k).alias(f"{k}_v") for k in own])
-    met = a.join(b, "key").where("u < v and comp_u != comp_v and 4 * n >= 3 * n_v and 4 * n_v >= 3 * n")
-    return met.groupBy("u", "v", *own, *[f"{k}_v" for k in own]).agg(F.count(F.lit(1)).alias("c"))
+def _crossed(rows: DataFrame, also: str = "true") -> DataFrame:
+    """Pairs of unconnected nodes that meet in some key, with the number ``c`` of keys they share.
+
+    ``also`` is a further condition on the meeting of the two sides, whose columns end in ``_v`` on the other.
+    """
+    other = {c: f"{c}_v" for c in rows.columns if c != "key"}
+    met = rows.join(rows.select("key", *[F.col(k).alias(v) for k, v in other.items()]), "key")
+    met = met.where("id < id_v and comp != comp_v and 4 * n >= 3 * n_v and 4 * n_v >= 3 * n").where(also)
+    pairs = met.groupBy("id", "id_v", "n", "n_v", "spared", "spared_v").agg(F.count(F.lit(1)).alias("c"))
+    return pairs.withColumnsRenamed({"id": "u", "id_v": "v"})
 
 
-def _shown_pairs(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the first index: pairs that share enough keys, and the nodes that lack keys to spare."""
-    rows = _open_keys(labelled.withColumn("shown", F.lit(0)))
+def _segment_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the open keys of the first index: pairs that share enough, and the nodes that lack keys to spare."""
     needed = F.least(_guard(F.col("n")), _guard(F.col("n_v")))
     enough = (F.col("c") + F.least("spared", "spared_v") > needed) | (F.least("n", "n_v") <= SMALLEST + 1)
     small = F.col("n") <= SMALLEST + 1
     risky = F.when(small, F.col("spared") > 0).otherwise(F.col("spared") > _least_guard(F.col("n")))
-    return _crossed(rows.where("not costly")).where(enough).select("u", "v"), rows.where(risky)
+    return _crossed(rows.where("not costly")).where(enough).select("u", "v"), rows.where(risky).select("id").distinct()
 
 
-def _all_pairs_by_key(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the second index, in which nodes show all segments.
+def _shingle_pairs(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """From the open keys of the second index, which shows every shingle: pairs that may share enough of them.
 
-    Two linked sets differ in at most H of the segments that one of them shows. The second frame holds the
-    pairs of nodes that cannot do without costly keys: what they consist of is mostly everywhere.
+    Two linked nodes share at least ``needed`` shingles, of which costly ones are at most what the one with
+    fewer of them has. The second frame holds the pairs of nodes for which that is all of ``needed``.
     """
-    rows = _open_keys(labelled)
-    one_band = F.greatest("n", "n_v") <= BANDS[0][0]
-    needed = F.when(one_band, F.least("shown", "shown_v") - F.floor((F.col("n") + F.col("n_v")) / 7)).otherwise(1)
-    small = F.least("n", "n_v") <= SMALLEST + 1
-    cheap = _crossed(rows.where("not costly")).where((F.col("c") + F.least("spared", "spared_v") >= needed) | small)
-    per_band = F.when(F.col("n") <= BANDS[0][0], F.col("shown")).otherwise(F.floor(F.col("shown") / 2))
-    stuck = F.when(F.col("n") <= SMALLEST + 1, F.col("spared") > 0).otherwise(F.col("spared") >= per_band - F.floor(F.col("n") / 3))
-    rest = _crossed(rows.where(stuck)).where((F.col("c") >= needed) | small)
+    needed = lambda n, m: F.ceil((n + m) * percent / (100 + percent))
+    both = needed(F.col("n"), F.col("n_v"))
+    cheap = _crossed(rows.where("not costly")).where(F.col("c") + F.least("spared", "spared_v") >= both)
+    # the smallest node that this one meets in a costly key, and that is not too small to link with it
+    low = F.ceil(F.col("n") * 3 / 4)
+    costly = rows.where("costly")
+    smallest = costly.groupBy("key").agg(F.min("n").alias("m"), F.count(F.lit(1)).alias("often"))
+    costly = costly.join(smallest, "key")
+    partner = costly.groupBy("id", "n", "spared").agg(F.min("m").alias("m"))
+    least = needed(F.col("n"), F.greatest(F.col("m"), low))
+    # Pairs that share a cheap key are above. The others share costly ones alone, `needed` of them at least, so
+    # among the rarest of these, all but `needed` and one more, there is one that both have.
+    stuck = partner.where(F.col("spared") >= least).select("id", (F.col("spared") - least + 1).alias("rarest"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "key"))
+    shown = costly.drop("m").join(stuck, "id").withColumn("place", place).where("place <= rarest").drop("often", "rarest")
+    bound = f"ceil((n + n_v) * {percent} / {100 + percent}) - 1"
+    rest = _crossed(shown, f"place <= spared - ({bound}) and place_v <= spared_v - ({bound})")
     return cheap.select("u", "v"), rest.select("u", "v")
 
 
@@ -332,21 +376,20 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, text: str = "text", doc_i
     repeated = not same.groupBy("id").count().where("count > 1").isEmpty()
 
     groups = _Groups()
-    shared = _shared(_keys(_texts_of(rows, nodes, repeated), False), nodes)
+    shared = _shared(_keys(_texts_of(rows, nodes, repeated)), nodes)
     wanted = nodes.join(shared.select("id").distinct(), "id")
     sets = stored(_sets(_texts_of(rows, wanted, repeated)), "sets")
     for turn in range(PIVOT_ROUNDS):
-        edges = stored(_verified(_pivot_pairs(groups.label(shared), turn), sets, percent), "links")
-        if edges.isEmpty():
+        if not groups.verify(_pivot_pairs(groups.label(shared), turn), sets, percent):
             break
-        groups.join(edges)
-    pairs, risky = _shown_pairs(groups.label(shared))
-    edges = stored(_verified(pairs, sets, percent), "links")
-    if not edges.isEmpty():
-        groups.join(edges)
-    left = stored(risky.select("id").distinct(), "risky")
+    rows_open = _open_keys(groups.label(shared))
+    pairs, risky = _segment_pairs(rows_open)
+    groups.verify(pairs, sets, percent)
+    left = stored(risky, "risky")
+    forget(shared, rows_open)
     if not left.isEmpty():
-        _second_index(rows, nodes.join(left, "id"), repeated, groups, sets, percent)
+        _second_index(sets.join(left, "id", "left_semi"), groups, sets, percent)
+    forget(sets, left)
 
     comps = groups.label(nodes).groupBy("comp").agg(F.min("least").alias("component_id"))
     labels = groups.label(nodes.select("id", "a", "b", "n")).join(comps, "comp").select("a", "b", "n", "component_id")
@@ -355,19 +398,19 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, text: str = "text", doc_i
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _second_index(rows: DataFrame, nodes: DataFrame, repeated: bool, groups: _Groups, sets: DataFrame, percent: int) -> None:
-    """Compare the nodes that lacked keys to spare among themselves, over all their segments."""
-    keys = stored(_keys(_texts_of(rows, nodes, repeated), True), "all-keys")
-    shown = keys.groupBy("id").agg(F.count(F.lit(1)).alias("shown"))
-    near = keys.select("key", "id").distinct()
-    many = near.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-    shared = near.join(many, "key").join(nodes.select("id", "n"), "id").join(shown, "id")
-    shared = stored(shared, "all-shared")
-    cheap, rest = _all_pairs_by_key(groups.label(shared))
-    for pairs in (cheap, rest):
-        edges = stored(_verified(pairs, sets, percent), "links")
-        if not edges.isEmpty():
-            groups.join(edges)
+def _second_index(risky: DataFrame, groups: _Groups, sets: DataFrame, percent: int) -> None:
+    """Compare the nodes that lacked keys to spare among themselves, shingle by shingle."""
+    rows = risky.select("id", "n", F.explode("shingles").alias("key"))
+    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    shared = stored(rows.join(times, "key"), "shingle-keys")
+    # a document that shares fewer shingles than a link takes is out
+    own = shared.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    enough = shared.join(own, "id").where(F.col("own") >= F.ceil(F.col("n") * 3 / 4)).drop("own")
+    rows = _open_keys(groups.label(enough))
+    forget(shared)
+    for pairs in _shingle_pairs(rows, percent):
+        groups.verify(pairs, sets, percent)
+    forget(rows)
 
 
 def jaccard_report(docs: DataFrame) -> DataFrame:

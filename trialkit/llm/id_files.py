@@ -60,7 +60,7 @@ def write_ids(
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds(spec.value, pieces)
+        tokens = TokenIds(spec.value, pieces, special=True)
         part, block = TaskContext.get().partitionId(), 0
         names: list = []
         found: list[bytes] = []

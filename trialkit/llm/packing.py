@@ -134,7 +134,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds(spec.value, pieces)
+        tokens = TokenIds(spec.value, pieces, special=True)
         packer = SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []

@@ -34,17 +34,18 @@ class TokenIds:
     ``spaces``: a space belongs to the word after it (the byte-level pattern), so pieces are cut before
     single spaces and around single line feeds, where that pattern always cuts; texts with other blanks
     are encoded as a whole. Either way the ids are those of the whole text, and a word that comes again is
-    looked up. NULL and empty texts have no ids.
+    looked up. NULL and empty texts have no ids. With ``special`` the strings of special tokens that a text
+    holds have the ids of these tokens, as a plain call of the tokenizer gives them.
     """
 
-    def __init__(self, spec: str, pieces: str):
+    def __init__(self, spec: str, pieces: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if pieces not in ("words", "spaces"):
             raise ValueError("pieces must be 'words' or 'spaces'")
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special  # or their strings in a text are ordinary text
         self.cut = self._words if pieces == "words" else self._spaces
         self.between = " | " if pieces == "words" else "\n|\n"
         self.mark = np.array(self._ids(f"a{self.between}a")[1:-1], "<u4")

@@ -167,6 +167,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
+    # labels of documents that are not here take no place in the sample
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 

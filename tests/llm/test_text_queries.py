@@ -11,12 +11,14 @@ import corpus_pipeline
 from trialkit.llm.decontaminate import contamination_report, decontaminate
 from trialkit.llm.id_files import read_ids, write_ids
 from trialkit.llm.language_id import language_report
+from trialkit.llm.licenses import license_report
 from trialkit.llm.line_dedup import dedup_lines
 from trialkit.llm.ngram_jaccard import first_of_groups, jaccard_report
 from trialkit.llm.packing import pack
 from trialkit.llm.quality_classifier import quality_scores
 from trialkit.llm.quality_rules import quality_filter, quality_report
 from trialkit.llm.queries import ORACLES, QUERIES
+from trialkit.llm.resampling import resample
 from trialkit.llm.sharding import shard_documents
 from trialkit.llm.token_counts import count_tokens
 
@@ -28,7 +30,7 @@ tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are n
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(contract.oracle_sql())
 
 
@@ -90,6 +92,8 @@ def operators(spark, docs):
     yield "op8", count_tokens(docs, WORDS)
     yield "op9", quality_scores(docs, labels)
     yield "op10", shard_documents(docs)
+    yield "op12", license_report(docs)
+    yield "op13", resample(docs, bench)
 
 
 def test_odd_rows(spark):

@@ -9,11 +9,13 @@ from trialkit.llm.common import read_table
 from trialkit.llm.decontaminate import CONTAMINATION_SQL, contamination_report
 from trialkit.llm.id_files import read_ids, write_ids
 from trialkit.llm.language_id import language_report
+from trialkit.llm.licenses import LICENSE_SQL, license_report
 from trialkit.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from trialkit.llm.ngram_jaccard import JACCARD_SQL, jaccard_report
 from trialkit.llm.packing import pack
 from trialkit.llm.quality_classifier import quality_scores
 from trialkit.llm.quality_rules import quality_report
+from trialkit.llm.resampling import RESAMPLING_SQL, resampling_report
 from trialkit.llm.sharding import shard_documents
 from trialkit.llm.token_counts import count_tokens
 from trialkit.sources.checkpoints import scratch_folder
@@ -68,6 +70,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_documents(spark, sf_dir))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling_report(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,10 +91,14 @@ QUERIES = {
         op8_token_counts,
         op9_quality_classifier,
         op10_sharding,
+        op12_license_scans,
+        op13_resampling,
     )
 }
 ORACLES = {
     "op2_ngram_jaccard": JACCARD_SQL,
     "op5_decontamination": CONTAMINATION_SQL,
     "op7_line_dedup": LINE_DEDUP_SQL,
+    "op12_license_scans": LICENSE_SQL,
+    "op13_resampling": RESAMPLING_SQL,
 }

@@ -11,6 +11,7 @@ import corpus_pipeline
 from trialkit.llm.decontaminate import contamination_report, decontaminate
 from trialkit.llm.id_files import read_ids, write_ids
 from trialkit.llm.language_id import language_report
+from trialkit.llm.lexical_search import search
 from trialkit.llm.licenses import license_report
 from trialkit.llm.line_dedup import dedup_lines
 from trialkit.llm.ngram_jaccard import first_of_groups, jaccard_report
@@ -43,9 +44,13 @@ def test_query_against_sql(spark, name):
     found = con.sql(ORACLES[name])
     df = QUERIES[name](spark, SF_DIR)
     assert sorted(df.columns) == sorted(found.columns)
-    key = df.columns.index("doc_id")
-    want = sorted(found.select(", ".join(df.columns)).fetchall(), key=lambda r: r[key])
-    assert sorted((tuple(r) for r in df.collect()), key=lambda r: r[key]) == want
+    keys = [df.columns.index(c) for c in ("doc_id", "item_id") if c in df.columns]
+
+    def by_key(row):
+        return [row[k] for k in keys]
+
+    want = sorted(found.select(", ".join(df.columns)).fetchall(), key=by_key)
+    assert sorted((tuple(r) for r in df.collect()), key=by_key) == want
 
 
 @tables
@@ -92,6 +97,7 @@ def operators(spark, docs):
     yield "op8", count_tokens(docs, WORDS)
     yield "op9", quality_scores(docs, labels)
     yield "op10", shard_documents(docs)
+    yield "op11", search(docs, bench)
     yield "op12", license_report(docs)
     yield "op13", resample(docs, bench)
 
@@ -101,6 +107,9 @@ def test_odd_rows(spark):
     docs = odd(spark)
     for name, out in operators(spark, docs):
         rows = out.collect()
+        if name == "op11":
+            assert [(r["item_id"], r["rank"], r["doc_id"]) for r in rows] == [(7, 1, 4), (7, 2, 4)]
+            continue
         if name in ("op2-first", "op6-filter"):
             assert out.columns == docs.columns, name
             continue

@@ -9,6 +9,7 @@ from trialkit.llm.common import read_table
 from trialkit.llm.decontaminate import CONTAMINATION_SQL, contamination_report
 from trialkit.llm.id_files import read_ids, write_ids
 from trialkit.llm.language_id import language_report
+from trialkit.llm.lexical_search import SEARCH_SQL, search
 from trialkit.llm.licenses import LICENSE_SQL, license_report
 from trialkit.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from trialkit.llm.ngram_jaccard import JACCARD_SQL, jaccard_report
@@ -70,6 +71,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_documents(spark, sf_dir))
 
@@ -91,6 +96,7 @@ QUERIES = {
         op8_token_counts,
         op9_quality_classifier,
         op10_sharding,
+        op11_lexical_search,
         op12_license_scans,
         op13_resampling,
     )
@@ -99,6 +105,7 @@ ORACLES = {
     "op2_ngram_jaccard": JACCARD_SQL,
     "op5_decontamination": CONTAMINATION_SQL,
     "op7_line_dedup": LINE_DEDUP_SQL,
+    "op11_lexical_search": SEARCH_SQL,
     "op12_license_scans": LICENSE_SQL,
     "op13_resampling": RESAMPLING_SQL,
 }

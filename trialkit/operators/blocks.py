@@ -17,13 +17,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trialkit.functions.columns import named
+from trialkit.operators.joins import join_on_keys, solid_keys
+from trialkit.operators.selection import select_quantiles, select_ranks
 from trialkit.sources.checkpoints import materialise
 
 #: Largest group handled as one unit; a quantile buffer of this size takes a few dozen MB.
@@ -57,60 +57,6 @@ def group_sizes(rows: DataFrame, keys: Sequence[str]) -> GroupSizes:
     return GroupSizes(total or 0, largest or 0)
 
 
-def _plain_default(dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.NumericType):
-        return F.lit(0).cast(dtype)
-    if isinstance(dtype, T.StringType):
-        return F.lit("")
-    if isinstance(dtype, T.BooleanType):
-        return F.lit(False)
-    if isinstance(dtype, T.DateType):
-        return F.date_from_unix_date(F.lit(0))
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.timestamp_seconds(F.lit(0)).cast(dtype)
-    raise TypeError(f"cannot group in order by a column of type {dtype.simpleString()}")
-
-
-def solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], list[Column]]:
-    """Replace nullable keys by a value that is never NULL and a flag.
-
-    NULL keys form a group of their own here. A NULL-safe join on the keys would do, but its hash
-    differs from that of a window on the same keys and costs another shuffle; plain equality on these
-    columns does not. Returns rows, key columns, and the columns that give back the originals.
-    """
-    columns: dict[str, Column] = {}
-    back: list[Column] = []
-    for i, k in enumerate(keys):
-        field = df.schema[k]
-        value, flag = f"__g{i}", f"__g{i}_null"
-        if field.nullable:
-            columns[value] = F.coalesce(named(k), _plain_default(field.dataType))
-            columns[flag] = named(k).isNull()
-            back.append(F.when(~named(flag), named(value)).alias(k))
-        else:
-            columns[value] = named(k)
-            back.append(named(value).alias(k))
-    return df.withColumns(columns).drop(*keys), list(columns), back
-
-
-def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL keys match each other; keys appear once, on the left.
-
-    No broadcast hint: the size of ``right`` is measured at run time and Spark picks the strategy.
-    Without keys ``right`` is the one row of a global aggregate.
-    """
-    if not keys:
-        return left.crossJoin(right)
-    renamed = right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)})
-    on = []
-    for i, k in enumerate(keys):
-        nullable = left.schema[k].nullable or right.schema[k].nullable
-        mine, other = named(k), named(f"__r_{i}")
-        on.append(mine.eqNullSafe(other) if nullable else mine == other)
-    joined = left.join(renamed, reduce(lambda a, b: a & b, on), how)
-    return joined.drop(*[f"__r_{i}" for i in range(len(keys))])
-
-
 class Blocks:
     """Rows tagged with the block they belong to."""
 
@@ -187,25 +133,6 @@ class Blocks:
         joined = join_on_keys(inside, starts.drop(*[f"__t_{n}" for n in sums]), self.unit)
         return joined.withColumns({n: named(n) + named(f"__b_{n}") for n in sums}).drop(*[f"__b_{n}" for n in sums])
 
-    def around(self, weight: Column, ranks: Callable[[Column], list[Column]]) -> DataFrame:
-        """Counted rows with running ``__le`` and total ``__n``, at least those that cover some rank.
-
-        ``ranks`` gives 0-based ranks from the group total. Only the blocks a rank falls into are ordered:
-        a group spread over thousands of blocks sorts a few of them.
-        """
-        sums = {"__le": weight}
-        if not self.split:
-            return self.running(sums, totals={"__n": "__le"})
-        starts = self._starts(sums, {"__n": "__le"})
-        first, past = F.col("__b___le"), F.col("__b___le") + F.col("__t___le")
-        hit = reduce(lambda a, b: a | b, [(first <= k) & (k < past) for k in ranks(F.col("__n"))])
-        starts = starts.where(hit)
-        within = Window.partitionBy(*self._cells()).orderBy(*[named(c) for c in self.order])
-        upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        chosen = join_on_keys(self.rows, starts, self.unit)
-        placed = chosen.withColumn("__le", F.sum(weight).over(upto) + first)
-        return placed.drop("__b___le", "__t___le")
-
     def attach(self, df: DataFrame, per_group: DataFrame) -> DataFrame:
         """Join one row per group to ``df`` (rows carrying the block column) block by block."""
         if not self.split:
@@ -261,38 +188,6 @@ def average_ranks(
     return join_on_keys(rows, ranks, [*keys, value])
 
 
-def _pick(values: Column, rank: Column) -> Column:
-    """Value of the counted row that covers 0-based ``rank``."""
-    covers = (F.col("__le") - F.col("__w") <= rank) & (rank < F.col("__le"))
-    return F.max(F.when(covers, values))
-
-
-def _quantile_ranks(n: Column, probs: Sequence[float]) -> list[tuple[Column, Column]]:
-    """0-based ranks on both sides of each type-7 quantile."""
-    lower = [F.floor((n - 1) * F.lit(float(p))) for p in probs]
-    return [(k, F.least(k + 1, n - 1)) for k in lower]
-
-
-def quantile_picks(ranked: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Type-7 quantiles from counted rows with ``__w``, running ``__le`` and group total ``__n``.
-
-    Gives keys, ``n`` and ``q`` (one element per probability). Only maxima are taken, so rows combine
-    before the shuffle.
-    """
-    picks: list[Column] = []
-    for i, (low, high) in enumerate(_quantile_ranks(F.col("__n"), probs)):
-        picks += [_pick(named(value), low).alias(f"__lo{i}"), _pick(named(value), high).alias(f"__hi{i}")]
-    best = ranked.groupBy(*[named(k) for k in keys]).agg(F.max("__n").alias("n"), *picks)
-    parts = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        # the same weights as the built-in percentile, so both agree to the last bit
-        between = (F.floor(h) + 1 - h) * lo + (h - F.floor(h)) * hi
-        parts.append(F.when((lo == hi) | (h == F.floor(h)), lo).otherwise(between))
-    return best.select(*[named(k) for k in keys], F.col("n"), F.array(*parts).alias("q"))
-
-
 def _counted(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with their count ``__w``: a value that fills a group is one row."""
     return rows.groupBy(*[named(k) for k in [*keys, value]]).agg(F.count(F.lit(1)).alias("__w"))
@@ -306,7 +201,11 @@ def group_quantiles(
     block_rows: int | None = None,
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
-    """Exact type-7 quantiles of the non-missing values of each group: keys, ``n``, ``q``."""
+    """Exact type-7 quantiles of the non-missing values of each group: keys, ``n``, ``q``.
+
+    Groups beyond ``block_rows`` are not put in order: the ranks are found by counting (see
+    :mod:`trialkit.operators.selection`).
+    """
     present = rows.select(*[named(k) for k in keys], named(value).cast("double").alias(value))
     present = present.where(named(value).isNotNull() & ~F.isnan(named(value)))
     sizes = sizes or group_sizes(present, keys)
@@ -316,9 +215,7 @@ def group_quantiles(
             F.percentile(named(value), F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
         )
     solid, inner, back = solid_keys(present, keys)
-    blocks = Blocks.of(_counted(solid, inner, value), inner, [value], block_rows, sizes)
-    ranked = blocks.around(F.col("__w"), lambda n: [k for pair in _quantile_ranks(n, probs) for k in pair])
-    return quantile_picks(ranked, inner, value, probs).select(*back, "n", "q")
+    return select_quantiles(solid, inner, value, probs).select(*back, "n", "q")
 
 
 def order_statistics(
@@ -330,8 +227,12 @@ def order_statistics(
     sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """The ``ranks``-th smallest values (1-based) of each group: keys and ``x``, one element per rank."""
-    solid, inner, back = solid_keys(rows.select(*[named(k) for k in keys], named(value)), keys)
-    blocks = Blocks.of(_counted(solid, inner, value), inner, [value], block_rows, sizes)
-    ranked = blocks.around(F.col("__w"), lambda n: [F.lit(k - 1) for k in ranks])
-    picks = F.array(*[_pick(named(value), F.lit(k - 1)) for k in ranks]).alias("x")
-    return ranked.groupBy(*[named(k) for k in inner]).agg(picks).select(*back, "x")
+    present = rows.select(*[named(k) for k in keys], named(value).cast("double").alias(value))
+    present = present.where(named(value).isNotNull() & ~F.isnan(named(value)))
+    sizes = sizes or group_sizes(present, keys)
+    if not sizes.beyond(block_rows):
+        ordered = F.sort_array(F.collect_list(named(value)))
+        small = present.groupBy(*[named(k) for k in keys]).agg(ordered.alias("x"))
+        return small.select(*[named(k) for k in keys], F.array(*[F.get("x", F.lit(k - 1)) for k in ranks]).alias("x"))
+    solid, inner, back = solid_keys(present, keys)
+    return select_ranks(solid, inner, value, lambda n: [F.lit(k - 1) for k in ranks]).select(*back, "x")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialkit.functions.columns import named, require_columns, valid_time, with_normal_cdf
-from trialkit.operators.blocks import Blocks, GroupSizes, group_sizes, join_on_keys, quantile_picks, solid_keys
+from trialkit.operators.blocks import BLOCK_ROWS, GroupSizes, group_sizes
+from trialkit.operators.joins import join_on_keys, solid_keys
+from trialkit.operators.selection import ordered_bits, select_quantiles
 from trialkit.sources.checkpoints import materialise
 
 # Trim grid 0, 0.01, …, 0.20 and the penalty per unit of trim.
@@ -18,6 +20,13 @@ DEFAULT_PENALTY = 0.02
 
 GROUP = ("condition_idx", "rank_idx")
 
+#: What belongs to a fit.
+FIT = ("trim", "mu_hat", "sigma_hat", "n_used", "q_upper")
+#: Low bits of a time left out of account where the distance is bounded, round by round.
+BOUND_SHIFTS = (48, 40, 24, 0)
+#: Bounds of cells are this much wider, as the normal distribution function has rounding errors.
+SLACK = 1e-12
+
 
 def trim_cells(
     df: DataFrame,
@@ -32,31 +41,27 @@ def trim_cells(
 
     The times of a group are ordered once. Every trim keeps a prefix of that order, so the position of a
     time in the group is also its position among the kept ones, and no trim sorts again. Groups that fit
-    a task take one shuffle in all; bigger ones are spread by (group, block of the order), and what is
-    computed per group or trim are sums and maxima that combine before the shuffle.
+    a task take one shuffle in all. Bigger ones are not put in order: their cuts are found by selection and the
+    distance by bounds over cells of times, so what is shuffled are counts and sums.
     """
     require_columns(df, [*keys, rt])
     times = df.where(valid_time(rt)).select(*[named(k) for k in keys], named(rt).cast("double").alias("__x"))
     sizes = sizes or group_sizes(times, keys)
-    if sizes.beyond(block_rows):
-        times, keys, back = solid_keys(times, keys)
-        rows = _fitted_in_blocks(times, trims, keys, block_rows, sizes)
-    else:
+    if not sizes.beyond(block_rows):
         keys, back = list(keys), [named(k) for k in keys]
-        rows = _fitted_in_windows(times, trims, keys)
-
-    rows = rows.select(*[named(k) for k in keys], "__x", "__le", "__w", F.explode("fits").alias("fit"))
-    rows = rows.select(*[named(k) for k in keys], "__x", "__le", "__w", "fit.*").where(F.col("__x") < F.col("q_upper"))
-    rows = rows.withColumn("__z", F.try_divide(F.log("__x") - F.col("mu_hat"), F.col("sigma_hat")))
-    rows = with_normal_cdf(rows, "__z", "__cdf")
-    n = F.col("n_used")
-    # equal times share one CDF value: the widest gaps sit at the first and the last of them
-    gap = F.greatest(F.col("__cdf") - (F.col("__le") - F.col("__w")) / n, F.col("__le") / n - F.col("__cdf"))
-    # the fit is the same on all rows of a cell, so it travels as a maximum
-    cells = rows.groupBy(*[named(k) for k in keys], "trim").agg(
-        F.max(F.when(F.col("sigma_hat") > 0, gap)).alias("ks_statistic"),
-        *[F.max(c).alias(c) for c in ("mu_hat", "sigma_hat", "n_used", "q_upper")],
-    )
+        cells = _cells_in_windows(times, trims, keys)
+    else:
+        times, keys, back = solid_keys(times, keys)
+        limit = BLOCK_ROWS if block_rows is None else block_rows
+        counts = times.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+        counts = materialise(counts)
+        few = counts.where(F.col("__n") <= limit).drop("__n")
+        if few.isEmpty():
+            cells = _cells_by_bounds(times, trims, keys)
+        else:
+            big = counts.where(F.col("__n") > limit).drop("__n")
+            cells = _cells_by_bounds(join_on_keys(times, big, keys), trims, keys)
+            cells = cells.unionByName(_cells_in_windows(join_on_keys(times, few, keys), trims, keys))
     return cells.select(
         *back,
         "trim",
@@ -70,6 +75,27 @@ def trim_cells(
     )
 
 
+def _cells_in_windows(times: DataFrame, trims: Sequence[float], keys: list[str]) -> DataFrame:
+    """One row per group and trim, for groups that fit a task: every row against every trim that keeps it."""
+    rows = _fitted_in_windows(times, trims, keys)
+    rows = rows.select(*[named(k) for k in keys], "__x", "__le", "__w", F.explode("fits").alias("fit"))
+    rows = rows.select(*[named(k) for k in keys], "__x", "__le", "__w", "fit.*").where(F.col("__x") < F.col("q_upper"))
+    rows = _with_cdf(rows, "__x", "__cdf")
+    n = F.col("n_used")
+    # equal times share one CDF value: the widest gaps sit at the first and the last of them
+    gap = F.greatest(F.col("__cdf") - (F.col("__le") - F.col("__w")) / n, F.col("__le") / n - F.col("__cdf"))
+    # the fit is the same on all rows of a cell, so it travels as a maximum
+    return rows.groupBy(*[named(k) for k in keys], "trim").agg(
+        F.max(F.when(F.col("sigma_hat") > 0, gap)).alias("ks_statistic"),
+        *[F.max(c).alias(c) for c in FIT[1:]],
+    )
+
+
+def _with_cdf(rows: DataFrame, x: str, out: str) -> DataFrame:
+    rows = rows.withColumn("__z", F.try_divide(F.log(x) - F.col("mu_hat"), F.col("sigma_hat")))
+    return with_normal_cdf(rows, "__z", out).drop("__z")
+
+
 def _probabilities(trims: Sequence[float]) -> list[float]:
     # 100·(1 − trim) is whole for the usual grid; dividing last keeps the probability exact
     return [round(100 - 100 * t, 9) / 100 for t in trims]
@@ -139,58 +165,111 @@ def _fitted_in_windows(times: DataFrame, trims: Sequence[float], keys: list[str]
     )
 
 
-def _fitted_in_blocks(
-    times: DataFrame, trims: Sequence[float], keys: list[str], block_rows: int | None, sizes: GroupSizes
-) -> DataFrame:
-    """The same for groups of any size: rows stay in their blocks, group results come to the blocks."""
-    # equal times meet as one counted row, so a tie cannot fill a block
-    counted = times.groupBy(*[named(k) for k in [*keys, "__x"]]).agg(F.count(F.lit(1)).alias("__w"))
-    blocks = Blocks.of(counted, keys, ["__x"], block_rows, sizes)
-    # read three times below, and costly to order again each time
-    ordered = materialise(blocks.running({"__le": F.col("__w")}, totals={"__n": "__le"}))
-    cuts = quantile_picks(ordered, keys, "__x", _probabilities(trims))
-    return blocks.attach(ordered, _fits(ordered, blocks, cuts, trims, keys))
-
-
-def _fits(
-    ordered: DataFrame, blocks: Blocks, cuts: DataFrame, trims: Sequence[float], keys: list[str]
-) -> DataFrame:
-    """Per group, the array of usable fits: trim, cut, rows kept, mean and sd of log time.
+def _cells_by_bounds(times: DataFrame, trims: Sequence[float], keys: list[str]) -> DataFrame:
+    """One row per group and trim, for groups of any size: branch and bound over cells of times.
 
-    Each row is added once, to the band between two cuts it lies in; the sums of a trim are those of the
-    bands below its cut. Log times are taken relative to the log of the group's lowest cut, which keeps
-    the squares small and makes the sums safe to subtract.
+    Cuts are found by selection. Times are counted by group, band between cuts and leading bits, which combines
+    before the shuffle; from the sums of these cells follow the fits, and from the counts below a cell and the
+    distribution function at its ends how wide the gap in it can be at most, and is at least. Cells that cannot hold
+    the widest gap are done. The others are counted again by more bits, until none is left: a cell of one time has
+    its gap. What is exploded by trims are cells, never rows.
     """
     group = [named(k) for k in keys]
-    placed = cuts.select(*group, "q", _grid(trims, "q").alias("grid"), F.log(F.array_min("q")).alias("centre"))
-    band = sum(
-        (F.when(F.col("__x") < F.get("q", F.lit(i)), 1).otherwise(0) for i in range(len(trims))), F.lit(0)
-    )
-    rows = blocks.attach(ordered, placed.select(*group, "q", "centre")).select(
-        *group, "__x", "__w", "centre", band.alias("band"), (F.log("__x") - F.col("centre")).alias("y")
-    )
-    w, y = F.col("__w"), F.col("y")
-    bands = rows.where("band > 0").groupBy(*group, "band").agg(
-        F.sum(w).alias("s0"),
-        F.sum(w * y).alias("s1"),
-        F.sum(w * y * y).alias("s2"),
+    cuts = select_quantiles(times, keys, "__x", _probabilities(trims))
+    cuts = materialise(cuts.select(*group, "q", F.log(F.array_min("q")).alias("centre"), F.array_max("q").alias("top")))
+    # cuts above a time; as an array function, since code for each of them would grow beyond what the JVM compiles
+    band = F.size(F.filter("q", lambda cut: F.col("__x") < cut))
+    base = times.withColumn("__bits", ordered_bits("__x"))
+    rows = join_on_keys(base, cuts, keys).where(F.col("__x") < F.col("top"))
+    rows = rows.select(*group, "__x", "__bits", band.alias("band"), (F.log("__x") - F.col("centre")).alias("y"))
+    y = F.col("y")
+    first = rows.groupBy(*group, "band", F.shiftright("__bits", BOUND_SHIFTS[0]).alias("__cell")).agg(
+        F.count(F.lit(1)).alias("s0"),
+        F.sum(y).alias("s1"),
+        F.sum(y * y).alias("s2"),
         F.min("__x").alias("low"),
         F.max("__x").alias("high"),
     )
+    first = materialise(first)
+    upto = Window.partitionBy(*group).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    cells = first.withColumn("before", F.coalesce(F.sum("s0").over(upto), F.lit(0)))
+    cells = join_on_keys(cells, _fits(first, cuts, trims, keys), keys)
+    state = materialise(_bounded(cells, keys, None))
+    for done, shift in zip(BOUND_SHIFTS, BOUND_SHIFTS[1:]):
+        left = state.select(*group, F.struct(*FIT).alias("fit"), F.explode("open").alias("cell")).select(*group, "fit", "cell.*")
+        if left.isEmpty():
+            break
+        within = [*keys, "band", "__cell"]
+        asked = left.groupBy(*[named(k) for k in within]).agg(
+            F.max("before").alias("start"), F.collect_list("fit").alias("fits")
+        )
+        # rows meet the open cells first; only those that stay are held against the cuts
+        ends = [*keys, "__cell"]
+        held = join_on_keys(asked.select(*[named(k) for k in ends]).distinct(), cuts.select(*group, "q"), keys)
+        rows = join_on_keys(base.withColumn("__cell", F.shiftright("__bits", done)), held, ends)
+        rows = rows.withColumn("band", band)
+        parts = rows.groupBy(*[named(k) for k in within], F.shiftright("__bits", shift).alias("part")).agg(
+            F.count(F.lit(1)).alias("s0"), F.min("__x").alias("low"), F.max("__x").alias("high")
+        )
+        upto = Window.partitionBy(*[named(k) for k in within]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("inside", F.coalesce(F.sum("s0").over(upto), F.lit(0)))
+        parts = join_on_keys(parts, asked, within)
+        cells = parts.withColumn("before", F.col("start") + F.col("inside"))
+        cells = cells.withColumn("__cell", F.col("part"))
+        state = materialise(_bounded(cells, keys, state))
+    return state.select(*group, F.col("best").alias("ks_statistic"), *FIT)
+
+
+def _bounded(cells: DataFrame, keys: list[str], state: DataFrame | None) -> DataFrame:
+    """Per group and trim: the fit, the widest gap known, ``best``, and the ``open`` cells that may hold a wider one.
+
+    ``cells`` have a band, their ends, the rows in and before them, and the fits to hold them against.
+    """
+    group = [named(k) for k in keys]
+    rows = cells.select(*group, "band", "__cell", "low", "high", "s0", "before", F.explode("fits").alias("fit"))
+    rows = rows.select("*", "fit.*").drop("fit").where(F.col("high") < F.col("q_upper"))
+    rows = _with_cdf(_with_cdf(rows, "low", "__f_low"), "high", "__f_high")
+    n, below, upto = F.col("n_used"), F.col("before"), F.col("before") + F.col("s0")
+    sure = F.greatest(F.col("__f_low") - below / n, upto / n - F.col("__f_high"))
+    most = F.greatest(F.col("__f_high") - below / n, upto / n - F.col("__f_low")) + SLACK
+    fits = F.col("sigma_hat") > 0
+    rows = rows.withColumns({"sure": F.when(fits, sure), "most": F.when(fits & (F.col("low") < F.col("high")), most)})
+    cell = F.struct("band", "__cell", "before", "most")
+    found = rows.groupBy(*group, "trim").agg(
+        *[F.max(c).alias(c) for c in FIT[1:]],
+        F.max("sure").alias("best"),
+        # a few dozen cells for each doubling of the time
+        F.collect_list(F.when(F.col("most").isNotNull(), cell)).alias("open"),
+    )
+    if state is not None:
+        known = state.select(*group, "trim", *FIT[1:], "best")
+        news = found.select(*group, "trim", F.col("best").alias("more"), F.col("open"))
+        found = join_on_keys(known, news, [*keys, "trim"], "left")
+        none = F.array().cast(news.schema["open"].dataType)
+        found = found.withColumns({"best": F.greatest("best", "more"), "open": F.coalesce("open", none)}).drop("more")
+    # only cells that can beat the best of all cells stay
+    return found.withColumn("open", F.filter("open", lambda c: c["most"] > F.col("best")))
+
+
+def _fits(bands: DataFrame, cuts: DataFrame, trims: Sequence[float], keys: list[str]) -> DataFrame:
+    """Per group, the array of usable fits: trim, cut, rows kept, mean and sd of log time.
+
+    ``bands`` holds sums of rows between two cuts, in any number of pieces; the sums of a trim are those below its
+    cut. Log times are taken relative to the log of the group's lowest cut, which keeps the squares small and makes
+    the sums safe to subtract.
+    """
+    group = [named(k) for k in keys]
+    sums = [F.sum(c).alias(c) for c in ("s0", "s1", "s2")]
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
+    bands = bands.groupBy(*group, "band").agg(*sums, *ends)
+    placed = cuts.select(*group, "centre", _grid(trims, "q").alias("grid"))
     cells = (
-        join_on_keys(bands, placed.drop("q"), keys)
+        join_on_keys(bands, placed, keys)
         .select(*group, "centre", "s0", "s1", "s2", "low", "high", F.explode("grid").alias("cell"))
         .where(F.col("high") < F.col("cell.q_upper"))
         .groupBy(*group, F.col("cell.trim").alias("trim"))
-        .agg(
-            F.max("cell.q_upper").alias("q_upper"),
-            F.max("centre").alias("centre"),
-            F.sum("s0").alias("n_used"),
-            F.sum("s1").alias("s1"),
-            F.sum("s2").alias("s2"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-        )
+        .agg(F.max("cell.q_upper").alias("q_upper"), F.max("centre").alias("centre"), *sums, *ends)
+        .withColumnRenamed("s0", "n_used")
         .where("n_used >= 2")
     )
     moments = _mean_and_sd(*[F.col(c) for c in ("centre", "n_used", "s1", "s2", "low", "high")])

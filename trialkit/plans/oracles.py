@@ -280,6 +280,7 @@ FROM seconds JOIN best USING (condition_idx, rank_idx) WHERE n_used >= 60 AND rt
         "trim_grid": f"{cells}\nSELECT {columns} FROM scored",
         "trim_thresholds": best,
         "trim_thresholds_in_blocks": best,
+        "trim_thresholds_bounded": best.replace("l_suppkey AS condition_idx", "l_linenumber AS condition_idx"),
         "trim_apply": applied,
         "trim_stream": applied,
     }
@@ -298,6 +299,11 @@ FROM lineitem""",
         "quantiles_in_blocks": f"""WITH {SECONDS}
 SELECT item_idx, count(*) AS n, {", ".join(r(f"quantile_cont(rt, {p})", f"q{i}") for i, p in enumerate((0.1, 0.5, 0.9)))}
 FROM seconds GROUP BY 1""",
+        "quantiles_by_selection": f"""WITH a AS (SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag,
+    round(l_extendedprice - 50000, 0) * l_discount AS amount FROM lineitem)
+SELECT flag, count(*) AS n, {", ".join(
+    r(f"quantile_cont(amount, {p})", f"q{i}") for i, p in enumerate((0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0)))}
+FROM a GROUP BY 1""",
         "row_numbers_in_blocks": f"""WITH {STEPS}
 SELECT event_type, event_id, cents, row_number() OVER (PARTITION BY event_type ORDER BY cents, event_id) AS place
 FROM steps""",

@@ -429,6 +429,11 @@ def trim_best_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return six(trim_thresholds(seconds(spark, sf), block_rows=50))
 
 
+def trim_best_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """A few big groups, one per line number, whose distances are found by bounds over cells of times."""
+    return six(trim_thresholds(seconds(spark, sf, "l_linenumber"), block_rows=200))
+
+
 def trim_applied(spark: SparkSession, sf: str) -> DataFrame:
     rows = seconds(spark, sf)
     kept = apply_trim(rows, trim_thresholds(rows), min_n_used=60)
@@ -458,6 +463,17 @@ def quantiles_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return six(parts.select("item_idx", "n", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(3)]))
 
 
+def quantiles_by_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts of both signs, a NULL group, and repeated values; every rank is found by counting."""
+    lines = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"),
+        (F.round(F.col("l_extendedprice") - 50_000, 0) * F.col("l_discount")).alias("amount"),
+    )
+    probs = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
+    parts = group_quantiles(lines, ["flag"], "amount", probs, block_rows=100)
+    return six(parts.select("flag", "n", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))]))
+
+
 def rows_numbered_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     events = event_steps(spark, sf).select("event_type", "event_id", "cents")
     return six(row_numbers(events, ["event_type"], ["cents", "event_id"], "place", block_rows=200))
@@ -703,10 +719,12 @@ QUERIES: dict[str, Query] = {
     "trim_grid": trim_grid,
     "trim_thresholds": trim_best,
     "trim_thresholds_in_blocks": trim_best_in_blocks,
+    "trim_thresholds_bounded": trim_best_bounded,
     "trim_apply": trim_applied,
     "trim_stream": trim_streamed,
     "average_ranks": ranks_averaged,
     "quantiles_in_blocks": quantiles_in_blocks,
+    "quantiles_by_selection": quantiles_by_selection,
     "row_numbers_in_blocks": rows_numbered_in_blocks,
     "first_crossing": crossings,
     "first_crossing_in_blocks": crossings_in_blocks,

@@ -52,6 +52,79 @@ def test_folder_checks_come_in_order(spark, rows):
         store.append(rows.drop("chunk_idx"))
 
 
+def stops_at(monkeypatch, method):
+    def stop(*_, **__):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(ResultSet if hasattr(ResultSet, method) else Folder, method, stop)
+
+
+@pytest.mark.parametrize("where", ["_record", "move", "before"])
+def test_a_stopped_commit_is_done_again(spark, rows, monkeypatch, where):
+    store = ResultSet.create(spark, scratch_folder(spark, "rs"))
+    assert store.commit(rows.where("chunk_idx = 1")) == [1]
+    with monkeypatch.context() as patch:
+        if where == "before":
+            store.append(rows.where("chunk_idx in (2, 3) and rt < 20"))  # half-published chunks
+        else:
+            stops_at(patch, where)
+            with pytest.raises(RuntimeError, match="stopped"):
+                store.commit(rows.where("chunk_idx <= 3"))
+    assert store.committed() == {1: 6}
+    with pytest.raises(ValueError, match=r"chunks \[2, 3\] are not as committed"):
+        store.finish()
+    again = ResultSet.resume(spark, store.path, {"n": 1})
+    assert sorted({r.chunk_idx for r in again.missing(rows).collect()}) == [2, 3, 4]
+    assert again.commit(rows) == [2, 3, 4]
+    assert again.commit(rows) == []
+    assert again.finish().committed() == {1: 6, 2: 6, 3: 6, 4: 2}
+    done = ResultSet.load(spark, store.path)
+    assert done.settings == {"n": 1}
+    assert sorted(map(tuple, done.dataset().select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(FileExistsError, match="finished"):
+        ResultSet.resume(spark, store.path)
+    assert not Folder(spark, store.path).exists("staging/")
+
+
+def test_parameters_prune_chunks(spark, rows):
+    store = ResultSet.create(spark, scratch_folder(spark, "rs"))
+    store.commit(rows)
+    store.write_conditions(
+        rows.select("condition_idx", (F.col("condition_idx") / 2).alias("p"), F.when(F.col("condition_idx") != 9, F.lit("x")).alias("name"), "chunk_idx")
+        .withColumn("q", F.when(F.col("condition_idx") == 8, F.lit(float("nan"))).when(F.col("condition_idx") != 9, F.col("p")))
+    )
+    store.finish()
+
+    def found(bounds):
+        return sorted(r.condition_idx for r in store.where_parameters(bounds).collect())
+
+    assert found({}) == list(range(1, 21))
+    assert found({"p": (3.5, 5.0)}) == [7, 8, 9, 10]
+    assert found({"q": (3.5, None), "condition_idx": (None, 13)}) == [7, 10, 11, 12, 13]
+    assert found({"p": (100, None)}) == []
+    with pytest.raises(ValueError, match="missing columns: nope"):
+        store.where_parameters({"nope": (1, 2)})
+    plan = plan_of(store.where_parameters({"p": (3.5, 5.0)}))
+    assert plan.count("dynamicpruning") >= 2
+    # chunks beyond the bounds are not read: they may hold anything
+    folder = Folder(spark, store.path)
+    for table in (DATASET, CONDITIONS):
+        for chunk in (1, 3, 4):
+            for name in folder.names(f"{table}/chunk_idx={chunk}"):
+                folder.write_text(f"{table}/chunk_idx={chunk}/{name}", "no parquet")
+    store = ResultSet.load(spark, store.path)
+    reader = spark.read.schema(rows.schema)
+    assert reader.parquet(folder.child(DATASET)).where("chunk_idx = 2").count() == 6
+    with pytest.raises(Exception, match="(?i)parquet"):
+        reader.parquet(folder.child(DATASET)).where("chunk_idx <= 2 and rt > 0").collect()
+    store_dataset = reader.parquet(folder.child(DATASET))
+    conditions = spark.read.schema("condition_idx long, p double, name string, q double, chunk_idx int").parquet(folder.child(CONDITIONS))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ResultSet, "dataset", lambda self: store_dataset)
+        patch.setattr(ResultSet, "conditions", lambda self: conditions)
+        assert found({"p": (3.5, 5.0)}) == [7, 8, 9, 10]
+
+
 def test_observed_data(spark):
     df = spark.createDataFrame([("7", 1, 2, 0.9), ("7", 1, 1, 0.4), ("7", 2, 3, 0.1)], "s string, t int, i int, sec double")
     got = as_results(df, condition="s", trial="t", item="i", rt="sec", model="obs", params={"age": F.lit(30)})

@@ -211,10 +211,15 @@ FROM lineitem""",
 def _sources() -> dict[str, str]:
     nested = """slots AS (SELECT vec_id, label, i, j, CAST(embedding[CAST(i * 8 + j AS BIGINT)] AS DOUBLE) AS rt
   FROM embeddings CROSS JOIN range(0, 8) AS a(i) CROSS JOIN range(1, 9) AS b(j))"""
-    return {
-        "results_round_trip": f"""WITH {SECONDS}
+    whole = f"""WITH {SECONDS}
 SELECT condition_idx + 1 AS condition_idx, trial_idx, item_idx, {r("rt", "rt")},
-  CAST(ceil((condition_idx + 1) / 50.0) AS BIGINT) AS chunk_idx FROM seconds""",
+  CAST(ceil((condition_idx + 1) / 50.0) AS BIGINT) AS chunk_idx FROM seconds"""
+    return {
+        "results_round_trip": whole,
+        "results_resumed": whole,
+        "results_by_parameters": f"""{whole}
+WHERE condition_idx + 1 BETWEEN 5 AND 60
+  AND condition_idx IN (SELECT s_suppkey FROM supplier WHERE s_acctbal BETWEEN 0 AND 5000)""",
         "results_conditions": f"""SELECT s_suppkey + 1 AS condition_idx, {r("s_acctbal", "balance")},
   CAST(ceil((s_suppkey + 1) / 50.0) AS BIGINT) AS chunk_idx FROM supplier""",
         "partition_read": f"""WITH {SECONDS}

@@ -357,9 +357,7 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf: str) -> ResultSet:
     store = ResultSet.create(spark, scratch_folder(spark, "results"), {"conditions_per_chunk": 50})
-    rows = seconds(spark, sf).withColumn("condition_idx", F.col("condition_idx") + 1)
-    rows = rows.withColumn("chunk_idx", chunk_column(50))
-    store.append(rows)
+    store.append(_stored_rows(spark, sf))
     suppliers = table(spark, sf, "supplier").select(
         (F.col("s_suppkey") + 1).alias("condition_idx"), F.col("s_acctbal").alias("balance")
     )
@@ -368,6 +366,30 @@ def _stored(spark: SparkSession, sf: str) -> ResultSet:
     return ResultSet.load(spark, store.path)
 
 
+def _stored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = seconds(spark, sf).withColumn("condition_idx", F.col("condition_idx") + 1)
+    return rows.withColumn("chunk_idx", chunk_column(50))
+
+
+def results_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that stopped twice: after recording its first chunk, and after leaving rows of the second one."""
+    store = ResultSet.create(spark, scratch_folder(spark, "results"))
+    rows = _stored_rows(spark, sf)
+    store.commit(rows.where("chunk_idx = 1"))
+    store.append(rows.where("chunk_idx = 2"))
+    again = ResultSet.resume(spark, store.path)
+    again.commit(rows)
+    again.commit(rows)
+    done = ResultSet.load(spark, again.finish().path)
+    return six(done.dataset().select("condition_idx", "trial_idx", "item_idx", "rt", "chunk_idx"))
+
+
+def results_by_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    store = _stored(spark, sf)
+    rows = store.where_parameters({"balance": (0.0, 5000.0), "condition_idx": (5, 60)})
+    return six(rows.select("condition_idx", "trial_idx", "item_idx", "rt", "chunk_idx"))
+
+
 def results_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     store = _stored(spark, sf)
     return six(store.dataset().select("condition_idx", "trial_idx", "item_idx", "rt", "chunk_idx"))
@@ -710,6 +732,8 @@ QUERIES: dict[str, Query] = {
     "scalar_functions": scalar_functions,
     "results_round_trip": results_round_trip,
     "results_conditions": results_conditions,
+    "results_resumed": results_resumed,
+    "results_by_parameters": results_by_parameters,
     "results_chunks": results_chunks,
     "partition_read": partition_read,
     "observed_ranks": observed_ranks,

@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialkit.functions.columns import as_column, named, require_columns
+from trialkit.functions.columns import as_column, is_missing, named, require_columns
 from trialkit.operators.blocks import GroupSizes, row_numbers
 
 MANIFEST = "manifest.json"
 DATASET = "dataset"
 CONDITIONS = "conditions"
 CHUNK = "chunk_idx"
+CONDITION = "condition_idx"
+#: Numbered files, each with the rows of the chunks that one commit published.
+COMMITS = "commits"
+STAGING = "staging"
+#: Per chunk of conditions, the least and the greatest value of each parameter.
+RANGES = "ranges"
 
 
 def chunk_column(conditions_per_chunk: int, condition: Column | str = "condition_idx") -> Column:
@@ -87,6 +95,18 @@ class Folder:
     def is_empty(self) -> bool:
         return len(self._fs.listStatus(self._path)) == 0
 
+    def names(self, name: str) -> list[str]:
+        if not self.exists(name):
+            return []
+        return sorted(status.getPath().getName() for status in self._fs.listStatus(self._at(name)))
+
+    def move(self, name: str, to: str) -> bool:
+        """False if ``to`` is taken."""
+        return not self.exists(to) and self._fs.rename(self._at(name), self._at(to))
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
     def make(self, name: str) -> None:
         self._fs.mkdirs(self._at(name))
 
@@ -109,7 +129,9 @@ class Folder:
 class ResultSet:
     """A folder with the result table, the condition parameters and a manifest.
 
-    The manifest is written last: a folder without one is an unfinished run.
+    The manifest is written last: a folder without one is an unfinished run, which :meth:`resume` opens again.
+    Whole chunks go in by :meth:`commit`, which may be called again after any failure: what was published is
+    recorded, and what was not recorded is replaced. :meth:`append` adds rows as they are, each time it is called.
     """
 
     spark: SparkSession
@@ -139,6 +161,67 @@ class ResultSet:
             raise ValueError(f"not a result manifest: {folder.child(MANIFEST)}")
         return cls(spark, path, manifest.get("settings", {}))
 
+    @classmethod
+    def resume(cls, spark: SparkSession, path: str, settings: Mapping[str, object] | None = None) -> ResultSet:
+        """An unfinished run, to go on with its missing chunks."""
+        folder = Folder(spark, path)
+        if not folder.exists(DATASET):
+            raise FileNotFoundError(f"no result table in {path}: nothing to resume")
+        if folder.exists(MANIFEST):
+            raise FileExistsError(f"the run in {path} is finished")
+        return cls(spark, path, dict(settings or {}))
+
+    def committed(self) -> dict[int, int]:
+        """Rows of each chunk that is published and recorded."""
+        folder = Folder(self.spark, self.path)
+        out: dict[int, int] = {}
+        for name in folder.names(COMMITS):
+            if name.endswith(".json"):
+                out.update({int(k): n for k, n in json.loads(folder.read_text(f"{COMMITS}/{name}")).items()})
+        return out
+
+    def missing(self, rows: DataFrame) -> DataFrame:
+        """The rows whose chunks are not committed yet."""
+        require_columns(rows, [CHUNK])
+        done = self.committed()
+        if not done:
+            return rows
+        known = self.spark.createDataFrame([(k,) for k in done], f"{CHUNK} int")
+        return rows.join(known, CHUNK, "left_anti").select(*[named(c) for c in rows.columns])
+
+    def commit(self, rows: DataFrame) -> list[int]:
+        """Publish whole chunks, each once: the chunks of ``rows`` that are not committed yet. Gives their numbers.
+
+        The rows are computed once, into a staging folder. From there they replace what a stopped run may have
+        left of these chunks; then the chunks are recorded with their counts, in one file that appears as a whole.
+        Stopped at any point, the same call again gives every row once. One writer at a time.
+        """
+        folder = Folder(self.spark, self.path)
+        folder.remove(STAGING)  # of a run that was stopped
+        staged = f"{STAGING}/{uuid.uuid4().hex}"
+        self._write(self.missing(rows), staged)
+        if not any(name.startswith(f"{CHUNK}=") for name in folder.names(staged)):
+            folder.remove(STAGING)
+            return []
+        fresh = self.spark.read.schema(rows.schema).parquet(folder.child(staged))
+        counts = {r[CHUNK]: r["n"] for r in fresh.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if None in counts:
+            raise ValueError(f"rows without {CHUNK}")
+        out = fresh.hint("rebalance", named(CHUNK)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(CHUNK).parquet(folder.child(DATASET))
+        self._record(folder, counts)
+        folder.remove(STAGING)
+        return sorted(counts)
+
+    @staticmethod
+    def _record(folder: Folder, counts: Mapping[int, int]) -> None:
+        # the name ends in .json only once the file is complete
+        draft = f"{COMMITS}/{uuid.uuid4().hex}.draft"
+        folder.write_text(draft, json.dumps({str(k): n for k, n in sorted(counts.items())}))
+        taken = [n for n in folder.names(COMMITS) if n.endswith(".json")]
+        if not folder.move(draft, f"{COMMITS}/{len(taken):08d}.json"):
+            raise FileExistsError(f"another writer commits to {folder.path}")
+
     def _write(self, df: DataFrame, name: str) -> None:
         require_columns(df, [CHUNK])
         # Rebalancing gathers a chunk into few files and splits a chunk that is too big for one task.
@@ -152,10 +235,69 @@ class ResultSet:
         self._write(conditions, CONDITIONS)
 
     def finish(self) -> ResultSet:
+        """Write the ranges of the parameters and, last, the manifest.
+
+        Where chunks were committed, the table must hold just these, with their counts.
+        """
+        folder = Folder(self.spark, self.path)
+        done = self.committed()
+        if done:
+            rows = self.dataset().groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n")).collect()
+            found = {r[CHUNK]: r["n"] for r in rows}
+            if found != done:
+                wrong = sorted(k for k in {*found, *done} if found.get(k) != done.get(k))
+                raise ValueError(f"chunks {wrong[:10]} are not as committed")
+        if any(name.startswith(f"{CHUNK}=") for name in folder.names(CONDITIONS)):
+            self._write_ranges(folder)
         manifest = {"kind": "result set", "settings": dict(self.settings)}
-        Folder(self.spark, self.path).write_text(MANIFEST, json.dumps(manifest, sort_keys=True))
+        if done:
+            manifest["chunks"] = {str(k): n for k, n in sorted(done.items())}
+        folder.write_text(MANIFEST, json.dumps(manifest, sort_keys=True))
         return self
 
+    def _write_ranges(self, folder: Folder) -> None:
+        conditions = self.conditions()
+        kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
+        ends = []
+        for name, kind in conditions.dtypes:
+            if name != CHUNK and (kind in kinds or kind.startswith("decimal")):
+                # a missing value lies in no bounds, so it widens no range
+                value = F.when(~is_missing(named(name)), named(name))
+                ends.append(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias(name))
+        if ends:
+            # one row per chunk
+            conditions.groupBy(CHUNK).agg(*ends).coalesce(1).write.mode("overwrite").parquet(folder.child(RANGES))
+
+    def where_parameters(self, bounds: Mapping[str, tuple[object, object]]) -> DataFrame:
+        """Rows of the conditions whose parameters lie within ``bounds``, ends included; None leaves an end open.
+
+        The ranges tell which chunks can hold such conditions; only the folders of these are read, from the
+        conditions and from the results. A missing parameter lies in no bounds.
+        """
+        folder = Folder(self.spark, self.path)
+        conditions = self.conditions()
+        require_columns(conditions, [CONDITION, *bounds])
+        wanted, possible = [], []
+        ranged = self.spark.read.parquet(folder.child(RANGES)) if folder.exists(RANGES) else None
+        for name, (low, high) in bounds.items():
+            wanted.append(~is_missing(named(name).cast("double")))
+            if ranged is not None and name in ranged.columns:
+                possible.append(named(name)["low"].isNotNull())
+            if low is not None:
+                wanted.append(named(name) >= F.lit(low))
+                possible.append(named(name)["high"] >= F.lit(low))
+            if high is not None:
+                wanted.append(named(name) <= F.lit(high))
+                possible.append(named(name)["low"] <= F.lit(high))
+        picked, rows = conditions, self.dataset()
+        if ranged is not None and possible and set(bounds) <= set(ranged.columns):
+            chunks = ranged.where(reduce(lambda a, b: a & b, possible)).select(CHUNK)
+            picked, rows = (df.join(chunks, CHUNK, "left_semi") for df in (picked, rows))
+        if wanted:
+            picked = picked.where(reduce(lambda a, b: a & b, wanted))
+        out = rows.join(picked.select(CHUNK, CONDITION), [CHUNK, CONDITION], "left_semi")
+        return out.select(*[named(c) for c in self.dataset().columns])
+
     def dataset(self) -> DataFrame:
         return self.spark.read.parquet(Folder(self.spark, self.path).child(DATASET))
 

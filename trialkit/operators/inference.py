@@ -23,11 +23,14 @@ from trialkit.operators.blocks import (
     order_statistics,
     row_numbers,
 )
+from trialkit.operators.neighbours import candidate_pairs, cut_cells, distance_cell
 from trialkit.operators.nest import to_long
 from trialkit.operators.summarise import SummaryTable
 from trialkit.sources.checkpoints import materialise
 from trialkit.sources.results import ResultSet
 
+#: Held-out conditions from which an index of the others pays.
+PRUNED_TARGETS = 50
 # Fixed value: scales a median absolute deviation to the standard deviation of a normal variable.
 MAD_SCALE = 1.4826
 
@@ -179,26 +182,14 @@ def distance(target: Mapping[str, float], scale: Mapping[str, float]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, terms))
 
 
-#: Cells per doubling of the distance in which the cut is looked for.
-CUT_CELLS = 64
-
-
 def _nearest(measured: DataFrame, keys: Sequence[str], distance_column: str, wanted: int) -> DataFrame:
     """Rows that can be among the ``wanted`` nearest of their group: all up to the cell with the last one.
 
     Distances are counted in cells of a log scale, which combines before the shuffle; only what is below
     the cut is ever put in order. Ties are in one cell, so none is lost.
     """
-    d = named(distance_column)
-    cell = F.when(d > 0, F.floor(F.log2(d) * CUT_CELLS)).otherwise(F.lit(-(2**31))).cast("bigint")
-    group = [named(k) for k in keys]
-    placed = measured.withColumn("__cell", cell)
-    counts = placed.groupBy(*group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    # a few thousand cells per group at most, whatever the number of rows
-    upto = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("__n").over(upto), F.lit(0))
-    cuts = counts.withColumn("__before", before).where(F.col("__before") < wanted)
-    cuts = cuts.groupBy(*group).agg(F.max("__cell").alias("__cut"))
+    cuts = cut_cells(measured, keys, distance_column, wanted)
+    placed = measured.withColumn("__cell", distance_cell(named(distance_column)))
     return join_on_keys(placed, cuts, keys).where("__cell <= __cut").drop("__cell", "__cut")
 
 
@@ -433,13 +424,16 @@ def abc_cross_validate(
     seed: str = "cv",
     block_rows: int | None = None,
     method: str = "rejection",
+    pruned: bool | None = None,
 ) -> DataFrame:
     """Re-estimate ``nval`` held-out conditions from the others.
 
     Gives tol, holdout, parameter, true, estimate; the estimate is the median of the accepted values, with
     ``method="loclinear"`` of the values adjusted by a weighted linear regression on the statistics.
     Held-out conditions are those with the lowest keyed draw, so a seed always picks the same ones. All
-    tolerances read one ranking, which is made of the rows below each held-out condition's cut.
+    tolerances read one ranking, which is made of the rows below each held-out condition's cut. With ``pruned``
+    held-out conditions are compared with what an index leaves of the others, instead of with all of them; the
+    result is the same. By default they are from ``PRUNED_TARGETS`` on, when the index pays.
     """
     if method not in ("rejection", "loclinear"):
         raise ValueError("method must be 'rejection' or 'loclinear'")
@@ -459,12 +453,17 @@ def abc_cross_validate(
     away = [((named(s) - F.col(f"__t{i}")) / F.col(f"__c{i}")).alias(f"__x{i}") for i, s in enumerate(data.stats)]
     # the table of held-out conditions has nval rows, which the caller sets
     goals = targets.select("holdout", *[f"__{kind}{i}" for kind in "tc" for i in k])
-    pairs = complete.crossJoin(F.broadcast(goals)).where(named(data.key) != F.col("holdout"))
+    accept = {float(t): min(math.ceil((total - 1) * t), usable - 1) for t in tols}
+    most = max(accept.values())
+    if nval >= PRUNED_TARGETS if pruned is None else pruned:
+        wanted = [(h[data.key], {s: h[s] for s in data.stats}, c) for h, c in zip(held, scale, strict=True)]
+        length = F.sqrt(reduce(lambda a, b: a + b, [x * x for x in away]))
+        pairs = candidate_pairs(complete, data.key, data.stats, wanted, goals, length, most)
+    else:
+        pairs = complete.crossJoin(F.broadcast(goals)).where(named(data.key) != F.col("holdout"))
     measured = pairs.select(
         "holdout", named(data.key).alias("__id"), *doubles(complete, data.params), *away
     ).withColumn("__distance", F.sqrt(reduce(lambda a, b: a + b, [F.col(f"__x{i}") * F.col(f"__x{i}") for i in k])))
-    accept = {float(t): min(math.ceil((total - 1) * t), usable - 1) for t in tols}
-    most = max(accept.values())
     near = materialise(_nearest(measured, ["holdout"], "__distance", most))
     placed = row_numbers(near, ["holdout"], ["__distance", "__id"], "__place", block_rows)
     levels = F.array(*[F.struct(F.lit(t).alias("tol"), F.lit(n).alias("k")) for t, n in accept.items()])

@@ -438,18 +438,18 @@ SELECT {r("tol", "tol")}, holdout, parameter, {r("CASE parameter WHEN 'size' THE
 FROM adj JOIN a ON a.condition_idx = holdout"""
 
 
-def _cv() -> str:
+def _cv(nval: int = 10, tols: Sequence[float] = (0.05, 0.1)) -> str:
     """Held-out conditions, leave-one-out scales and re-estimates: ends in a CTE ``cv``."""
     s = ABC_STATS
     terms = " + ".join(f"power((p.{c} - p.t_{c}) / g.{c}, 2)" for c in s)
     estimates = "\nUNION ALL ".join(
         f"SELECT {tol} AS tol, holdout, '{p}' AS parameter, quantile_cont({p}, 0.5) AS estimate FROM near "
         f"WHERE place <= ceil((total - 1) * {tol}) GROUP BY 2"
-        for tol in ("0.05::DOUBLE", "0.1::DOUBLE")
+        for tol in [f"{t}::DOUBLE" for t in tols]
         for p in PARAMS
     )
     return f"""{_abc(s)},
-held AS (SELECT * FROM a ORDER BY {draw("cv", "condition_idx")}, condition_idx LIMIT 10),
+held AS (SELECT * FROM a ORDER BY {draw("cv", "condition_idx")}, condition_idx LIMIT {nval}),
 p AS (SELECT h.condition_idx AS holdout, {", ".join(f"h.{c} AS t_{c}" for c in s)}, a.* FROM held h
   JOIN a ON a.condition_idx <> h.condition_idx),
 pm AS (SELECT holdout, {", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in s)} FROM p GROUP BY 1),
@@ -575,6 +575,8 @@ SELECT condition_idx, {", ".join(r(f"a.{c}", c) for c in (*PARAMS, *ABC_STATS))}
         "abc_loclinear": _linear(False),
         "abc_loclinear_rescaled": _linear(True),
         "abc_cv": f"""WITH {cv}
+SELECT {r("tol", "tol")}, holdout, parameter, {r('"true"', "true")}, {r("estimate", "estimate")} FROM cv""",
+        "abc_cv_many": f"""WITH {_cv(100, (0.02, 0.05))}
 SELECT {r("tol", "tol")}, holdout, parameter, {r('"true"', "true")}, {r("estimate", "estimate")} FROM cv""",
         "cv_recovery": recovery,
         "cv_residual_density": f"""WITH {cv},

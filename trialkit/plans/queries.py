@@ -661,6 +661,11 @@ def abc_cv(spark: SparkSession, sf: str) -> DataFrame:
     return six(_cv(spark, sf))
 
 
+def abc_cv_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Many held-out conditions and a narrow tolerance: neighbours through the pivot index."""
+    return six(abc_cross_validate(_input(spark, sf), 100, [0.02, 0.05], pruned=True))
+
+
 def abc_cv_linear(spark: SparkSession, sf: str) -> DataFrame:
     return six(abc_cross_validate(_input(spark, sf), 10, [0.1, 0.2], method="loclinear"))
 
@@ -765,6 +770,7 @@ QUERIES: dict[str, Query] = {
     "abc_loclinear": abc_linear,
     "abc_loclinear_rescaled": abc_linear_rescaled,
     "abc_cv": abc_cv,
+    "abc_cv_many": abc_cv_many,
     "abc_cv_loclinear": abc_cv_linear,
     "cv_recovery": cv_recovery,
     "cv_residual_density": cv_residual_density,

@@ -217,6 +217,13 @@ SELECT condition_idx + 1 AS condition_idx, trial_idx, item_idx, {r("rt", "rt")},
     return {
         "results_round_trip": whole,
         "results_resumed": whole,
+        "summary_states": f"""WITH {SECONDS},
+moved AS (SELECT item_idx, condition_idx + 1 AS condition_idx, rt FROM seconds)
+SELECT item_idx, count(*) AS n, {r("avg(rt)", "rt_mean")}, {r("stddev_samp(rt)", "rt_sd")}, {r("min(rt)", "rt_min")},
+  {r("max(rt)", "rt_max")}, {r("regr_intercept(rt, condition_idx)", "lm_(Intercept)")},
+  {r("regr_slope(rt, condition_idx)", "lm_condition_idx")}, {r(aic("rt", "condition_idx"), "lm_aic")},
+  {", ".join(r(f"quantile_cont(rt, {p})", f"rt_quantiles_{n}%") for p, n in ((0.1, 10), (0.5, 50), (0.9, 90)))}
+FROM moved GROUP BY 1""",
         "results_by_parameters": f"""{whole}
 WHERE condition_idx + 1 BETWEEN 5 AND 60
   AND condition_idx IN (SELECT s_suppkey FROM supplier WHERE s_acctbal BETWEEN 0 AND 5000)""",

@@ -41,6 +41,7 @@ from trialkit.operators.report import (
     scaled_histogram,
     summarise_posterior,
 )
+from trialkit.operators.states import SummaryStates
 from trialkit.operators.summarise import bind_rows, summarise
 from trialkit.operators.trim import apply_trim, trim_cells, trim_thresholds
 from trialkit.plans.roles import (
@@ -384,6 +385,24 @@ def results_resumed(spark: SparkSession, sf: str) -> DataFrame:
     return six(done.dataset().select("condition_idx", "trial_idx", "item_idx", "rt", "chunk_idx"))
 
 
+def summary_states(spark: SparkSession, sf: str) -> DataFrame:
+    """A result set that grows twice, summarised from the states of its chunks."""
+    store = ResultSet.create(spark, scratch_folder(spark, "results"))
+    states = SummaryStates(
+        spark,
+        scratch_folder(spark, "states"),
+        by=("item_idx",),
+        moments=("rt",),
+        lines={"lm": ("rt", "condition_idx")},
+        quantiles={"rt": [0.1, 0.5, 0.9]},
+    )
+    rows = _stored_rows(spark, sf)
+    for part in (rows.where("chunk_idx % 2 = 1"), rows):
+        store.commit(part)
+        states.update(store)
+    return six(states.read().df)
+
+
 def results_by_parameters(spark: SparkSession, sf: str) -> DataFrame:
     store = _stored(spark, sf)
     rows = store.where_parameters({"balance": (0.0, 5000.0), "condition_idx": (5, 60)})
@@ -738,6 +757,7 @@ QUERIES: dict[str, Query] = {
     "results_round_trip": results_round_trip,
     "results_conditions": results_conditions,
     "results_resumed": results_resumed,
+    "summary_states": summary_states,
     "results_by_parameters": results_by_parameters,
     "results_chunks": results_chunks,
     "partition_read": partition_read,

@@ -96,3 +96,66 @@ def test_refusals(rows):
         map_by_condition(rows, 3, schema=SCHEMA)
     with pytest.raises(ValueError, match="schema"):
         map_by_condition(rows, sums)
+
+
+def joined(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Associative, but not commutative: the order of the conditions shows."""
+    assert len(a) == len(b) == 1
+    return pd.DataFrame({"condition_idx": [a.condition_idx[0]], "text": [a.text[0] + b.text[0]], "n": [a.n[0] + b.n[0]]})
+
+
+def one_line(rows: pd.DataFrame) -> pd.DataFrame:
+    c = rows.condition_idx.iloc[0]
+    return pd.DataFrame({"condition_idx": [c], "text": [f"{c if pd.notna(c) else 'x'} "], "n": [len(rows)]})
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 9, 40])
+def test_associative_results_merge_in_a_tree(spark, n, monkeypatch):
+    from trialkit.operators import mapper
+
+    levels = []
+    plain = mapper.materialise
+    monkeypatch.setattr(mapper, "materialise", lambda df: levels.append(df.columns) or plain(df))
+    df = spark.range(n * 5).select((F.col("id") % max(n, 1)).alias("condition_idx"), F.lit(1.0).alias("rt")).repartition(4)
+    schema = "condition_idx bigint, text string, n long"
+    out = map_by_condition(df, one_line, schema=schema, combine=joined, associative=True, fan_in=3)
+    assert out.columns == ["condition_idx", "text", "n"]
+    rows = out.collect()
+    if n == 0:
+        assert rows == []
+        return
+    assert [tuple(r) for r in rows] == [(0, "".join(f"{c} " for c in range(n)), 5 * n)]
+    # two tables, and one for each level of a tree of three
+    assert len(levels) == 2 + sum(3**k < n for k in range(10))
+
+
+def test_associative_with_a_missing_condition_and_pieces(spark):
+    df = spark.createDataFrame([(None, 1.0), (2, 1.0), (1, 1.0), (1, 1.0)], "condition_idx long, rt double")
+    schema = "condition_idx bigint, text string, n long"
+
+    def whole(parts: pd.DataFrame) -> pd.DataFrame:
+        return parts.iloc[:1].assign(n=parts["n"].sum())
+
+    out = map_by_condition(df, one_line, schema=schema, merge=whole, block_rows=1, combine=joined, associative=True, fan_in=2)
+    assert [(r.text, r.n) for r in out.collect()] == [("x 1.0 2.0 ", 4)] or [(r.text, r.n) for r in out.collect()] == [("x 1 2 ", 4)]
+    with pytest.raises(ValueError, match="two results"):
+        map_by_condition(df, one_line, schema=schema, combine=joined, associative=True, fan_in=1)
+
+
+def test_equal_rows_and_maps_are_spread(spark):
+    """Equal rows do not meet in one piece, nor in one range of the order; a map is no hindrance."""
+    df = spark.range(4000).select(F.lit(1).cast("long").alias("condition_idx"), F.lit(2.0).alias("rt"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+
+    def size(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"condition_idx": [1], "n": [len(rows)]})
+
+    out = map_by_condition(df, size, schema="condition_idx bigint, n long", merge=lambda parts: parts, block_rows=500).collect()
+    assert [r.n for r in out] == [500] * 8
+    from trialkit.operators.blocks import Blocks
+
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        plain = Blocks.of.__func__
+        patch.setattr(Blocks, "of", classmethod(lambda cls, *a, **k: seen.append(plain(cls, *a, **k)) or seen[-1]))
+        map_by_condition(df, size, schema="condition_idx bigint, n long", merge=lambda parts: parts, block_rows=500)
+    assert max(r["count"] for r in seen[0].rows.groupBy("__block").count().collect()) < 1500

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from inspect import signature
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialkit.functions.columns import named, require_columns
 from trialkit.operators.blocks import BLOCK_ROWS, GroupSizes, row_numbers
+from trialkit.operators.joins import join_on_keys
 from trialkit.operators.summarise import SummarySpec, SummaryTable
+from trialkit.sources.checkpoints import materialise
 from trialkit.sources.results import ResultSet
 
 CONDITION = "condition_idx"
+SLOT = "__slot"
+#: Results that one task combines.
+FAN_IN = 16
 PIECE = "__piece"
 TAG = "__tag"
 
@@ -26,7 +34,9 @@ def map_by_condition(
     schema: str | None = None,
     merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     merge_schema: str | None = None,
-    combine: Callable[[DataFrame], object] | None = None,
+    combine: Callable[[DataFrame], object] | Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame] | None = None,
+    associative: bool = False,
+    fan_in: int = FAN_IN,
     condition: str = CONDITION,
     block_rows: int | None = None,
     sizes: GroupSizes | None = None,
@@ -44,7 +54,10 @@ def map_by_condition(
       form for conditions of any size: no task gets a whole one. ``sizes`` saves counting them.
 
     What a call gives does not depend on the number of rows. ``combine`` replaces the binding of rows: it
-    gets the combined frame and its result is returned.
+    gets the combined frame and its result is returned. With ``associative`` it is a function of two results,
+    pandas frames with the columns of the result, that gives one of the same columns. The results of all
+    conditions are then merged in the order of the conditions (a NULL one first), ``fan_in`` of them in a task,
+    the results of these in turn, until one is left, which is returned as a frame.
     """
     df = results.dataset() if isinstance(results, ResultSet) else results
     require_columns(df, [condition])
@@ -61,7 +74,35 @@ def map_by_condition(
         work = _bound(function, arguments, options)
         parts = pieces.groupBy(named(condition), named(PIECE)).applyInPandas(_without_piece(work), schema)
         out = parts.groupBy(named(condition)).applyInPandas(merge, merge_schema or schema)
-    return out if combine is None else combine(out)
+    if combine is None:
+        return out
+    if not associative:
+        return combine(out)
+    return _merged(out.df if isinstance(out, SummaryTable) else out, condition, combine, fan_in)
+
+
+def _merged(results: DataFrame, condition: str, combine, fan_in: int) -> DataFrame:
+    """Merge the results of the conditions in a tree: a task gets ``fan_in`` of them, whatever their number."""
+    require_columns(results, [condition])
+    if fan_in < 2:
+        raise ValueError("a task must combine two results at least")
+    names = results.columns
+    left = materialise(results)
+    order = row_numbers(left.select(named(condition)).distinct(), [], [condition], SLOT)
+    order = materialise(order.withColumn(SLOT, F.col(SLOT) - 1))
+    left = join_on_keys(left, order, [condition])
+    schema = T.StructType([*results.schema.fields, T.StructField(SLOT, T.LongType())])
+
+    def level(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [part[names].reset_index(drop=True) for _, part in rows.groupby(SLOT, sort=True)]
+        return reduce(combine, parts).assign(**{SLOT: rows[SLOT].iloc[0] // fan_in})
+
+    n = order.count()
+    while n > 1:
+        # written between the levels: a lost executor does not bring back the functions before
+        left = materialise(left.groupBy(F.floor(F.col(SLOT) / fan_in).alias("__node")).applyInPandas(level, schema))
+        n = math.ceil(n / fan_in)
+    return left.drop(SLOT)
 
 
 def _takes_iterator(function) -> bool:
@@ -104,9 +145,10 @@ def _without_piece(function):
 def _in_pieces(df: DataFrame, condition: str, block_rows: int, sizes: GroupSizes | None) -> DataFrame:
     """Number the rows of each condition and cut the numbers into pieces of ``block_rows``.
 
-    Rows are put in order by a hash of their content; rows that are equal are interchangeable.
+    Rows are put in order by a number that is written down with them, so equal rows are told apart and a lost
+    executor renumbers nothing; columns may be of any type.
     """
-    content = F.xxhash64(*[named(c) for c in df.columns])
-    numbers = row_numbers(df.withColumn(TAG, content), [condition], [TAG], PIECE, block_rows, sizes)
+    tagged = materialise(df.withColumn(TAG, F.monotonically_increasing_id()))
+    numbers = row_numbers(tagged, [condition], [TAG], PIECE, block_rows, sizes)
     piece = F.floor((F.col(PIECE) - 1) / F.lit(block_rows)).cast("bigint")
     return numbers.select(*[named(c) for c in df.columns], piece.alias(PIECE))

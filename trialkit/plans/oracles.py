@@ -148,6 +148,7 @@ SELECT condition_idx, item_idx, count(*) AS n, {r("avg(rt)", "rt_mean")}, {r("st
         "summary_custom": custom,
         "summary_pivot_given": given,
         "summary_stream": streamed,
+        "summary_stream_kept": streamed,
         "summary_flagship": flagship,
         "summary_plain": plain,
         "summary_global": overall,
@@ -342,6 +343,9 @@ SELECT condition_idx, count(*) AS n, {r("quantile_cont(rt, 0.5)", "middle")}, {r
 FROM seconds WHERE item_idx > 1 GROUP BY 1""",
         "map_by_condition_iterator": f"""WITH {SECONDS}
 SELECT condition_idx, count(*) AS n, {r("sum(rt)", "total")} FROM seconds GROUP BY 1""",
+        "map_by_condition_combined": f"""WITH {SECONDS}
+SELECT (SELECT min(condition_idx) FROM seconds) AS condition_idx, item_idx, count(*) AS n, {r("min(rt)", "low")}, {r("max(rt)", "high")}
+FROM seconds GROUP BY item_idx""",
         "map_by_condition_python": f"""WITH {SECONDS}
 SELECT condition_idx, count(*) AS n, {r("sum(rt)", "total")}, {r("max(rt)", "longest")} FROM seconds GROUP BY 1""",
     }

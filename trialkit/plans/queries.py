@@ -55,7 +55,8 @@ from trialkit.plans.roles import (
 )
 from trialkit.sources.checkpoints import scratch_folder
 from trialkit.sources.results import ResultSet, as_results, chunk_column, dense_codes
-from trialkit.streaming.trim import append_stream, replace_stream, trim_stream
+from trialkit.streaming.summary import KeyedTable, keep_summary
+from trialkit.streaming.trim import append_stream, read_results_stream, replace_stream, trim_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,10 +172,26 @@ def summary_streamed(spark: SparkSession, sf: str) -> DataFrame:
     return six(spark.read.parquet(out))
 
 
+def summary_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over several files, one a micro-batch, into a table of which only what changed is written."""
+    keys = ["condition_idx", "item_idx"]
+    lines = table(spark, sf, "lineitem")
+    parts = scratch_folder(spark, "lines")
+    lines.repartition(4, "l_orderkey").write.parquet(parts)
+    stream = read_results_stream(spark, parts, lines.schema, files_per_batch=1)
+    spec = summarise(by=keys, wider_by=keys, n=S.count(), rt_mean=S.mean("rt"), rt_sd=S.sd("rt"))
+    out, log = scratch_folder(spark, "summary"), scratch_folder(spark, "summary-log")
+    keep_summary(spec(_line_roles(stream)).df, keys, out, log, buckets=16).awaitTermination()
+    return six(KeyedTable(spark, out, keys).read())
+
+
 def _line_stream(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
-    stream = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
-    return stream.select(
+    return _line_roles(spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf))
+
+
+def _line_roles(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.col("l_suppkey").alias("condition_idx"),
         F.col("l_linenumber").alias("rank_idx"),
         F.col("l_linenumber").alias("item_idx"),
@@ -622,6 +639,25 @@ def _input(spark: SparkSession, sf: str) -> AbcInput:
     return build_abc_input(rows, summary, observed, ["size", "price"], conditions=parts)
 
 
+def _by_item(rows: pd.DataFrame) -> pd.DataFrame:
+    found = rows.groupby("item_idx", as_index=False).agg(n=("rt", "size"), low=("rt", "min"), high=("rt", "max"))
+    return found.assign(condition_idx=rows["condition_idx"].iloc[0])[["condition_idx", "item_idx", "n", "low", "high"]]
+
+
+def _both_items(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    how = {"condition_idx": "min", "n": "sum", "low": "min", "high": "max"}
+    return pd.concat([a, b]).groupby("item_idx", as_index=False).agg(how)[list(a.columns)]
+
+
+def map_combined(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of all conditions merged two by two, eight in a task."""
+    schema = "condition_idx bigint, item_idx int, n bigint, low double, high double"
+    whole = map_by_condition(
+        seconds(spark, sf), _by_item, schema=schema, combine=_both_items, associative=True, fan_in=8
+    )
+    return six(whole)
+
+
 def first_params(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("condition_idx"),
@@ -740,6 +776,7 @@ QUERIES: dict[str, Query] = {
     "summary_custom": summary_custom,
     "summary_pivot_given": summary_pivot_given,
     "summary_stream": summary_streamed,
+    "summary_stream_kept": summary_kept,
     "summary_join": summary_join,
     "summary_complete": summary_complete,
     "lm_aic_by_group": lm_aic_by_group,
@@ -782,6 +819,7 @@ QUERIES: dict[str, Query] = {
     "map_by_condition_frame": map_frame,
     "map_by_condition_iterator": map_iterator,
     "map_by_condition_python": map_python,
+    "map_by_condition_combined": map_combined,
     "condition_params": first_params,
     "abc_input": abc_input,
     "abc_input_one_sided": abc_input_one_sided,

@@ -1,13 +1,14 @@
 """Balanced label propagation: linked documents move together while shards keep even row counts.
 
-Documents with equal texts are linked. They start laid into the shards by ranges of their rank, the largest
-group first, so a group larger than a shard fills one after the other, and at most one group is cut at each border of two shards, however many groups there are. In each round
-every cut group asks for a shard that can take in all of it, the one with most of its members first. What a
-shard can take in are its unlinked documents, which go elsewhere in exchange, and the rows of cut groups that
-ask to leave it: requests in opposite directions cancel. Where that does not make all groups whole, small whole
-groups of every shard give way as well. Documents of a group in the same shard are alike, so the rounds work on
-counts by (group, shard): a group that holds a third of all rows is at most one row per shard there. Rows are
-numbered by range partitions, so no group and no shard is gathered into one task.
+Documents with equal texts are linked. Labels start balanced and as scattered as can be: the members of a group that
+fits a shard are dealt to all of them. In each round every cut group chooses the shard that holds most of its members,
+and its other members ask to go there. Requests are summed by the pair of shards they lead from and to; quotas let
+through what keeps all counts as they are: requests in opposite directions and around cycles cancel, and unlinked
+documents go elsewhere in exchange for linked ones. Requests are admitted in an order up to their quota, and the
+labels are updated by a join. Members of a group in one shard are alike, so a row stands for all of them, with their
+number: a group that holds a third of all rows is at most one row per shard. Groups larger than a shard fill one shard
+after the other. The few groups that quotas leave cut at last change places with small whole ones. Rows are numbered
+by range partitions, so no group and no shard is gathered into one task.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialkit.llm.common import numbered, stored
+from trialkit.llm.common import forget, numbered, stored
+from trialkit.operators.blocks import GroupSizes, running_sums
 
 SHARDS = 8
-#: Most rounds; they end when no group is cut that fits a shard.
-ROUNDS = 16
+#: Most rounds; they end when few groups are cut that fit a shard, or nothing moves for all choices of equal shards.
+ROUNDS = 32
+#: At most so many cut groups are settled at last; while half as many requests are made, rounds go on.
+SETTLED = 64
 #: The smallest group of a shard in each of this many parts of the hash range can give way.
 PARTS = 16
 #: Bits for the sums of sizes by which groups are chosen to fill a shard; beyond that they go where they fit best.
@@ -52,10 +56,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     groups = stored(groups.where("n > 1"), "shard-groups")
     linked = base.join(groups, GROUP, "left").withColumn("alone", F.col("n").isNull()).withColumn("few", -F.col("n"))
     rows = numbered(linked, ["alone", "few", "g_low", "g_high", "size", "doc_id", "row"], "rank", "shard-rows")
-    total, n_linked = rows.agg(F.count(F.lit(1)), F.count_if(~F.col("alone"))).first()
+    total = rows.count()
     caps = [total // shards + (s < total % shards) for s in range(shards)]
-    free = [min(cap, max(0, end - n_linked)) for cap, end in zip(caps, accumulate(caps), strict=True)]
-    rows = rows.withColumn("home", _range_of(F.col("rank"), caps).cast("int"))
+    n_large = rows.agg(F.count_if(F.col("n") > max(caps))).first()[0]
+    rows = rows.withColumn("home", _scattered(F.col("rank"), caps, total, n_large).cast("int"))
+    held = dict(rows.where("alone").groupBy("home").agg(F.count(F.lit(1))).collect())
+    free = [held.get(s, 0) for s in range(shards)]
     cells = rows.where(~F.col("alone")).groupBy(*GROUP, F.col("home").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     cells = propagate(stored(cells, "shard-cells"), caps, free, rounds)
 
@@ -74,14 +80,122 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     )
 
 
+def _scattered(rank: Column, caps: list[int], total: int, n_large: int) -> Column:
+    """Balanced first labels: the first ``n_large`` rows by ranges, of the others neighbours far apart.
+
+    The others are read column by column instead of row by row, in as many columns as there are shards, which is
+    one to one; ranges of that order fill what the large groups have left of the shards.
+    """
+    shards, rest = len(caps), total - n_large
+    at = rank - F.lit(n_large)
+    column, step = F.pmod(at, F.lit(shards)), rest // shards
+    place = column * F.lit(step) + F.least(column, F.lit(rest % shards)) + F.floor(at / shards)
+    ends = list(accumulate(caps))
+    left = [min(cap, max(0, end - n_large)) for cap, end in zip(caps, ends, strict=True)]
+    return F.when(at < 0, _range_of(rank, caps)).otherwise(_range_of(place, left))
+
+
+def quotas(asked: dict[tuple[int, int], int], free: list[int]) -> tuple[dict[tuple[int, int], int], list[int]]:
+    """Rows that may go from shard to shard without changing any count, and the unlinked rows of each shard then.
+
+    First requests in opposite directions cancel, then those around longer cycles; what is left over of a request is
+    let through as far as the shard it leads to has unlinked rows to give back.
+    """
+    left = {pair: n for pair, n in sorted(asked.items()) if n > 0}
+    out = dict.fromkeys(left, 0)
+
+    def cycle() -> list[tuple[int, int]] | None:
+        """The shortest cycle of requests, the first of equally short ones."""
+        best = None
+        for start in sorted({a for a, _ in left}):
+            paths, seen = [[start]], {start}
+            while paths and best is None or paths and len(paths[0]) < len(best):
+                path = paths.pop(0)
+                for b in sorted(b for a, b in left if a == path[-1]):
+                    if b == start:
+                        best = list(zip(path, [*path[1:], start], strict=True))
+                        paths = []
+                        break
+                    if b not in seen:
+                        seen.add(b)
+                        paths.append([*path, b])
+        return best
+
+    while (found := cycle()) is not None:
+        n = min(left[pair] for pair in found)
+        for pair in found:
+            out[pair] += n
+            left[pair] -= n
+            if not left[pair]:
+                del left[pair]
+    free = list(free)
+    for (a, b), n in sorted(left.items(), key=lambda x: (-x[1], x[0])):
+        n = min(n, free[b])
+        out[a, b] += n
+        free[b] -= n
+        free[a] += n
+    return out, free
+
+
+def one_round(
+    cells: DataFrame, shards: int, cap: int, turn: int, free: list[int], by_size: bool = True
+) -> tuple[DataFrame | None, list[int], int]:
+    """One round over the cells of all groups: the cells then (None if nothing moves), the unlinked rows of the shards
+    then, and the requests that were made. Groups larger than ``cap`` make none.
+
+    A group chooses the shard with most of its members, and of equal ones another each ``turn``; without ``by_size``
+    any of the shards it is in. Members go where others of their group are, so no round makes pieces.
+    """
+    tie = F.pmod(F.col("shard") + F.pmod(F.col("g_low"), F.lit(shards)) + F.lit(turn), F.lit(shards))
+    choice = F.struct("n", tie) if by_size else tie
+    goals = cells.groupBy(*GROUP).agg(
+        F.max_by("shard", choice).alias("goal"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("whole")
+    )
+    goals = goals.where((F.col("parts") > 1) & (F.col("whole") <= cap)).select(*GROUP, "goal")
+    asks = cells.join(goals, GROUP).where("shard <> goal").select(*GROUP, "shard", "goal", "n")
+    asks = stored(asks, "shard-asks")
+    # as many rows as there are pairs of shards
+    sums = asks.groupBy("shard", "goal").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("asks")).collect()
+    n_asks = sum(r["asks"] for r in sums)
+    quota, after = quotas({(r["shard"], r["goal"]): r["n"] for r in sums}, free)
+    if not any(quota.values()):
+        forget(asks)
+        return None, free, n_asks
+    limits = cells.sparkSession.createDataFrame([(a, b, n) for (a, b), n in quota.items()], "shard int, goal int, quota long")
+    queue = running_sums(asks, ["shard", "goal"], [*GROUP], {"upto": F.col("n")}, sizes=GroupSizes(n_asks, n_asks))
+    queue = queue.join(F.broadcast(limits), ["shard", "goal"])
+    admitted = F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("upto") + F.col("n")))
+    moves = queue.withColumn("m", admitted).where("m > 0")
+    ends = moves.select(*GROUP, F.explode(F.array(
+        F.struct(F.col("shard").alias("shard"), (-F.col("m")).alias("n")), F.struct(F.col("goal").alias("shard"), F.col("m").alias("n"))
+    )).alias("x")).select(*GROUP, "x.*")
+    moved = cells.select(*GROUP, "shard", "n").unionByName(ends).groupBy(*GROUP, "shard").agg(F.sum("n").alias("n"))
+    out = stored(moved.where("n > 0"), "shard-cells")
+    forget(asks)
+    return out, after, n_asks
+
+
 def propagate(cells: DataFrame, caps: list[int], free: list[int], rounds: int) -> DataFrame:
     """Move the members of groups between shards; ``cells`` holds ``n`` by group and ``shard``.
 
-    ``caps`` are the rows of each shard and stay as they are; ``free`` the unlinked ones among them. The cut
-    groups come to the driver: from a start by ranges there are fewer of them than shards.
+    ``caps`` are the rows of each shard and stay as they are; ``free`` the unlinked ones among them. Rounds go on
+    while many groups that fit a shard are cut. The last few, at most ``SETTLED``, are settled on the driver.
     """
+    still, before = 0, None
+    for turn in range(rounds):
+        moved, free, n_asks = one_round(cells, len(caps), max(caps), turn, free, by_size=not still)
+        still = still + 1 if moved is None else 0
+        if moved is not None:
+            if before is not None:
+                forget(before)
+            cells = before = moved
+        if n_asks <= SETTLED // 2 or still > len(caps):
+            break
     spread = cells.groupBy(*GROUP).agg(*_by_shard(len(caps)), F.count(F.lit(1)).alias("parts"))
-    cut = _counts(spread.where("parts > 1").drop("parts"))
+    # groups that fit a shard and are cut all the same, and those that do not fit one
+    sizes = F.expr(" + ".join(f"n{s}" for s in range(len(caps))))
+    cut = spread.where("parts > 1").orderBy(sizes > max(caps), *GROUP).limit(SETTLED + len(caps))
+    cut = _counts(cut.drop("parts"))
     if not cut:
         return cells
     best = _settled(cut, free, max(caps), rounds)

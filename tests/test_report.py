@@ -1,7 +1,9 @@
 import math
 import random
+import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,34 @@ def test_pair_correlation(cv, block_rows):
         assert got[(tol, "a", "fixed")].rho is None
 
 
+def test_correlation_of_many_parameters_in_one_plan(spark):
+    """Fifty parameters: the same plan as for three, and all 1,225 pairs."""
+    rng = np.random.default_rng(5)
+    params = [f"p {k}" for k in range(50)]
+    values = rng.normal(size=(40, 50)) @ rng.normal(size=(50, 50)) + 1e4
+    values[:, 7] = np.round(values[:, 7])  # ties
+    values[:, 9] = 3.1  # constant
+    rows = [(0.1, h, p, 0.0, float(values[h, k])) for h in range(40) for k, p in enumerate(params)]
+    cv = spark.createDataFrame(rows, "tol double, holdout long, parameter string, true double, estimate double").cache()
+    table = pair_correlation(cv, params)
+    got = {(r.p1, r.p2): r for r in table.collect()}
+    assert len(got) == 1225
+    ranks = pd.DataFrame(values).rank().to_numpy()
+    for a, b in ((0, 1), (7, 8), (3, 49), (20, 7)):
+        row = got[(params[min(a, b)], params[max(a, b)])]
+        x, y = values[:, min(a, b)], values[:, max(a, b)]
+        assert row.rho == pytest.approx(np.corrcoef(ranks[:, min(a, b)], ranks[:, max(a, b)])[0, 1])
+        assert (row.slope, row.intercept) == pytest.approx(tuple(np.polyfit(x, y, 1)), rel=1e-5)
+        assert row.n == 40
+    flat = got[("p 9", "p 10")]
+    assert flat.rho is None and flat.slope is None and flat.intercept == pytest.approx(values[:, 10].mean())
+
+    def size(df):
+        return len(re.findall(r"^[\s:+-]*\w", df._jdf.queryExecution().optimizedPlan().toString(), re.M))
+
+    assert size(table) == size(pair_correlation(cv, params[:3]))
+
+
 def test_histogram(spark):
     data = [("ten", float(x)) for x in range(1, 101)] + [("zero", 0.0), ("zero", 0.0), ("one", 5.0), ("below", -3.0)]
     data += [("sevenths", x / 7) for x in range(20)] + [("ten", None), ("ten", math.inf), ("ten", math.nan)]

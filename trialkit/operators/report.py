@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialkit.functions import stats as S
-from trialkit.functions.columns import finite_rows, is_finite, is_missing, named, require_columns
+from trialkit.functions.columns import is_finite, is_missing, named, require_columns
 from trialkit.operators.blocks import GroupSizes, average_ranks, group_quantiles, group_sizes, join_on_keys
 from trialkit.operators.inference import AbcInput, Posterior
 from trialkit.operators.nest import to_long
@@ -109,36 +110,84 @@ def recovery_table(cv: DataFrame, resid_tol: float | None = None, block_rows: in
 def pair_correlation(cv: DataFrame, params: Sequence[str], block_rows: int | None = None) -> DataFrame:
     """Per tolerance and pair of parameters: Spearman correlation of the estimates and the fitted line.
 
-    Held-out conditions with a non-finite estimate of any parameter are left out.
+    Held-out conditions with a non-finite estimate of any parameter are left out. Values and ranks of a condition
+    travel as two arrays; their products are summed as one matrix per tolerance, so the plan is the same for any
+    number of parameters, and all pairs are read off the sums.
     """
     require_columns(cv, ["tol", "holdout", "parameter", "estimate"])
     params = list(params)
-    wide = cv.groupBy("tol", "holdout").pivot("parameter", params).agg(F.first("estimate"))
-    long = to_long(finite_rows(wide, params), ["tol", "holdout"], params)
+    wanted = F.array(*[F.lit(p) for p in params])
+    long = cv.where(F.array_contains(wanted, F.col("parameter")))
+    long = long.groupBy("tol", "holdout", "parameter").agg(F.first("estimate").alias("value"))
+    whole = long.where(is_finite("value")).groupBy("tol", "holdout").agg(F.count(F.lit(1)).alias("__n"))
+    long = join_on_keys(long, whole.where(F.col("__n") == len(params)).drop("__n"), ["tol", "holdout"])
     ranked = average_ranks(long, ["tol", "parameter"], "value", "rank", block_rows)
-    back = (
-        ranked.groupBy("tol", "holdout")
-        .pivot("parameter", params)
-        .agg(F.first("value").alias("value"), F.first("rank").alias("rank"))
+
+    # products of what is left of a value once its mean is taken; a constant one leaves exactly nothing
+    moves = F.min("value") < F.max("value")
+    means = ranked.groupBy("tol", "parameter").agg(
+        F.avg("value").alias("__mean"), F.avg("rank").alias("__middle"), moves.alias("__moves")
+    )
+    means = materialise(means)
+    away = join_on_keys(ranked, means, ["tol", "parameter"])
+    parts = [F.when(F.col("__moves"), F.col(c) - F.col(m)).otherwise(F.lit(0.0)) for c, m in (("value", "__mean"), ("rank", "__middle"))]
+    entry = F.struct(F.array_position(wanted, F.col("parameter")).alias("i"), parts[0].alias("x"), parts[1].alias("r"))
+    rows = away.groupBy("tol", "holdout").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    sums = _gram(rows.select("tol", F.col("e.x").alias("x"), F.col("e.r").alias("r")), len(params))
+    listed = means.groupBy("tol").agg(
+        F.sort_array(F.collect_list(F.struct(F.array_position(wanted, F.col("parameter")).alias("i"), "__mean"))).alias("m")
     )
-    pairs = list(combinations(params, 2))
-    entries = []
-    for a, b in pairs:
-        x, y = named(f"{a}_value"), named(f"{b}_value")
-        rho, _, _ = _line(named(f"{b}_rank"), named(f"{a}_rank"))
-        _, slope, intercept = _line(y, x)
-        entries.append(
-            F.struct(
-                F.lit(a).alias("p1"),
-                F.lit(b).alias("p2"),
-                rho.alias("rho"),
-                slope.alias("slope"),
-                intercept.alias("intercept"),
-                F.count(F.lit(1)).alias("n"),
-            )
+    table = join_on_keys(sums, listed, ["tol"])
+
+    k = len(params)
+    at = lambda name, i, j: F.get(name, (i * k + j).cast("int"))
+
+    def pair(i: Column, j: Column) -> Column:
+        sxx, syy, sxy = at("xx", i, i), at("xx", j, j), at("xx", i, j)
+        rxx, ryy, rxy = at("rr", i, i), at("rr", j, j), at("rr", i, j)
+        slope = F.when(sxx > 0, F.try_divide(sxy, sxx))
+        mean = lambda c: F.get("m", c.cast("int"))["__mean"]
+        return F.struct(
+            F.get(wanted, i.cast("int")).alias("p1"),
+            F.get(wanted, j.cast("int")).alias("p2"),
+            F.when((rxx > 0) & (ryy > 0), F.try_divide(rxy, F.sqrt(rxx) * F.sqrt(ryy))).alias("rho"),
+            slope.alias("slope"),
+            F.when(sxx > 0, mean(j) - slope * mean(i)).otherwise(mean(j)).alias("intercept"),
+            F.col("n"),
         )
-    table = back.groupBy("tol").agg(F.array(*entries).alias("pairs"))
-    return table.select("tol", F.explode("pairs").alias("pair")).select("tol", "pair.*")
+
+    # the upper half of the matrix, place by place
+    places = F.filter(F.sequence(F.lit(0), F.lit(k * k - 1)), lambda p: F.floor(p / k) < F.pmod(p, F.lit(k)))
+    pairs = F.transform(places, lambda p: pair(F.floor(p / k), F.pmod(p, F.lit(k))))
+    return table.select("tol", F.explode(pairs).alias("pair")).select("tol", "pair.*")
+
+
+def _gram(rows: DataFrame, k: int) -> DataFrame:
+    """Per tolerance the sums of products of ``k`` values, ``xx``, and of their ranks, ``rr``, and the rows, ``n``."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[float, np.ndarray] = {}
+        for part in batches:
+            for tol, own in part.groupby("tol"):
+                sums = [np.array([len(own)], float)]
+                for name in ("x", "r"):
+                    z = np.stack(own[name].to_numpy())
+                    sums.append((z.T @ z).ravel())
+                total[tol] = total.get(tol, 0.0) + np.concatenate(sums)
+        yield pd.DataFrame({"tol": list(total), "sums": [v.tolist() for v in total.values()]})
+
+    # one array per task and tolerance, added up element by element
+    kind = rows.schema["tol"].dataType.simpleString()
+    parts = rows.mapInPandas(partial, f"tol {kind}, sums array<double>")
+    cells = parts.select("tol", F.posexplode("sums").alias("spot", "part")).groupBy("tol", "spot").agg(F.sum("part").alias("part"))
+    flat = cells.groupBy("tol").agg(F.sort_array(F.collect_list(F.struct("spot", "part"))).alias("s"))
+    flat = flat.select("tol", F.col("s.part").alias("s"))
+    return flat.select(
+        "tol",
+        F.get("s", F.lit(0)).cast("bigint").alias("n"),
+        F.slice("s", 2, k * k).alias("xx"),
+        F.slice("s", 2 + k * k, k * k).alias("rr"),
+    )
 
 
 # --- histograms ------------------------------------------------------------------------------

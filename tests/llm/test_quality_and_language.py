@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from trialkit.llm import quality_rules as qr
 from trialkit.llm.language_id import UNDETERMINED, LanguageModel, codewords, language_report
@@ -256,3 +258,88 @@ def test_moves_respect_the_quota(spark):
     out = propagate(cells, [10, 10], [3, 3], 5).collect()
     held = {s: sum(r["n"] for r in out if r["shard"] == s) for s in (0, 1)}
     assert all(n <= 10 for n in held.values()) and sum(held.values()) == 14
+
+
+def plain_grams(text):
+    """Hashed n-grams of a text, letter by letter."""
+    letters = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()]
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(letters) - n + 1):
+            if letters[i + (n - 1) // 2] != 32:
+                gram = sum(x * 256 ** (n - 1 - k) for k, x in enumerate(letters[i : i + n]))
+                out.append((((gram + n * 0x1000193) * 0x9E3779B97F4A7C1) & 0x7FFFFFFFFFFFFFFF) >> 49)
+    return out
+
+
+def plain_languages(rows):
+    """Codeword decoding written out in plain Python: name and score per text."""
+    shares = {}
+    for doc, text, lang in rows:
+        if zlib.crc32(str(doc).encode()) % 4 != 2 and lang is not None:
+            grams = plain_grams(text or "")
+            for g in grams:
+                own = shares.setdefault(lang, {})
+                own[g] = own.get(g, 0.0) + 1 / len(grams)
+            shares.setdefault(lang, {})
+    names = sorted(shares)
+    total = sum(sum(v.values()) for v in shares.values())
+    for v in shares.values():
+        whole = max(sum(v.values()), 1)
+        for g in v:
+            v[g] /= whole
+    code = codewords(len(names)).tolist()
+    small = 0.5 / max(total / len(names), 1.0)
+    cache = {}
+
+    def weight(g, bit):
+        if (g, bit) not in cache:
+            sides = {1: [], -1: []}
+            for name, word in zip(names, code, strict=True):
+                sides[word[bit]].append(shares[name].get(g, 0.0))
+            inside, outside = (sum(x) / max(len(x), 1) + small for x in (sides[1], sides[-1]))
+            cache[g, bit] = math.log(inside / outside)
+        return cache[g, bit]
+
+    bits = range(len(code[0]))
+    worth = [
+        [max(code[k][b] * sum(x * weight(g, b) for g, x in shares[name].items()), 1e-6) for b in bits]
+        for k, name in enumerate(names)
+    ]
+    scale = [sum(w[b] for w in worth) / len(names) for b in bits]
+    out = {}
+    for doc, text, _ in rows:
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            out[doc] = ("und", 0.0)
+            continue
+        grams = plain_grams(text)
+        margin = [sum(weight(g, b) for g in grams) / len(grams) for b in bits]
+        losses = [
+            sum(math.exp(-min(max(margin[b] / scale[b], -3), 3) * code[k][b]) * worth[k][b] / sum(worth[k]) for b in bits)
+            for k in range(len(names))
+        ]
+        odds = [math.exp(-4.0 * (x - min(losses))) for x in losses]
+        best = max(range(len(names)), key=lambda k: odds[k])
+        out[doc] = (names[best], odds[best] / sum(odds))
+    return out
+
+
+def test_languages_equal_plain_python(spark):
+    rows = [*language_rows(8, 120), (900, None, "aa"), (901, "12 34 !!", "bb"), (902, "", None), (903, "² ½", "aa")]
+    rows += [(904, "\u2167 \u2460", "bb"), (905, "\u01c5", "bb"), (906, "\u4e2d", None), (907, "Éa B", "aa")]
+    want = plain_languages(rows)
+    got = language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    for r in got:
+        name, score = want[r["doc_id"]]
+        assert r["lang_pred"] == name, r
+        assert r["score"] == pytest.approx(score, abs=1e-4)
+    assert {r["doc_id"] for r in got if r["lang_pred"] == UNDETERMINED} == {900, 901, 902, 903, 904}
+
+
+def test_a_column_of_the_name_of_the_result_stays(spark):
+    from trialkit.llm.language_id import predict_languages
+
+    docs = spark.createDataFrame([(1, "text", "mine")], "doc_id long, text string, lang_found string")
+    out = predict_languages(docs, None)
+    assert out.columns == ["doc_id", "text", "lang_found", "lang_found_"]
+    assert out.first()["lang_found"] == "mine" and out.first()["lang_found_"]["lang_pred"] == UNDETERMINED

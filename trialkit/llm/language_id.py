@@ -10,6 +10,7 @@ best languages are close are flagged.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialkit.llm.common import text_chunks
+from trialkit.llm.common import fresh, text_chunks
 
 #: Hashed n-grams of one, two and three bytes.
 FEATURE_BITS = 14
@@ -125,8 +126,12 @@ class LanguageModel:
         """Loss of every language for each text's mean margins: exponential, weighted by the bits' worth."""
         scale = self.worth.mean(axis=0)
         shares = self.worth / self.worth.sum(axis=1, keepdims=True)
-        agree = np.clip(margins / scale, -3, 3)[:, None, :] * self.code[None, :, :]
-        return (np.exp(-agree) * shares[None, :, :]).sum(axis=2)
+        agree = np.clip(margins / scale, -3, 3)
+        out = np.zeros((len(margins), len(self.code)))
+        # bit by bit: memory follows texts and languages, not their product with the bits
+        for bit in range(self.code.shape[1]):
+            out += np.exp(-agree[:, bit, None] * self.code[:, bit]) * shares[:, bit]
+        return out
 
 
 def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel | None:
@@ -168,19 +173,25 @@ def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang")
     return LanguageModel.of([r["lang"] for r in rows], counts)
 
 
-_ANY_LETTER = "[^\\W\\d_]"
+#: Letters are among these; superscripts, fractions and number letters are as well, and are told apart after.
+_NEARLY_LETTER = re.compile("[^\\W\\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return any(m[0].isalpha() for m in _NEARLY_LETTER.finditer(text))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` and ``ambiguous`` (in a struct ``lang_found``) to each row.
+    """Add ``lang_pred``, ``score`` and ``ambiguous`` to each row, in a struct ``lang_found``.
 
-    ``und`` with score 0 where the text is NULL or has no letter, and where no language was learned.
+    ``und`` with score 0 where the text is NULL, empty or has no letter, and where no language was learned. Of equally
+    near languages the first by name is taken. Repeated rows are judged alike, each for itself. The struct has another
+    name (one more ``_``) where ``docs`` has such a column; it always comes last.
     """
-    import re
 
     found = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    letter = re.compile(_ANY_LETTER)
 
     @F.pandas_udf(found)
     def predict(texts):
@@ -206,14 +217,15 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str =
             odds /= odds.sum(axis=1, keepdims=True)
             best = odds.argmax(axis=1)
             ordered = np.sort(odds, axis=1)
-            told = np.array([letter.search(t) is not None for t in filled], bool)
+            told = np.array([has_letter(t) for t in filled], bool)
             names[told] = np.array(own.languages, object)[best[told]]
             scores[told] = odds.max(axis=1)[told]
             if odds.shape[1] > 1:
                 close = told & (ordered[:, -1] - ordered[:, -2] < CLEAR)
         return pd.DataFrame({"lang_pred": names, "score": scores, "ambiguous": close})
 
-    return docs.withColumn("lang_found", predict(F.col(f"`{text}`")))
+    (name,) = fresh(docs, "lang_found")
+    return docs.withColumn(name, predict(F.col(f"`{text}`")))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -157,6 +157,17 @@ def test_materialised_table(spark):
     assert not Folder(spark, path).exists()
 
 
+def test_every_scratch_folder_is_removed(spark):
+    from trialkit.sources import checkpoints
+
+    before = list(checkpoints._written)
+    checkpoints._written[:] = []
+    store = ResultSet.create(spark, scratch_folder(spark, "rs"))
+    checkpoints.discard(spark)
+    assert not Folder(spark, store.path).exists() and checkpoints._written == []
+    checkpoints._written[:] = before
+
+
 def test_ranks_with_given_sizes_count_nothing(spark):
     from trialkit.operators.blocks import GroupSizes
 

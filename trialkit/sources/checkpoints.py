@@ -32,8 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table below the shared folder.
+
+    It is removed when the program ends, or by :func:`discard`, whatever has been written there.
+    """
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -44,7 +49,6 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = scratch_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     return back.select(*[_as_before(f) for f in df.schema.fields])
 

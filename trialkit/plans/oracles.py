@@ -304,6 +304,13 @@ def _ordered() -> dict[str, str]:
     ROWS UNBOUNDED PRECEDING) AS s FROM steps)
 SELECT user_id, t_us AS t, CAST(CASE WHEN s >= 20000 THEN 1 ELSE -1 END AS BIGINT) AS choice FROM sums
 WHERE s >= 20000 OR s <= -10000 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t_us) = 1"""
+    raced = f"""WITH {STEPS},
+sums AS (SELECT user_id, event_type, t_us, sum(cents) OVER (PARTITION BY user_id, event_type ORDER BY t_us
+    ROWS UNBOUNDED PRECEDING) AS s FROM steps),
+hits AS (SELECT user_id, event_type, min(t_us) AS t FROM sums WHERE s >= 20000 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_type) AS rank_idx
+  FROM hits WHERE t < 25 * 24 * 3600 * 1000000::BIGINT)
+SELECT user_id, event_type, t, CAST(1 AS BIGINT) AS choice, rank_idx FROM ranked WHERE rank_idx <= 3"""
     return {
         "average_ranks": f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {r("l_quantity", "l_quantity")},
   {r("rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + "
@@ -325,13 +332,8 @@ FROM steps""",
 sums AS (SELECT event_type, t_us, sum(cents) OVER (PARTITION BY event_type ORDER BY t_us
     ROWS UNBOUNDED PRECEDING) AS s FROM steps)
 SELECT event_type, min(t_us) AS t, CAST(1 AS BIGINT) AS choice FROM sums WHERE s >= 2500000 GROUP BY 1""",
-        "race_rank": f"""WITH {STEPS},
-sums AS (SELECT user_id, event_type, t_us, sum(cents) OVER (PARTITION BY user_id, event_type ORDER BY t_us
-    ROWS UNBOUNDED PRECEDING) AS s FROM steps),
-hits AS (SELECT user_id, event_type, min(t_us) AS t FROM sums WHERE s >= 20000 GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_type) AS rank_idx
-  FROM hits WHERE t < 25 * 24 * 3600 * 1000000::BIGINT)
-SELECT user_id, event_type, t, CAST(1 AS BIGINT) AS choice, rank_idx FROM ranked WHERE rank_idx <= 3""",
+        "race_rank": raced,
+        "race_rank_stream": raced,
         "map_by_condition": f"""WITH {SECONDS},
 c AS (SELECT condition_idx, item_idx, stddev_samp(rt) AS s FROM seconds GROUP BY 1, 2),
 w AS (SELECT condition_idx, {", ".join(r(f"max(CASE WHEN item_idx = {i} THEN s END)", f"item_idx_{i}") for i in ITEMS)}

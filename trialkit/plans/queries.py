@@ -55,6 +55,7 @@ from trialkit.plans.roles import (
 )
 from trialkit.sources.checkpoints import scratch_folder
 from trialkit.sources.results import ResultSet, as_results, chunk_column, dense_codes
+from trialkit.streaming.crossing import race_stream, state_store
 from trialkit.streaming.summary import KeyedTable, keep_summary
 from trialkit.streaming.trim import append_stream, read_results_stream, replace_stream, trim_stream
 
@@ -553,6 +554,33 @@ def crossings_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def race_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same race over files of about eight days each, some steps up to two days late, in six micro-batches."""
+    day = 24 * 3600 * 1_000_000
+    events = event_steps(spark, sf).select(
+        "user_id", "event_type", F.timestamp_micros("t_us").alias("at"), F.col("cents").cast("double").alias("cents"),
+        F.floor((F.col("t_us") + F.pmod("event_id", F.lit(48)) * (day // 24)) / (8 * day)).alias("part"),
+    )
+    path = scratch_folder(spark, "steps")
+    schema = events.drop("part").schema
+    for part in range(5):
+        rows = events.where(F.least("part", F.lit(4)) == part).drop("part")
+        if part == 4:
+            # a last step beyond all others lets the watermark pass them
+            newest = events.agg((F.max("at") + F.expr("INTERVAL 4 DAYS")).alias("at"))
+            rows = rows.unionByName(newest.select(F.lit(-1).cast("bigint").alias("user_id"), F.lit("none").alias("event_type"), "at", F.lit(0.0).alias("cents")))
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = read_results_stream(spark, path, schema, files_per_batch=1)
+    race_ = race_stream(
+        stream, trial=["user_id"], item="event_type", time="at", step="cents", upper=20_000,
+        max_time=25 * day, max_reached=3, late="2 days",
+    )
+    out, log = scratch_folder(spark, "race"), scratch_folder(spark, "race-log")
+    with state_store(spark):
+        append_stream(race_, out, log).awaitTermination()
+    return six(spark.read.schema(race_.schema).parquet(out))
+
+
 def race_ranks(spark: SparkSession, sf: str) -> DataFrame:
     hits = first_crossing(
         event_steps(spark, sf), series=["user_id", "event_type"], time="t_us", step="cents", upper=20_000
@@ -815,6 +843,7 @@ QUERIES: dict[str, Query] = {
     "first_crossing": crossings,
     "first_crossing_in_blocks": crossings_in_blocks,
     "race_rank": race_ranks,
+    "race_rank_stream": race_streamed,
     "map_by_condition": map_native,
     "map_by_condition_frame": map_frame,
     "map_by_condition_iterator": map_iterator,

@@ -71,3 +71,43 @@ def test_to_long(spark):
     df = spark.createDataFrame([(1, 2, 3.5)], "id int, a int, `b.c` double")
     got = {(r.id, r.parameter, r.value) for r in to_long(df, ["id"], ["a", "b.c"]).collect()}
     assert got == {(1, "a", 2.0), (1, "b.c", 3.5)}
+
+
+def test_variants_of_several_models_flatten_without_names(spark, tmp_path):
+    from trialkit.operators.nest import as_variant, parameter_types
+
+    trials = "array<struct<item_idx:array<int>,rt:array<double>>>"
+    schema = f"condition_idx long, model string, cond_params %s, result {trials}"
+    two = [([1, 2], [0.1, 0.2]), ([], []), ([3], [0.5])]
+    a = spark.createDataFrame([(1, "a", ([1.5, 2.5, 3.5], [1, 2, 3]), two)], schema % "struct<drift:array<double>,n:array<int>>")
+    b = spark.createDataFrame(
+        [(2, "b", {"it's \"a\" name": ["x", "y", "z"], "condition_idx": ["7", "8", "9"]}, two)], schema % "map<string,array<string>>"
+    )
+    c = spark.createDataFrame([(3, "c", (0.25, [True, None, False]), two)], schema % "struct<drift:double,flag:array<boolean>>")
+    d = spark.createDataFrame([(4, "d", None, two)], schema % "struct<drift:double>")
+    for df in (a, b, c, d):
+        as_variant(df).write.mode("append").parquet(str(tmp_path / "models"))
+    df = spark.read.parquet(str(tmp_path / "models"))
+    assert parameter_types(df) == {
+        "condition_idx": ("string", True),
+        "drift": ("double", True),
+        "flag": ("boolean", True),
+        "it's \"a\" name": ("string", True),
+        "n": ("double", True),
+    }
+    flat = flatten_results(df.where("model <> 'c'"))
+    assert flat.columns == ["model", "condition_idx", "trial_idx", "rank_idx", "item_idx", "rt", "drift", "it's \"a\" name", "n"]
+    rows = {(r.model, r.trial_idx, r.rank_idx): r for r in flat.collect()}
+    assert len(rows) == 9
+    assert [rows["a", t, k].drift for t, k in ((1, 1), (1, 2), (3, 1))] == [1.5, 1.5, 3.5]
+    assert rows["a", 3, 1].n == 3.0 and rows["a", 3, 1]["it's \"a\" name"] is None
+    assert rows["b", 3, 1]["it's \"a\" name"] == "z" and rows["b", 3, 1].drift is None
+    assert rows["b", 3, 1].condition_idx == "9"
+    assert rows["d", 1, 1].drift is None
+    # one value for all trials beside values by trial
+    every = {(r.model, r.trial_idx, r.rank_idx): r for r in flatten_results(df).collect()}
+    assert len(every) == 12
+    assert [every[m, 3, 1].drift for m in "abcd"] == [3.5, None, 0.25, None]
+    assert [every["c", t, 1].flag for t in (1, 3)] == [True, False]
+    one = flatten_results(df.where("model = 'c'"), param_names=["drift", "absent"]).collect()
+    assert [(r.drift, r.absent) for r in one] == [(0.25, None)] * 3

@@ -246,6 +246,13 @@ SELECT o_orderkey, o_orderpriority, code FROM v LEFT JOIN c ON o_orderpriority =
 SELECT 'vectors' AS model, vec_id AS condition_idx, i + 1 AS trial_idx,
   row_number() OVER (PARTITION BY vec_id, i ORDER BY j) AS rank_idx, j AS item_idx, {r("rt", "rt")},
   {r("(i + label) * 0.5", "drift")}, {r("i * 0.25", "ndt")}
+FROM slots WHERE rt > 0.1""",
+        "flatten_models": f"""WITH {nested}
+SELECT CASE WHEN vec_id % 2 = 1 THEN 'gains' ELSE 'vectors' END AS model, vec_id AS condition_idx, i + 1 AS trial_idx,
+  row_number() OVER (PARTITION BY vec_id, i ORDER BY j) AS rank_idx, j AS item_idx, {r("rt", "rt")},
+  {r("(i + label) * 0.5", "drift")}, CASE WHEN vec_id % 2 = 0 THEN {r("i * 0.25")} END AS ndt,
+  CASE WHEN vec_id % 2 = 1 THEN {r("vec_id * 2.0::DOUBLE")} END AS gain,
+  CASE WHEN vec_id % 2 = 1 THEN (i + label) * 0.5 > 2 END AS strong
 FROM slots WHERE rt > 0.1""",
         "nested_counts": f"""WITH {nested}
 SELECT vec_id AS condition_idx, count(*) FILTER (rt > 0.1) AS responses FROM slots GROUP BY 1""",

@@ -31,7 +31,7 @@ from trialkit.operators.inference import (
     condition_params,
 )
 from trialkit.operators.mapper import map_by_condition
-from trialkit.operators.nest import count_responses, design_table, flatten_results
+from trialkit.operators.nest import as_variant, count_responses, design_table, flatten_results
 from trialkit.operators.report import (
     density_curves,
     pair_correlation,
@@ -463,6 +463,19 @@ def observed_codes(spark: SparkSession, sf: str) -> DataFrame:
     return six(dense_codes(table(spark, sf, "orders").select("o_orderkey", priority), "o_orderpriority", "code"))
 
 
+def flatten_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models with parameters of their own, read from one folder and flattened without naming any."""
+    nested = nested_vectors(spark, sf)
+    drift = F.col("cond_params.drift")
+    other = nested.where("condition_idx % 2 = 1").withColumns(
+        {"model": F.lit("gains"), "cond_params": F.struct(drift.alias("drift"), F.transform(drift, lambda d: d > 2).alias("strong"), (F.col("condition_idx") * 2).alias("gain"))}
+    )
+    path = scratch_folder(spark, "models")
+    for part in (nested.where("condition_idx % 2 = 0"), other):
+        as_variant(part).write.mode("append").parquet(path)
+    return six(flatten_results(spark.read.parquet(path)))
+
+
 def flatten_nested(spark: SparkSession, sf: str) -> DataFrame:
     return six(flatten_results(nested_vectors(spark, sf)))
 
@@ -828,6 +841,7 @@ QUERIES: dict[str, Query] = {
     "partition_read": partition_read,
     "observed_ranks": observed_ranks,
     "observed_codes": observed_codes,
+    "flatten_models": flatten_models,
     "flatten_nested": flatten_nested,
     "nested_counts": nested_counts,
     "trim_grid": trim_grid,

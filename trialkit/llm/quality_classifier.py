@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialkit.llm.common import text_chunks
+from trialkit.llm.common import fresh, text_chunks
 from trialkit.llm.hashing import SOLID, Words, mix
 from trialkit.llm.language_id import held_out
 
 PASSAGE_BYTES = 512
 #: Labelled documents that the network is fitted on: those whose ids hash lowest.
 SAMPLE_DOCS = 6000
-#: Passages of a sampled document used for fitting, evenly spread over it.
-SAMPLE_PASSAGES = 64
+#: Passages of the sampled documents in all. A document is used with all its passages or not at all.
+SAMPLE_PASSAGES = 100_000
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE = 30, 128, 0.01
 THRESHOLD = 0.7
@@ -158,12 +158,18 @@ def _gradients(model: AttentionModel, x, y, starts, sizes) -> dict[str, np.ndarr
     }
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE_DOCS) -> AttentionModel:
-    """Fit on at most ``most`` labelled documents.
+def learn_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    most: int = SAMPLE_DOCS,
+    most_passages: int = SAMPLE_PASSAGES,
+) -> AttentionModel:
+    """Fit on at most ``most`` labelled documents, which have at most ``most_passages`` passages together.
 
     Ids with several labels take the largest; NULL ids and labels are left out. The sample is chosen by a hash of the id, so it
-    is the same on every run. What reaches the driver is bounded by ``most`` times ``SAMPLE_PASSAGES``
-    passages.
+    is the same on every run: documents come in its order, each with all its passages, and one that would go beyond
+    the bound is left out. NULL and empty texts are bags of one empty passage. Of repeated rows one is used.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
@@ -177,22 +183,30 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
             bags = []
             for x, bounds in passage_features(batch.column(2)):
                 for i in range(len(bounds) - 1):
-                    n = int(bounds[i + 1] - bounds[i])
-                    pick = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype(int))
-                    bags.append(np.ascontiguousarray(x[bounds[i] + pick]).tobytes())
+                    bags.append(np.ascontiguousarray(x[bounds[i] : bounds[i + 1]]).tobytes())
             if bags:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # repeated rows of a document are one bag, and the order of the bags is fixed
     bags = rows.mapInArrow(encode, f"doc_id {kind}, label double, bag binary").dropDuplicates(["doc_id"])
-    found = sorted(bags.toLocalIterator(), key=lambda r: r["doc_id"])
+    found, left = [], most_passages
+    for row in bags.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").toLocalIterator():
+        n = len(row["bag"]) // (4 * N_FEATURES)
+        if n <= left:
+            found.append(row)
+            left -= n
+    found.sort(key=lambda r: r["doc_id"])
     arrays = [np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in found]
     return fit_attention(arrays, np.array([r["label"] for r in found]))
 
 
 def score_quality(docs: DataFrame, model: AttentionModel, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but ``text``, and ``score``, the probability of label 1 of the whole text."""
+    """The columns of ``docs`` but ``text``, and last ``score``, the probability of label 1 of the whole text.
+
+    The column has another name (one more ``_``) where ``docs`` has one of that name.
+    """
+    (name,) = fresh(docs.drop(text), "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -202,13 +216,14 @@ def score_quality(docs: DataFrame, model: AttentionModel, text: str = "text") ->
         parts = [sent.value.scores(x, bounds) for x, bounds in passage_features(pa.array(texts, pa.string()))]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], score(F.col(f"`{text}`")).alias("score"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], score(F.col(f"`{text}`")).alias(name))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted``: the digest of the query.
 
-    A quarter of the rows, by the crc32 of their id, is never learned from.
+    A quarter of the rows, by the crc32 of their id, is never learned from. Every row has a score, also with a NULL or
+    empty text; repeated rows have the same. Without any label all scores are 0.5.
     """
     model = learn_quality(docs, labels.where(~held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

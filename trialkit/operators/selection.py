@@ -75,8 +75,13 @@ def select_ranks(
         if left.isEmpty():
             break
     values = reduce(DataFrame.unionByName, found)
-    picks = [F.max(F.when(F.col("i") == i, F.col("__low"))) for i in range(size)]
-    return values.groupBy(*group).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.array(*picks).alias("x"))
+    # one entry per rank; array functions keep the code small, however many ranks there are
+    entry = F.when(F.col("i") >= 0, F.struct("i", "__low"))
+    picked = values.groupBy(*group).agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.map_from_entries(F.collect_list(entry)).alias("__at")
+    )
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    return picked.select(*group, "n", F.transform(places, lambda i: F.try_element_at("__at", i)).alias("x"))
 
 
 def _counted(rows: DataFrame, within: Sequence[str], shift: int) -> DataFrame:
@@ -127,11 +132,13 @@ def quantile_ranks(n: Column, probs: Sequence[float]) -> list[tuple[Column, Colu
 def select_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Type-7 quantiles of each group: keys, ``n`` and ``q``, an element per probability."""
     picked = select_ranks(rows, keys, value, lambda n: [k for pair in quantile_ranks(n, probs) for k in pair])
-    parts = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.get("x", F.lit(2 * i)), F.get("x", F.lit(2 * i + 1))
+
+    def between(p: Column, i: Column) -> Column:
+        h = (F.col("n") - 1) * p
+        lo, hi = F.get("x", 2 * i), F.get("x", 2 * i + 1)
         # the same weights as the built-in percentile, so both agree to the last bit
-        between = (F.floor(h) + 1 - h) * lo + (h - F.floor(h)) * hi
-        parts.append(F.when((lo == hi) | (h == F.floor(h)), lo).otherwise(between))
-    return picked.select(*[named(k) for k in keys], "n", F.array(*parts).alias("q"))
+        mixed = (F.floor(h) + 1 - h) * lo + (h - F.floor(h)) * hi
+        return F.when((lo == hi) | (h == F.floor(h)), lo).otherwise(mixed)
+
+    listed = F.array(*[F.lit(float(p)) for p in probs])
+    return picked.select(*[named(k) for k in keys], "n", F.transform(listed, between).alias("q"))

@@ -7,10 +7,12 @@ micro-batches and wherever it was stopped and started again.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,10 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from trialkit.functions.columns import as_column, named, require_columns
 
+# Spark reads the processor in a process of the driver as well, which has none of the files sent to the workers: it
+# goes there as it is, not by the name of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: The state of this operator needs a store with several state variables for each key.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialkit.functions import stats as S
+from trialkit.operators import mapper
 from trialkit.operators.mapper import map_by_condition
 from trialkit.operators.summarise import summarise
 
@@ -159,3 +160,12 @@ def test_equal_rows_and_maps_are_spread(spark):
         patch.setattr(Blocks, "of", classmethod(lambda cls, *a, **k: seen.append(plain(cls, *a, **k)) or seen[-1]))
         map_by_condition(df, size, schema="condition_idx bigint, n long", merge=lambda parts: parts, block_rows=500)
     assert max(r["count"] for r in seen[0].rows.groupBy("__block").count().collect()) < 1500
+
+
+def test_small_results_go_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mapper, "CALLS", 40)
+    some = spark.range(400).select((F.col("id") % 200).alias("condition_idx"), (F.col("id") * 1.0).alias("rt"))
+    whole = map_by_condition(some, sums, schema=SCHEMA, merge=merge, block_rows=1)
+    placed = whole.select("*", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in placed}) > 2
+    assert sorted((r["condition_idx"], r["n"]) for r in placed) == [(k, 2) for k in range(200)]

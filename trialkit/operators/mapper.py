@@ -23,6 +23,8 @@ CONDITION = "condition_idx"
 SLOT = "__slot"
 #: Results that one task combines.
 FAN_IN = 16
+#: Calls of a function over small results that one task makes.
+CALLS = 500
 PIECE = "__piece"
 TAG = "__tag"
 
@@ -70,10 +72,10 @@ def map_by_condition(
     elif merge is None:
         out = df.groupBy(named(condition)).applyInPandas(_bound(function, arguments, options), schema)
     else:
-        pieces = _in_pieces(df, condition, block_rows or BLOCK_ROWS, sizes)
+        pieces, n = _in_pieces(df, condition, block_rows or BLOCK_ROWS, sizes)
         work = _bound(function, arguments, options)
         parts = pieces.groupBy(named(condition), named(PIECE)).applyInPandas(_without_piece(work), schema)
-        out = parts.groupBy(named(condition)).applyInPandas(merge, merge_schema or schema)
+        out = _spread(parts, condition, n).groupBy(named(condition)).applyInPandas(merge, merge_schema or schema)
     if combine is None:
         return out
     if not associative:
@@ -105,6 +107,15 @@ def _merged(results: DataFrame, condition: str, combine, fan_in: int) -> DataFra
     return left.drop(SLOT)
 
 
+def _spread(rows: DataFrame, key: str, calls: int) -> DataFrame:
+    """Rows by ``key`` over tasks of a bounded number of calls.
+
+    Adaptive execution goes by bytes: it would hand the small results of all conditions to one task, and a call takes
+    its time however few rows it gets.
+    """
+    return rows.repartition(max(1, math.ceil(calls / CALLS)), named(key))
+
+
 def _takes_iterator(function) -> bool:
     hints = [str(p.annotation) for p in signature(function).parameters.values()]
     return any("Iterator" in h for h in hints)
@@ -142,8 +153,8 @@ def _without_piece(function):
     return over_frame
 
 
-def _in_pieces(df: DataFrame, condition: str, block_rows: int, sizes: GroupSizes | None) -> DataFrame:
-    """Number the rows of each condition and cut the numbers into pieces of ``block_rows``.
+def _in_pieces(df: DataFrame, condition: str, block_rows: int, sizes: GroupSizes | None) -> tuple[DataFrame, int]:
+    """Number the rows of each condition and cut the numbers into pieces of ``block_rows``; about how many conditions.
 
     Rows are put in order by a number that is written down with them, so equal rows are told apart and a lost
     executor renumbers nothing; columns may be of any type.
@@ -151,4 +162,5 @@ def _in_pieces(df: DataFrame, condition: str, block_rows: int, sizes: GroupSizes
     tagged = materialise(df.withColumn(TAG, F.monotonically_increasing_id()))
     numbers = row_numbers(tagged, [condition], [TAG], PIECE, block_rows, sizes)
     piece = F.floor((F.col(PIECE) - 1) / F.lit(block_rows)).cast("bigint")
-    return numbers.select(*[named(c) for c in df.columns], piece.alias(PIECE))
+    conditions = tagged.agg(F.approx_count_distinct(named(condition))).first()[0]
+    return numbers.select(*[named(c) for c in df.columns], piece.alias(PIECE)), conditions

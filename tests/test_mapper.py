@@ -8,6 +8,7 @@ from trialkit.functions import stats as S
 from trialkit.operators import mapper
 from trialkit.operators.mapper import map_by_condition
 from trialkit.operators.summarise import summarise
+from trialkit.sources.checkpoints import materialise
 
 SCHEMA = "condition_idx long, n long, total double"
 
@@ -169,3 +170,19 @@ def test_small_results_go_to_several_tasks(spark, monkeypatch):
     placed = whole.select("*", F.spark_partition_id().alias("task")).collect()
     assert len({r["task"] for r in placed}) > 2
     assert sorted((r["condition_idx"], r["n"]) for r in placed) == [(k, 2) for k in range(200)]
+
+
+def test_merged_results_go_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mapper, "CALLS", 40)
+    some = spark.range(400).select((F.col("id") % 200).alias("condition_idx"), (F.col("id") * 1.0).alias("rt"))
+    levels = []
+
+    def kept(df):
+        levels.append((df.columns, df.select(F.spark_partition_id()).distinct().count()))
+        return materialise(df)
+
+    monkeypatch.setattr(mapper, "materialise", kept)
+    total = map_by_condition(some, sums, schema=SCHEMA, combine=lambda a, b: a + b, associative=True, fan_in=2)
+    assert [tuple(r) for r in total.collect()] == [(sum(range(200)), 400, sum(range(400)))]
+    tasks = [n for names, n in levels if mapper.SLOT in names and "total" in names]
+    assert tasks[0] > 2 and tasks[-1] == 1

@@ -25,6 +25,7 @@ SLOT = "__slot"
 FAN_IN = 16
 #: Calls of a function over small results that one task makes.
 CALLS = 500
+NODE = "__node"
 PIECE = "__piece"
 TAG = "__tag"
 
@@ -102,8 +103,9 @@ def _merged(results: DataFrame, condition: str, combine, fan_in: int) -> DataFra
     n = order.count()
     while n > 1:
         # written between the levels: a lost executor does not bring back the functions before
-        left = materialise(left.groupBy(F.floor(F.col(SLOT) / fan_in).alias("__node")).applyInPandas(level, schema))
         n = math.ceil(n / fan_in)
+        nodes = _spread(left.withColumn(NODE, F.floor(F.col(SLOT) / fan_in)), NODE, n * fan_in)
+        left = materialise(nodes.groupBy(NODE).applyInPandas(level, schema))
     return left.drop(SLOT)
 
 

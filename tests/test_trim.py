@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import plan_of
 from trialkit.operators.trim import apply_trim, trim_cells, trim_thresholds
@@ -104,3 +105,30 @@ def test_apply(spark):
     # both ends belong; a group without bounds vanishes; NULL conditions match each other
     assert got == [(0, 1.5), (1, 0.0), (1, 1.0), (1, 2.0), (2, 1.0)]
     assert {r.condition_idx for r in apply_trim(rows, bounds, min_n_used=10).collect()} == {1, None}
+
+
+def test_bounds_take_few_rounds_and_ends_settle_small_cells(spark, monkeypatch):
+    from trialkit.operators import selection, trim
+
+    draws = spark.range(3000).select(
+        (F.col("id") % 30).alias("condition_idx"), F.lit(1).alias("rank_idx"), F.exp(F.randn(5)).alias("rt")
+    )
+    rows = spark.createDataFrame(draws.collect(), draws.schema)
+    plain = sorted(trim.trim_cells(rows).collect())
+    written = []
+    materialise = trim.materialise
+    for module in (trim, selection):
+        monkeypatch.setattr(module, "materialise", lambda df: written.append(df.columns) or materialise(df))
+    by_bounds = sorted(trim.trim_cells(rows, block_rows=50).collect())
+    # two rounds of selection, and one of the bounds after the first
+    assert sum("__spot" in c or "__count" in c for c in written) == 2
+    assert sum(c[-1] == "open" for c in written) == 1
+    assert len(plain) == len(by_bounds) == 30 * 21
+    for a, b in zip(plain, by_bounds):
+        assert a[:3] == b[:3] and a["n_used"] == b["n_used"] and a["q_upper"] == b["q_upper"]
+        assert a["ks_statistic"] == pytest.approx(b["ks_statistic"], rel=1e-9)
+    # wide cells are cut step by step
+    monkeypatch.setattr(trim, "CELL_ROWS", 1)
+    monkeypatch.setattr(selection, "CELL_ROWS", 1)
+    stepped = sorted(trim.trim_cells(rows, block_rows=50).collect())
+    assert [r[:-1] for r in stepped] == [r[:-1] for r in by_bounds] and sum(c[-1] == "open" for c in written) > 2

@@ -2,7 +2,7 @@
 
 Doubles become 64-bit integers in the same order. Rows are counted by group and the first 16 bits, which combines
 before the shuffle; the counts tell which cell holds a wanted rank. Only rows of these cells are counted again, by
-the next 16 bits, until a cell holds one value. No row is sorted, moved or written: each round reads the rows and
+the next 16 bits, or by all of them where cells have few rows, until a cell holds one value. No row is sorted, moved or written: each round reads the rows and
 shuffles counts.
 """
 
@@ -21,6 +21,8 @@ from trialkit.sources.checkpoints import materialise
 
 #: Low bits left out of account, round by round.
 SHIFTS = (48, 32, 16, 0)
+#: Rows of a cell that are told apart by all bits at once: they make no more cells than a round does.
+CELL_ROWS = 2**16
 
 _TINY = 2.0**-1022
 _FRACTION = 2.0**52
@@ -62,18 +64,21 @@ def select_ranks(
     # the number of ranks follows from the call alone
     size = len(ranks(F.lit(1)))
     found = []
-    for k, shift in enumerate(SHIFTS):
-        cells = _first_cells(base, keys, shift, ranks) if k == 0 else _finer_cells(base, keys, SHIFTS[k - 1], shift, left)
+    shift, done, left = SHIFTS[0], None, None
+    while True:
+        cells = _first_cells(base, keys, shift, ranks) if left is None else _finer_cells(base, keys, done, shift, left)
         spot = F.explode("__spots").alias("__spot")
-        hits = cells.select(*group, "n", F.col("__part").alias("__cell"), "__before", "__low", "__high", spot)
+        hits = cells.select(*group, "n", F.col("__part").alias("__cell"), "__before", "__count", "__low", "__high", spot)
         hits = hits.select("*", "__spot.*").withColumn("rank", F.col("rank") - F.col("__before"))
         hits = materialise(hits.drop("__spot", "__before"))
         # a cell of one value is that value, and the mark of a group needs none
         settled = (F.col("i") < 0) | (F.col("__low") == F.col("__high"))
         found.append(hits.where(settled))
         left = hits.where(~settled)
-        if left.isEmpty():
+        most = left.agg(F.max("__count")).first()[0]
+        if most is None:
             break
+        shift, done = next_shift(SHIFTS, shift, most, CELL_ROWS), shift
     values = reduce(DataFrame.unionByName, found)
     # one entry per rank; array functions keep the code small, however many ranks there are
     entry = F.when(F.col("i") >= 0, F.struct("i", "__low"))
@@ -84,6 +89,11 @@ def select_ranks(
     return picked.select(*group, "n", F.transform(places, lambda i: F.try_element_at("__at", i)).alias("x"))
 
 
+def next_shift(shifts: Sequence[int], shift: int, most: int, few: int) -> int:
+    """The bits to leave out next, where the cells still of interest hold ``most`` rows: none, if these are ``few``."""
+    return shifts[-1] if most <= few else shifts[shifts.index(shift) + 1]
+
+
 def _counted(rows: DataFrame, within: Sequence[str], shift: int) -> DataFrame:
     """Cells with their count, the rows before them in ``within``, and their ends."""
     part = F.shiftright("__bits", shift).alias("__part")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trialkit.functions.columns import named, require_columns, valid_time, with_normal_cdf
 from trialkit.operators.blocks import BLOCK_ROWS, GroupSizes, group_sizes
 from trialkit.operators.joins import join_on_keys, solid_keys
-from trialkit.operators.selection import ordered_bits, select_quantiles
+from trialkit.operators.selection import next_shift, ordered_bits, select_quantiles
 from trialkit.sources.checkpoints import materialise
 
 # Trim grid 0, 0.01, …, 0.20 and the penalty per unit of trim.
@@ -24,6 +24,8 @@ GROUP = ("condition_idx", "rank_idx")
 FIT = ("trim", "mu_hat", "sigma_hat", "n_used", "q_upper")
 #: Low bits of a time left out of account where the distance is bounded, round by round.
 BOUND_SHIFTS = (48, 40, 24, 0)
+#: Rows of a cell that are told apart by all bits at once: they make no more cells than the first rounds do.
+CELL_ROWS = 2**8
 #: Bounds of cells are this much wider, as the normal distribution function has rounding errors.
 SLACK = 1e-12
 
@@ -55,13 +57,16 @@ def trim_cells(
         limit = BLOCK_ROWS if block_rows is None else block_rows
         counts = times.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
         counts = materialise(counts)
-        few = counts.where(F.col("__n") <= limit).drop("__n")
-        if few.isEmpty():
+        n_few, n_big = counts.agg(F.count_if(F.col("__n") <= limit), F.count_if(F.col("__n") > limit)).first()
+        if not n_few:
             cells = _cells_by_bounds(times, trims, keys)
         else:
-            big = counts.where(F.col("__n") > limit).drop("__n")
-            cells = _cells_by_bounds(join_on_keys(times, big, keys), trims, keys)
-            cells = cells.unionByName(_cells_in_windows(join_on_keys(times, few, keys), trims, keys))
+            # the fewer groups tell the two kinds apart: written by themselves they are seen to be few, and the rows
+            # need not be shuffled to meet them
+            fewer = materialise(counts.where(F.col("__n") <= limit if n_few <= n_big else F.col("__n") > limit).drop("__n"))
+            small, large = ("inner", "left_anti") if n_few <= n_big else ("left_anti", "inner")
+            cells = _cells_by_bounds(join_on_keys(times, fewer, keys, large), trims, keys)
+            cells = cells.unionByName(_cells_in_windows(join_on_keys(times, fewer, keys, small), trims, keys))
     return cells.select(
         *back,
         "trim",
@@ -193,62 +198,93 @@ def _cells_by_bounds(times: DataFrame, trims: Sequence[float], keys: list[str])
     first = materialise(first)
     upto = Window.partitionBy(*group).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
     cells = first.withColumn("before", F.coalesce(F.sum("s0").over(upto), F.lit(0)))
-    cells = join_on_keys(cells, _fits(first, cuts, trims, keys), keys)
-    state = materialise(_bounded(cells, keys, None))
-    for done, shift in zip(BOUND_SHIFTS, BOUND_SHIFTS[1:]):
-        left = state.select(*group, F.struct(*FIT).alias("fit"), F.explode("open").alias("cell")).select(*group, "fit", "cell.*")
-        if left.isEmpty():
+    fits = materialise(_best(join_on_keys(cells, _fits(first, cuts, trims, keys), keys), keys))
+    # cells meet the best of all cells before they are listed, so the lists are of the few that can beat it
+    known = fits.groupBy(*group).agg(F.collect_list(F.struct(*FIT, "best")).alias("fits"))
+    state = materialise(_opened(fits, _held(join_on_keys(cells, known, keys), keys), keys))
+    done = BOUND_SHIFTS[0]
+    while done:
+        left = state.select(*group, F.struct(*FIT, "best").alias("fit"), F.explode("open").alias("cell"))
+        left = left.select(*group, "fit", "cell.*")
+        most = left.agg(F.max("s0")).first()[0]
+        if most is None:
             break
+        shift = next_shift(BOUND_SHIFTS, done, most, CELL_ROWS)
         within = [*keys, "band", "__cell"]
         asked = left.groupBy(*[named(k) for k in within]).agg(
-            F.max("before").alias("start"), F.collect_list("fit").alias("fits")
+            F.max("before").alias("start"),
+            F.min("low").alias("from"),
+            F.max("high").alias("to"),
+            F.collect_list("fit").alias("fits"),
         )
-        # rows meet the open cells first; only those that stay are held against the cuts
-        ends = [*keys, "__cell"]
-        held = join_on_keys(asked.select(*[named(k) for k in ends]).distinct(), cuts.select(*group, "q"), keys)
-        rows = join_on_keys(base.withColumn("__cell", F.shiftright("__bits", done)), held, ends)
-        rows = rows.withColumn("band", band)
+        asked = materialise(asked)
+        # the bands of a cell lie side by side, so the ends of an open one tell its rows
+        held = asked.select(*[named(k) for k in within], "from", "to")
+        rows = join_on_keys(base.withColumn("__cell", F.shiftright("__bits", done)), held, [*keys, "__cell"])
+        rows = rows.where(F.col("__x").between(F.col("from"), F.col("to")))
         parts = rows.groupBy(*[named(k) for k in within], F.shiftright("__bits", shift).alias("part")).agg(
             F.count(F.lit(1)).alias("s0"), F.min("__x").alias("low"), F.max("__x").alias("high")
         )
         upto = Window.partitionBy(*[named(k) for k in within]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("inside", F.coalesce(F.sum("s0").over(upto), F.lit(0)))
-        parts = join_on_keys(parts, asked, within)
-        cells = parts.withColumn("before", F.col("start") + F.col("inside"))
-        cells = cells.withColumn("__cell", F.col("part"))
-        state = materialise(_bounded(cells, keys, state))
+        parts = join_on_keys(parts, asked.drop("from", "to"), within)
+        cells = parts.withColumn("before", F.col("start") + F.col("inside")).withColumn("__cell", F.col("part"))
+        cells = cells.select(*group, "band", "__cell", "low", "high", "s0", "before", "fits")
+        more = materialise(_best(cells, keys).select(*group, "trim", F.col("best").alias("more")))
+        fits = join_on_keys(state.drop("open"), more, [*keys, "trim"], "left")
+        fits = fits.withColumn("best", F.greatest("best", "more")).drop("more")
+        if not shift:
+            return fits.select(*group, F.col("best").alias("ks_statistic"), *FIT)
+        state = materialise(_opened(fits, _held(cells, keys), keys))
+        done = shift
     return state.select(*group, F.col("best").alias("ks_statistic"), *FIT)
 
 
-def _bounded(cells: DataFrame, keys: list[str], state: DataFrame | None) -> DataFrame:
-    """Per group and trim: the fit, the widest gap known, ``best``, and the ``open`` cells that may hold a wider one.
+def _against(cells: DataFrame) -> DataFrame:
+    """Every cell against each of its fits."""
+    rows = cells.select(*[c for c in cells.columns if c != "fits"], F.explode("fits").alias("fit"))
+    return rows.select("*", "fit.*").drop("fit").where(F.col("high") < F.col("q_upper"))
 
-    ``cells`` have a band, their ends, the rows in and before them, and the fits to hold them against.
+
+def _best(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and trim: the fit and the widest gap at the ends of the cells, ``best``.
+
+    One row at least lies at each end, and what is before and after it in the cell is known. The ends are rows, since
+    code with the distribution function twice in an aggregate grows beyond what the JVM compiles.
     """
-    group = [named(k) for k in keys]
-    rows = cells.select(*group, "band", "__cell", "low", "high", "s0", "before", F.explode("fits").alias("fit"))
-    rows = rows.select("*", "fit.*").drop("fit").where(F.col("high") < F.col("q_upper"))
-    rows = _with_cdf(_with_cdf(rows, "low", "__f_low"), "high", "__f_high")
-    n, below, upto = F.col("n_used"), F.col("before"), F.col("before") + F.col("s0")
-    sure = F.greatest(F.col("__f_low") - below / n, upto / n - F.col("__f_high"))
-    most = F.greatest(F.col("__f_high") - below / n, upto / n - F.col("__f_low")) + SLACK
-    fits = F.col("sigma_hat") > 0
-    rows = rows.withColumns({"sure": F.when(fits, sure), "most": F.when(fits & (F.col("low") < F.col("high")), most)})
-    cell = F.struct("band", "__cell", "before", "most")
-    found = rows.groupBy(*group, "trim").agg(
-        *[F.max(c).alias(c) for c in FIT[1:]],
-        F.max("sure").alias("best"),
-        # a few dozen cells for each doubling of the time
-        F.collect_list(F.when(F.col("most").isNotNull(), cell)).alias("open"),
-    )
-    if state is not None:
-        known = state.select(*group, "trim", *FIT[1:], "best")
-        news = found.select(*group, "trim", F.col("best").alias("more"), F.col("open"))
-        found = join_on_keys(known, news, [*keys, "trim"], "left")
-        none = F.array().cast(news.schema["open"].dataType)
-        found = found.withColumns({"best": F.greatest("best", "more"), "open": F.coalesce("open", none)}).drop("more")
-    # only cells that can beat the best of all cells stay
-    return found.withColumn("open", F.filter("open", lambda c: c["most"] > F.col("best")))
+    before, upto = F.col("before"), F.col("before") + F.col("s0")
+    ends = [(F.col("low"), before, before + 1), (F.col("high"), upto - 1, upto)]
+    listed = F.array(*[F.struct(x.alias("at"), a.alias("below"), b.alias("upto")) for x, a, b in ends])
+    rows = cells.select(*[named(k) for k in keys], "high", F.explode(listed).alias("end"), "fits")
+    rows = _with_cdf(_against(rows.select(*[named(k) for k in keys], "high", "end.*", "fits")), "at", "__f")
+    n = F.col("n_used")
+    gap = F.greatest(F.col("__f") - F.col("below") / n, F.col("upto") / n - F.col("__f"))
+    fit = [F.max(c).alias(c) for c in FIT[1:]]
+    gap = F.max(F.when(F.col("sigma_hat") > 0, gap)).alias("best")
+    return rows.groupBy(*[named(k) for k in keys], "trim").agg(*fit, gap)
+
+
+def _held(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells whose inner rows, if there are any, may have a wider gap than the ``best`` of a trim; ``most`` bounds it."""
+    inner = cells.where((F.col("low") < F.col("high")) & (F.col("s0") > 2))
+    rows = _with_cdf(_with_cdf(_against(inner), "low", "__f_low"), "high", "__f_high")
+    n, upto = F.col("n_used"), F.col("before") + F.col("s0")
+    most = F.greatest(F.col("__f_high") - (F.col("before") + 1) / n, (upto - 1) / n - F.col("__f_low")) + SLACK
+    rows = rows.withColumn("most", F.when(F.col("sigma_hat") > 0, most))
+    cell = F.struct("band", "__cell", "before", "s0", "low", "high", "most", "best")
+    # an element of an array: a condition on it is not worked out a second time, below
+    rows = rows.select(*[named(k) for k in keys], "trim", F.explode(F.array(cell)).alias("cell"))
+    return rows.where(F.col("cell.most") > F.col("cell.best"))
+
+
+def _opened(fits: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``fits`` with the ``open`` cells, those among ``rows`` that may hold a wider gap than the best."""
+    # a few dozen cells for each doubling of the time
+    listed = rows.groupBy(*[named(k) for k in keys], "trim").agg(F.collect_list(F.col("cell").dropFields("best")).alias("open"))
+    out = join_on_keys(fits, listed, [*keys, "trim"], "left")
+    none = F.array().cast(listed.schema["open"].dataType)
+    out = out.withColumn("open", F.coalesce("open", none))
+    return out.withColumn("open", F.filter("open", lambda c: c["most"] > F.col("best")))
 
 
 def _fits(bands: DataFrame, cuts: DataFrame, trims: Sequence[float], keys: list[str]) -> DataFrame:
@@ -261,7 +297,8 @@ def _fits(bands: DataFrame, cuts: DataFrame, trims: Sequence[float], keys: list[
     group = [named(k) for k in keys]
     sums = [F.sum(c).alias(c) for c in ("s0", "s1", "s2")]
     ends = [F.min("low").alias("low"), F.max("high").alias("high")]
-    bands = bands.groupBy(*group, "band").agg(*sums, *ends)
+    # a group has few bands: by group, they need not move again once they are held against the cuts
+    bands = bands.groupBy(*group, "band").agg(*sums, *ends).repartition(*group)
     placed = cuts.select(*group, "centre", _grid(trims, "q").alias("grid"))
     cells = (
         join_on_keys(bands, placed, keys)

@@ -121,3 +121,25 @@ def test_a_batch_that_stopped_is_played_again(spark, monkeypatch):
 def test_no_version_yet(spark):
     with pytest.raises(FileNotFoundError, match="no version"):
         KeyedTable(spark, scratch_folder(spark, "none"), ["k"]).read()
+
+
+def test_streamed_files_grow_in_number_with_the_rows(spark, tmp_path, monkeypatch):
+    from trialkit.plans import queries
+
+    lines = spark.range(400).select(
+        (F.col("id") % 150).alias("l_orderkey"), (F.col("id") % 9).alias("l_suppkey"),
+        (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"), (F.col("id") * 1.5).alias("l_extendedprice"),
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    files = []
+    plain = queries.read_results_stream
+
+    def read(spark, path, schema, files_per_batch):
+        files.append((len(spark.read.schema(schema).parquet(path).inputFiles()), files_per_batch))
+        return plain(spark, path, schema, files_per_batch)
+
+    monkeypatch.setattr(queries, "read_results_stream", read)
+    before = sorted(queries.summary_kept(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(queries, "STREAM_FILE_ROWS", 40)
+    after = sorted(queries.summary_kept(spark, str(tmp_path)).collect())
+    assert files == [(4, 1), (12, 3)] and before == after and len(after) == 63

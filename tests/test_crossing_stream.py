@@ -86,3 +86,49 @@ def test_what_is_too_late_is_dropped(spark, late):
     run(spark, path, out, log, late)
     # five seconds late: in its place with ten seconds' grace, gone without
     assert len(found(spark.read.schema(stream(spark, path, late).schema).parquet(out).collect())) == (1 if late == "10 seconds" else 0)
+
+
+class Value:
+    """A state variable that counts what is written to it."""
+
+    def __init__(self):
+        self.held, self.writes = [], 0
+
+    def appendValue(self, row):
+        self.held.append(row)
+        self.writes += 1
+
+    def put(self, rows):
+        self.held = list(rows)
+        self.writes += 1
+
+    def get(self):
+        return iter(self.held)
+
+    def clear(self):
+        self.held = []
+
+
+def test_steps_of_a_batch_are_one_value_of_the_state():
+    from types import SimpleNamespace as Space
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from trialkit.streaming.crossing import _Race
+
+    race, timers, sums = _Race(["trial"], T.StringType(), True, None, None), [], {}
+    race.handle, race.pending = Space(registerTimer=timers.append), Value()
+    race.sums = Space(getValue=sums.get, updateValue=lambda k, v: sums.update({k: v}), containsKey=lambda k: k in sums)
+    race.reached = Space(exists=lambda: False, update=lambda row: None)
+    names = ["trial", "us", "item", "tie", "step", "high", "low"]
+    rows = pd.DataFrame([(1, 1000 * k, "a", k, 1.0, 30.0, None) for k in range(50)], columns=names)
+    assert list(race.handleInputRows((1,), iter([rows[:25], rows[25:]]), None)) == []
+    assert race.pending.writes == 1 and timers == [1]
+    at = Space(getCurrentWatermarkInMs=lambda: 40)
+    (found,) = race.handleExpiredTimer((1,), at, None)
+    assert found.values.tolist() == [[1, "a", 29_000, 1, 1]]
+    assert race.pending.writes == 2 and timers == [1, 41] and sums[("a",)] == (30.0, True)
+    # a second timer of the same watermark finds nothing to do
+    assert list(race.handleExpiredTimer((1,), at, None)) == []
+    assert race.pending.writes == 2 and timers == [1, 41]

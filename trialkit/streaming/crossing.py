@@ -7,6 +7,7 @@ micro-batches and wherever it was stopped and started again.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -55,17 +56,8 @@ class _Race(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        steps = T.StructType(
-            [
-                T.StructField("us", T.LongType()),
-                T.StructField("item", self.item),
-                T.StructField("tie", T.LongType()),
-                T.StructField("step", T.DoubleType()),
-                T.StructField("high", T.DoubleType()),
-                T.StructField("low", T.DoubleType()),
-            ]
-        )
-        self.pending = handle.getListState("pending", steps)
+        # the steps of a micro-batch are one value: each value costs a call to the store, however small it is
+        self.pending = handle.getListState("pending", T.StructType([T.StructField("steps", T.BinaryType())]))
         self.sums = handle.getMapState("sums", T.StructType([T.StructField("item", self.item)]), "total double, done boolean")
         self.reached = handle.getValueState("reached", "n int")
 
@@ -76,7 +68,7 @@ class _Race(StatefulProcessor):
             own = part.iloc[:, -STEP_FIELDS:]
             new += [tuple(None if pd.isna(v) else v for v in r) for r in own.itertuples(index=False, name=None)]
         if new:
-            self.pending.appendList([self._plain(r) for r in new])
+            self.pending.appendValue((pickle.dumps([self._plain(r) for r in new]),))
             # once the watermark is beyond the first of them there is something to do
             self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
         return iter(())
@@ -88,10 +80,14 @@ class _Race(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
         ready, wait = [], []
-        for row in self.pending.get():
-            (ready if row[0] < upto else wait).append(tuple(row))
+        for (steps,) in self.pending.get():
+            for row in pickle.loads(steps):
+                (ready if row[0] < upto else wait).append(row)
+        if not ready:
+            # another timer of this trial came first; the first step that waits has one of its own
+            return
         if wait:
-            self.pending.put(wait)
+            self.pending.put([(pickle.dumps(wait),)])
             self.handle.registerTimer(min(r[0] for r in wait) // 1000 + 1)
         else:
             self.pending.clear()
@@ -107,7 +103,7 @@ class _Race(StatefulProcessor):
         hits: list[tuple] = []
         for us, item, _, step, high, low in steps:
             if item not in sums:
-                held = self.sums.getValue((item,)) if self.sums.containsKey((item,)) else (0.0, False)
+                held = self.sums.getValue((item,)) or (0.0, False)
                 sums[item] = [held[0], held[1]]
             total = sums[item]
             if total[1] or step is None:

@@ -179,3 +179,19 @@ def test_ranks_with_given_sizes_count_nothing(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert not started
     assert sorted((r.trial_idx, r.item_idx, r.rank_idx) for r in ranked.collect()) == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
+
+
+def test_staged_rows_are_not_cut_by_chunks(spark, monkeypatch):
+    store = ResultSet.create(spark, scratch_folder(spark, "staged"))
+    seen, plain = [], ResultSet._record
+
+    def record(folder, counts):
+        (name,) = folder.names("staging")
+        seen.extend(n for n in folder.names(f"staging/{name}") if n.startswith("chunk_idx="))
+        plain(folder, counts)
+
+    monkeypatch.setattr(ResultSet, "_record", staticmethod(record))
+    rows = spark.range(40).select((F.col("id") % 4).cast("int").alias("chunk_idx"), (F.col("id") * 0.5).alias("rt"))
+    assert store.commit(rows) == [0, 1, 2, 3] and store.commit(rows) == [] and seen == []
+    assert sorted(tuple(r) for r in store.dataset().select("chunk_idx", "rt").collect()) == sorted(tuple(r) for r in rows.collect())
+    assert not Folder(spark, store.path).exists("staging")

@@ -101,3 +101,15 @@ def test_an_unfinished_chunk_does_not_count(spark, rows):
         kept.add(rows.where("chunk_idx = 3"))
     assert Folder(spark, kept.path).names(VALUES) != Folder(spark, kept.path).names(MOMENTS)
     check(kept.read().df, direct(rows.where("chunk_idx <= 2")))
+
+
+def test_values_of_all_chunks_are_read_once(spark, rows, monkeypatch):
+    from trialkit.operators import states as module
+
+    stored = states(spark)
+    stored.add(rows)
+    written = []
+    plain = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df: written.append(df.columns) or plain(df))
+    check(stored.read().df, direct(rows))
+    assert written == [["k", "value", "__w"]] * 2

@@ -20,6 +20,7 @@ from trialkit.operators.blocks import GroupSizes, running_sums
 from trialkit.operators.joins import join_on_keys
 from trialkit.operators.selection import quantile_ranks
 from trialkit.operators.summarise import SummaryTable
+from trialkit.sources.checkpoints import materialise
 from trialkit.sources.results import CHUNK, Folder, ResultSet
 
 MOMENTS = "moments"
@@ -129,7 +130,8 @@ class SummaryStates:
         # a chunk without moments was not finished
         done = F.col(CHUNK).isin(sorted(self.chunks()))
         counted = self.spark.read.parquet(self._at(VALUES)).where(done & (F.col("name") == column))
-        counted = counted.groupBy(*group, "value").agg(F.sum("times").alias("__w"))
+        # the values of all chunks, many small files, are read once
+        counted = materialise(counted.groupBy(*group, "value").agg(F.sum("times").alias("__w")))
         whole = counted.groupBy(*group).agg(F.sum("__w").alias("__n"), F.count(F.lit(1)).alias("__rows"))
         total, largest = whole.agg(F.sum("__rows"), F.max("__rows")).first()
         sizes = GroupSizes(total or 0, largest or 0)

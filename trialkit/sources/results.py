@@ -199,12 +199,14 @@ class ResultSet:
         folder = Folder(self.spark, self.path)
         folder.remove(STAGING)  # of a run that was stopped
         staged = f"{STAGING}/{uuid.uuid4().hex}"
-        self._write(self.missing(rows), staged)
-        if not any(name.startswith(f"{CHUNK}=") for name in folder.names(staged)):
-            folder.remove(STAGING)
-            return []
+        require_columns(rows, [CHUNK])
+        # plain files: the rows are cut by chunks once, on their way into the table
+        self.missing(rows).write.parquet(folder.child(staged))
         fresh = self.spark.read.schema(rows.schema).parquet(folder.child(staged))
         counts = {r[CHUNK]: r["n"] for r in fresh.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not counts:
+            folder.remove(STAGING)
+            return []
         if None in counts:
             raise ValueError(f"rows without {CHUNK}")
         out = fresh.hint("rebalance", named(CHUNK)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from trialkit.llm import id_coder
 from trialkit.llm.id_coder import decode_block, encode_block
 
 
@@ -34,3 +35,15 @@ def test_damage_is_found():
 def test_alphabet_has_a_bound():
     with pytest.raises(ValueError):
         encode_block(np.zeros(3), 1 << 20)
+
+
+def test_frequencies_are_counted_once_in_several_steps(monkeypatch):
+    calls, recount = [], id_coder._Model.recount
+    monkeypatch.setattr(id_coder._Model, "recount", lambda model: (calls.append(1), recount(model))[1])
+    encode_block(np.arange(256 * 20) % 700, 1000)
+    assert len(calls) < 256 // 4
+
+
+def test_ids_beyond_the_alphabet_are_refused():
+    with pytest.raises(ValueError):
+        encode_block(np.array([1, 9]), 9)

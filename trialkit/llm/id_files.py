@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialkit.llm.id_coder import decode_block, encode_block
-from trialkit.llm.tokens import TokenIds, read_tokenizer, text_runs
+from trialkit.llm.tokens import RUN, read_tokenizer, text_runs, token_ids
 
 #: Ids after which a block is closed; a document is never cut.
 BLOCK_IDS = 2_000_000
@@ -60,7 +60,7 @@ def write_ids(
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds(spec.value, pieces, special=True)
+        tokens = token_ids(spec.value, pieces, special=True)
         part, block = TaskContext.get().partitionId(), 0
         names: list = []
         found: list[bytes] = []
@@ -81,7 +81,7 @@ def write_ids(
         for batch in batches:
             name_type = batch.schema.field(0).type
             own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, run in text_runs(texts):
+            for first, run in text_runs(texts, RUN):
                 for i, ids in enumerate(tokens.encode(run), first):
                     names.append(own[i])
                     found.append(ids + end)

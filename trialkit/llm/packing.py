@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from trialkit.llm.tokens import TokenIds, read_tokenizer, text_runs
+from trialkit.llm.tokens import RUN, read_tokenizer, text_runs, token_ids
 
 WINDOW = 4096
 #: Partly filled windows that a task keeps; beyond it they are cut together into full ones.
@@ -134,7 +134,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds(spec.value, pieces, special=True)
+        tokens = token_ids(spec.value, pieces, special=True)
         packer = SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
@@ -160,7 +160,7 @@ def pack(
         for batch in batches:
             kind = batch.schema.field(0).type
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, run in text_runs(texts):
+            for first, run in text_runs(texts, RUN):
                 for i, ids in enumerate(tokens.encode(run), first):
                     ids += end
                     n = len(ids) // 4
